@@ -18,7 +18,8 @@ def list_values(obj: Column) -> Column:
 
 
 def list_value_count(obj: Column) -> Column:
-    return F.coalesce(F.size(list_values(obj)), F.lit(0))
+    lists = list_values(obj)
+    return F.when(lists.isNull(), F.lit(0)).otherwise(F.size(lists))
 
 
 def is_object(value: Column) -> Column:

@@ -33,7 +33,7 @@ def summary_lines(counters: DataFrame) -> DataFrame:
     line = F.array(
         F.concat(F.lit("Pages crawled:  "), F.col("pages_scraped").cast("string")),
         F.concat(F.lit("Pages failed:   "), F.col("pages_failed").cast("string")),
-        F.concat(F.lit("Time:           "), F.format_number("elapsed_seconds", "0.0"), F.lit("s")),
+        F.format_string("Time:           %.1fs", F.col("elapsed_seconds").cast("double")),
         F.concat(F.lit("Output:         "), F.col("output_path")),
         F.concat(F.lit("Timestamp:      "), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")),
     )
