@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.binding import let
 from pagemill.functions.markup import ATTRS, decode_entities, strip_raw
-from pagemill.functions.urls import resolve, resolve_all
+from pagemill.functions.urls import resolve, resolve_all, resolve_with, url_parts
 
 _ATTR_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
@@ -81,7 +81,13 @@ def absolute_hrefs(html: Column, url: Column) -> Column:
 
 def page_links(html: Column, url: Column) -> Column:
     """All link targets of a page, absolute: anchors first, then onclick targets."""
-    return F.coalesce(
-        F.concat(absolute_hrefs(html, url), resolve_all(url, onclick_targets(html))),
-        _no_strings(),
-    )
+
+    def starting_from(parts: Column, found: Column) -> Column:
+        return F.transform(found, lambda l: F.struct(parts.alias("base"), l.alias("link")))
+
+    def listed(dom: Column) -> Column:
+        anchors = let(url_parts(base_url(dom, url)), lambda b: starting_from(b, dom_hrefs(dom)))
+        handlers = let(url_parts(url), lambda b: starting_from(b, dom_onclick_targets(dom)))
+        return F.transform(F.concat(anchors, handlers), lambda e: resolve_with(e["base"], e["link"]))
+
+    return F.coalesce(let(strip_raw(html), listed), _no_strings())

@@ -36,16 +36,18 @@ def items(value: Column, unwrap: bool = True) -> Column:
     """Rows of one page result as ``ARRAY<VARIANT>``.
 
     A list gives its items.  With ``unwrap`` an object holding exactly one list gives the
-    items of that list.  Everything else is a single row.
+    items of that list.  Everything else is a single row; null gives null.
     """
 
+    single = F.when(value.isNotNull(), F.array(value))
+
     def with_lists(lists: Column) -> Column:
         return (
             F.when(F.size(lists) == 1, F.get(lists, F.lit(0)).try_cast(_LIST))
-            .when(lists.isNotNull(), F.array(value))
-            .otherwise(F.coalesce(value.try_cast(_LIST), F.array(value)))
+            .when(lists.isNotNull(), single)
+            .otherwise(F.coalesce(value.try_cast(_LIST), single))
         )
 
     if unwrap:
         return let(list_values(value), with_lists)
-    return F.coalesce(value.try_cast(_LIST), F.array(value))
+    return F.coalesce(value.try_cast(_LIST), single)

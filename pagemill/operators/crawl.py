@@ -13,6 +13,7 @@ global numbering is needed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -25,6 +26,7 @@ from pagemill.functions.markup import is_blank_page, strip_raw
 from pagemill.functions.urls import domain_key, in_scope, is_junk, normalize, resolve_all
 from pagemill.operators.limits import first_n
 from pagemill.operators.robots import with_verdict
+from pagemill.operators.rows import explode_with_position
 from pagemill.operators.skew import hot_keys
 from pagemill.sources.robots import compile_rules
 from pagemill.sources.sitemaps import MAX_URLS, sitemap_seeds
@@ -135,21 +137,28 @@ def _visit(
     )
 
 
-def children(level: DataFrame, scope: str) -> DataFrame:
-    """Requests one level down: links of a level that are pages and in scope."""
+def expander(scope: str) -> Callable[[DataFrame], DataFrame]:
+    """A function from a level to the requests below it: links that are pages and in scope.
+
+    The expressions are built once and serve every level.
+    """
     found = F.when(
         F.size("targets") > 0, F.concat("hrefs", resolve_all(F.col("url"), F.col("targets")))
     ).otherwise(F.col("hrefs"))
-    exploded = level.where(F.col("hrefs").isNotNull()).select(
-        F.col("url").alias("parent"), "seed", "rank", F.posexplode(found).alias("pos", "target")
-    )
-    kept = exploded.where(
-        ~is_junk(F.col("target")) & in_scope(F.col("target"), F.col("seed"), scope)
-    )
-    return kept.select(
-        normalize(F.col("target")).alias("norm"), F.col("target").alias("url"), "seed",
-        F.array_append("rank", F.col("pos").cast("bigint")).alias("rank"), "parent",
-    )
+    follow = ~is_junk(F.col("target")) & in_scope(F.col("target"), F.col("seed"), scope)
+    norm = normalize(F.col("target")).alias("norm")
+
+    def expand(level: DataFrame) -> DataFrame:
+        exploded = explode_with_position(
+            level.where(F.col("hrefs").isNotNull()),
+            [F.col("url").alias("parent"), "seed", "rank"], found, "pos", "target",
+        )
+        return exploded.where(follow).select(
+            norm, F.col("target").alias("url"), "seed",
+            F.array_append("rank", F.col("pos").cast("bigint")).alias("rank"), "parent",
+        )
+
+    return expand
 
 
 def _level_path(folder: str, depth: int) -> str:
@@ -217,6 +226,7 @@ def crawl(
         done = done.select("norm")
 
     requests = seed_requests(seeds, sitemaps, sitemap_max_urls)
+    expand = expander(scope)
     budget = max_pages
     depth = 0
     while True:
@@ -241,7 +251,7 @@ def crawl(
             budget -= size
         if size == 0 or budget == 0:
             break
-        requests = children(level, scope)
+        requests = expand(level)
     return CrawlRun(folder, _visited(spark, folder, depth), depth)
 
 

@@ -58,7 +58,7 @@ def extract(
     )
     slim = pages.select("url", F.col("depth").cast("int").alias("depth"), source.alias("source"))
     if parallelism is not None:
-        slim = slim.repartition(parallelism, F.xxhash64("url", "source"))
+        slim = slim.repartition(parallelism)
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extractor = None

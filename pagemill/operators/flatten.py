@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions.records import as_record, items, list_value_count
+from pagemill.operators.rows import explode_with_position
 
 SOURCE_COLUMN, DEPTH_COLUMN = "_source_url", "_crawl_depth"
 
@@ -28,10 +29,8 @@ def flatten_results(
             F.coalesce(url.cast("string"), F.lit("")).alias(SOURCE_COLUMN),
             F.coalesce(depth.cast("int"), F.lit(0)).alias(DEPTH_COLUMN),
         ]
-    parsed = results.withColumn("_value", value).where(F.col("_value").isNotNull())
-    exploded = parsed.select(
-        *carried, F.posexplode(items(F.col("_value"), unwrap)).alias("item_pos", "item")
-    )
+    parsed = results.withColumn("_value", value)
+    exploded = explode_with_position(parsed, carried, items(F.col("_value"), unwrap), "item_pos", "item")
     return exploded.withColumn("item", as_record(F.col("item")))
 
 

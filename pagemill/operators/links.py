@@ -7,26 +7,25 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.links import hrefs, onclick_targets, page_links
 from pagemill.functions.urls import SCOPES, in_scope, is_junk, normalize
+from pagemill.operators.rows import explode_with_position
 
 
 def raw_links(pages: DataFrame) -> DataFrame:
     """``(page_id, url, pos, link)`` of every ``a[href]``, unresolved, in document order."""
-    return pages.select("page_id", "url", F.posexplode(hrefs(F.col("html"))).alias("pos", "link"))
+    return explode_with_position(pages, ["page_id", "url"], hrefs(F.col("html")), "pos", "link")
 
 
 def onclick_links(pages: DataFrame) -> DataFrame:
     """``(page_id, url, pos, link)`` of the addresses named in onclick handlers."""
-    return pages.select(
-        "page_id", "url", F.posexplode(onclick_targets(F.col("html"))).alias("pos", "link")
+    return explode_with_position(
+        pages, ["page_id", "url"], onclick_targets(F.col("html")), "pos", "link"
     )
 
 
 def links(pages: DataFrame) -> DataFrame:
     """``(page_id, url, pos, target)``: anchors, then onclick targets, all absolute."""
-    return pages.select(
-        "page_id",
-        "url",
-        F.posexplode(page_links(F.col("html"), F.col("url"))).alias("pos", "target"),
+    return explode_with_position(
+        pages, ["page_id", "url"], page_links(F.col("html"), F.col("url")), "pos", "target"
     )
 
 

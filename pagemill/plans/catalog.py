@@ -13,6 +13,7 @@ from pagemill.functions import markup, urls
 from pagemill.operators import crawl as crawling
 from pagemill.operators import flatten, links, report, typed
 from pagemill.operators.extract import extract, split_results
+from pagemill.operators.rows import explode_with_position
 from pagemill.operators.robots import domains_checked, with_verdict
 from pagemill.plans import inputs
 from pagemill.plans.doubles import heading_extractor
@@ -239,9 +240,7 @@ def in_scope_links(spark: SparkSession, sf: str) -> DataFrame:
     """The links of each host's first page that are pages of that host, per seed."""
     p, first = inputs.pages(spark, sf), inputs.host_seeds(spark, sf)
     start = p.join(first, p["page_id"] == first["seed_ord"]).select("page_id", "url", "html", "seed")
-    found = start.select(
-        "seed", F.posexplode(link_fn.page_links(HTML, URL)).alias("pos", "target")
-    )
+    found = explode_with_position(start, ["seed"], link_fn.page_links(HTML, URL), "pos", "target")
     return links.followable(found, "same_domain").groupBy("seed").agg(
         F.count("*").alias("links"), F.count_distinct("target").alias("distinct_links")
     )

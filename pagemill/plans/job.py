@@ -17,7 +17,7 @@ from pagemill.operators.flatten import flatten_results, normalize_columns
 from pagemill.operators.report import run_counters, summary_lines
 from pagemill.operators.typed import load_schema, prompt_suffix, to_struct, typed_columns
 from pagemill.sinks.export import export, write_summary
-from pagemill.sources.cache import cache_rows, look_up, read_cache, write_cache
+from pagemill.sources.cache import append_misses, cache_rows, look_up, read_cache
 from pagemill.sources.seeds import seeds as as_seeds
 from pagemill.storage import write_table
 
@@ -53,14 +53,16 @@ class JobResult:
 
 
 def page_content(visited: DataFrame, pages: DataFrame, cache_dir: str | None = None) -> DataFrame:
-    """``(url, depth, markdown)`` of visited pages; cached markdown is used where there is some."""
+    """``(url, depth, markdown, hit)`` of visited pages; cached markdown is used if there is some."""
     asked = visited.where(F.col("status").isin(OK, EXTRACT_FAILED)).select("url", "depth", "page_id")
     found = asked.join(pages.select("page_id", "html"), "page_id")
     if cache_dir is None:
-        return found.select("url", "depth", page_markdown(F.col("html")).alias("markdown"))
+        return found.select(
+            "url", "depth", page_markdown(F.col("html")).alias("markdown"), F.lit(False).alias("hit")
+        )
     looked = look_up(found, read_cache(visited.sparkSession, cache_dir))
     markdown = F.coalesce(F.col("cached"), page_markdown(F.col("html")))
-    return looked.select("url", "depth", markdown.alias("markdown"))
+    return looked.select("url", "depth", markdown.alias("markdown"), "hit")
 
 
 def run_job(
@@ -85,7 +87,7 @@ def run_job(
     content = page_content(run.visited, pages, spec.cache_dir)
     if spec.cache_dir is not None:
         content = write_table(content, f"{run.folder}/content")
-        write_cache(cache_rows(content), spec.cache_dir)
+        append_misses(cache_rows(content.where(~F.col("hit"))), spec.cache_dir)
     # stored before it is used twice: the model is asked once per page
     answered = write_table(
         extract(content, extractor_factory, prompt, provider=spec.provider, parallelism=spec.parallelism),

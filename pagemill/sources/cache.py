@@ -48,7 +48,13 @@ def missing_from(rows: DataFrame, cache: DataFrame) -> DataFrame:
     return fresh.groupBy("url_key").agg(first).select("url_key", "first.*")
 
 
+def append_misses(rows: DataFrame, path: str) -> None:
+    """Add rows that ``look_up`` reported as misses; hits need not be compared again."""
+    rows.write.mode("append").parquet(path)
+
+
 def write_cache(rows: DataFrame, path: str) -> None:
+    """Add those of ``rows`` that are not stored yet."""
     missing_from(rows, read_cache(rows.sparkSession, path)).write.mode("append").parquet(path)
 
 

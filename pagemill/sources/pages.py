@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.urls import normalize
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
+MISSING_SHARES = 4096
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -30,12 +31,15 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 def render(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """``requests`` (with ``url``) plus the html of their page; null html is a failed fetch.
 
-    Pages are cut to the winner of each visit key before html moves: only the slim
-    ``(norm, page_id)`` pairs are aggregated, then html is fetched by page id.
+    The page of each visit key is found on slim ``(norm, page_id)`` pairs, then html is
+    fetched by page id, so it moves once at most.  Requests without a page share no join
+    key: they are spread over shares that match nothing.
     """
-    asked = with_norm(requests)
-    wanted = distinct_pages(pages).select("norm", "page_id").join(
-        asked.select("norm").distinct(), "norm", "left_semi"
+    winners = distinct_pages(pages).select("norm", "page_id")
+    asked = with_norm(requests).join(winners, "norm", "left").withColumn(
+        "_share",
+        F.when(F.col("page_id").isNull(), 1 + F.pmod(F.xxhash64("url"), F.lit(MISSING_SHARES)))
+        .otherwise(F.lit(0)),
     )
-    content = pages.select("page_id", "html").join(wanted, "page_id")
-    return asked.join(content.select("norm", "page_id", "html"), "norm", "left")
+    content = pages.select("page_id", "html", F.lit(0).cast("bigint").alias("_share"))
+    return asked.join(content, ["page_id", "_share"], "left").drop("_share")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.robots import rules_for_agent
+from pagemill.operators.rows import explode_with_position
 
 
 def compile_rules(docs: DataFrame, agent: str) -> DataFrame:
@@ -16,6 +17,7 @@ def compile_rules(docs: DataFrame, agent: str) -> DataFrame:
 
 def rule_rows(docs: DataFrame, agent: str) -> DataFrame:
     """``(domain, rule_no, allow, prefix)`` in file order."""
-    return compile_rules(docs, agent).select(
-        "domain", F.posexplode("rules").alias("rule_no", "rule")
-    ).select("domain", "rule_no", "rule.allow", "rule.prefix")
+    rules = compile_rules(docs, agent)
+    return explode_with_position(rules, ["domain"], F.col("rules"), "rule_no", "rule").select(
+        "domain", "rule_no", "rule.allow", "rule.prefix"
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import domain_key, resolve
+from pagemill.operators.rows import explode_with_position
 
 # Fixed value: addresses taken from one sitemap.
 MAX_URLS = 500
@@ -56,9 +57,7 @@ def parse_sitemaps(docs: DataFrame, max_urls: int = MAX_URLS, xml: str = "xml")
     cut = F.slice(F.transform(located, lambda v: F.regexp_replace(v, r"^\s+|\s+$", "")), 1, max_urls)
     kind = F.when(F.contains(F.col("_root"), F.lit("urlset")), F.lit("page")).otherwise(F.lit("sitemap"))
     carried = [F.col(c) for c in docs.columns if c != xml]
-    return (
-        parsed.select(*carried, kind.alias("kind"), F.posexplode(cut).alias("pos", "loc"))
-    )
+    return explode_with_position(parsed, [*carried, kind.alias("kind")], cut, "pos", "loc")
 
 
 def sitemap_seeds(
@@ -75,7 +74,6 @@ def sitemap_seeds(
         .agg(F.min(F.struct("seed_ord", "seed")).alias("first"))
         .select("site", "first.*")
     )
-    listed = parse_sitemaps(
-        docs.select(domain_key(F.col("base_url")).alias("site"), "xml"), max_urls
-    )
-    return first.join(listed, "site").select("seed_ord", "seed", "pos", "loc")
+    of_site = docs.select(domain_key(F.col("base_url")).alias("site"), "xml")
+    listed = parse_sitemaps(first.join(of_site, "site"), max_urls)
+    return listed.select("seed_ord", "seed", "pos", "loc")
