@@ -23,9 +23,11 @@ HEAD_RE = r"(?is)<head(?:\s[^>]*)?>.*?(?:</head\s*>|<body\b[^>]*>)|<title\b[^>]*
 # A tag with its quoted attributes; the second form takes tags with an odd quote.
 ATTRS = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
 TAG_RE = rf"(?s)<[/!?A-Za-z]{ATTRS}>|<[/!?A-Za-z][^>]*>"
+# What follows a tag name, up to and with its end.
+TAIL = rf"\b(?:{ATTRS}>|[^>]*>)"
 BLOCK_RE = (
     r"(?i)</?(?:p|div|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|blockquote|pre|hr|br|article|section"
-    r"|header|footer|nav|main|aside|form|body|html)\b[^>]*>"
+    rf"|header|footer|nav|main|aside|form|body|html){TAIL}"
 )
 _ENTITY = r"(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
@@ -65,7 +67,7 @@ def _code_point_text(body: Column) -> Column:
     ).otherwise(F.conv(F.substr(body, F.lit(2)), 10, 16))
     code = F.conv(hexed, 16, 10).cast("bigint")
     bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-    return F.when(bad, F.lit("�")).otherwise(
+    return F.when(bad, F.lit("\ufffd")).otherwise(
         F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
     )
 
@@ -102,24 +104,28 @@ def page_text(html: Column) -> Column:
     """Plain text, one block per line, no blank lines."""
     t = F.regexp_replace(_visible(html), BLOCK_RE, "\n")
     t = decode_entities(F.regexp_replace(t, TAG_RE, ""))
-    t = F.regexp_replace(t, r"[ \t ]+", " ")
+    t = F.regexp_replace(t, r"[ \t\u00a0]+", " ")
     t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
     return F.trim(t, F.lit(" \n"))
 
 
 # One rewriting rule per markdown construct, in order; each matches a single tag, but for
 # links, whose text is needed.  Images have no rule: they fall to the tag stripper.
+_VALUE = r"""\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"']++)"""
+_OTHER_ATTRIBUTES = rf"""(?:\s+(?!href\s*=)[^\s=>"']++(?:{_VALUE})?+)*+"""
+_HREF = r"""\s+href\s*=\s*(?:"([^"#][^"]*)"|'([^'#][^']*)'|([^\s>"'#][^\s>"']*))"""
+# link text ends at its own end tag and never runs into another anchor
+_LINK_TEXT = r"([^<]*+(?:<(?!/?a\b)[^<]*+)*+)"
 MARKDOWN_RULES = (
-    (r"(?i)<a\b[^>]*?\shref\s*=\s*(?:\"([^\"#][^\"]*)\"|'([^'#][^']*)'|([^\s>\"'#][^\s>\"']*))[^>]*>(.*?)</a\s*>",
-     "[$4]($1$2$3)"),
-    (r"(?i) ?<h([1-6])\b[^>]*> ?", "\n\n\u0001$1 "),
+    (rf"(?i)<a{_OTHER_ATTRIBUTES}{_HREF}{ATTRS}>{_LINK_TEXT}</a\s*>", "[$4]($1$2$3)"),
+    (rf"(?i) ?<h([1-6]){TAIL} ?", "\n\n\u0001$1 "),
     (r"(?i) ?</(?:h[1-6]|p|div|ul|ol|dl|table|blockquote|pre)\s*> ?", "\n\n"),
-    (r"(?i) ?<(?:p|div|ul|ol|dl|table|pre)\b[^>]*> ?", "\n\n"),
-    (r"(?i) ?<blockquote\b[^>]*> ?", "\n\n> "),
-    (r"(?i) ?<li\b[^>]*> ?", "\n  * "),
-    (r"(?i) ?<hr\b[^>]*> ?", "\n\n* * *\n\n"),
-    (r"(?i)<br\b[^>]*> ?", "  \n"),
-    (r"(?i)</t[dh]\s*> ?<t[dh]\b[^>]*>", " | "),
+    (rf"(?i) ?<(?:p|div|ul|ol|dl|table|pre){TAIL} ?", "\n\n"),
+    (rf"(?i) ?<blockquote{TAIL} ?", "\n\n> "),
+    (rf"(?i) ?<li{TAIL} ?", "\n  * "),
+    (rf"(?i) ?<hr{TAIL} ?", "\n\n* * *\n\n"),
+    (rf"(?i)<br{TAIL} ?", "  \n"),
+    (rf"(?i)</t[dh]\s*> ?<t[dh]{TAIL}", " | "),
     (r"(?i) ?</(?:tr|li|dt|dd)\s*> ?", "\n"),
     (r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**"),
     (r"(?i)</?(?:i|em|u)(?:\s[^>]*)?>", "_"),
@@ -136,21 +142,21 @@ def page_markdown(html: Column) -> Column:
     for level in range(1, 7):
         t = F.replace(t, F.lit(f"\u0001{level}"), F.lit("#" * level))
     t = decode_entities(F.regexp_replace(t, TAG_RE, ""))
-    t = F.regexp_replace(t, r" ", " ")
+    t = F.regexp_replace(t, r"\u00a0", " ")
     t = F.regexp_replace(t, r"\n[ \n]*\n", "\n\n")
     return F.trim(t, F.lit(" \n"))
 
 
 def is_blank(text: Column) -> Column:
     """True for null text and for text that is white space only."""
-    return text.isNull() | ~text.rlike(r"[^\s ]")
+    return ~F.coalesce(text, F.lit("")).rlike(r"[^\s\u00a0]")
 
 
 def is_blank_page(html: Column) -> Column:
     """``is_blank(page_markdown(html))``, converting only pages without plain text."""
 
     def check(dom: Column) -> Column:
-        certain = F.regexp_replace(dom, HEAD_RE, "").rlike(r"(?i)</?(?:p|div|h[1-6]|li|b|a|span)\b[^<>]*>[^<>&]*[^<>&\s ]")
+        certain = F.regexp_replace(dom, HEAD_RE, "").rlike(r"(?i)</?(?:p|div|h[1-6]|li|b|a|span)\b[^<>]*>[^<>&]*[^<>&\s\u00a0]")
         return F.when(certain, F.lit(False)).otherwise(is_blank(page_markdown(dom)))
 
     return html.isNull() | let(strip_raw(html), check)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.binding import let
 
-_LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+_LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 _LINE_RE = r"(?s)^\s*([^:]*?)\s*:\s*(.*?)\s*$"
 
 # Directives that matter for grouping lines.

@@ -104,7 +104,7 @@ def cache_write(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cache_size(spark: SparkSession, sf: str) -> DataFrame:
-    p = inputs.pages(spark, sf).select("url", F.lit("").alias("markdown"))
+    p = inputs.pages(spark, sf).select("url", URL.alias("markdown"))
     return cache.cache_size(cache.cache_rows(p).dropDuplicates(["url_key"]))
 
 

@@ -347,7 +347,7 @@ def oracle_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
                        from pages where page_id % 3 = 0 and {TEXT} <> '' group by 1)
             select page_id, substr(sha256(url), 1, 16) as url_key, c.n is not null as hit, c.n as cached_chars
             from pages p left join c on c.url_key = substr(sha256(p.url), 1, 16)""",
-        "cache_write": f"select substr(sha256(url), 1, 16) as url_key, url, length({TEXT}) as n_chars from pages",
+        "cache_write": f"select substr(sha256(url), 1, 16) as url_key, url, length({TEXT}) as n_chars from pages where {TEXT} <> ''",
         "cache_size": "select count(distinct url) as cached_pages from pages",
         # URL expressions
         "url_normalize": "select page_id, form, case when contains(raw, '#') then regexp_extract(lower(raw), '^[a-z]+:') "

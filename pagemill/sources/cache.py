@@ -1,6 +1,7 @@
 """Page cache: markdown kept between runs, keyed by a hash of the address.
 
-The table is append-only: a run adds the addresses it did not find.
+The table is append-only: a run adds the addresses it did not find.  An empty text is never
+a hit, so it is not stored either.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ CACHE_SCHEMA = "url_key string, url string, markdown string"
 
 
 def cache_rows(pages: DataFrame, use_norm: bool = False) -> DataFrame:
-    """``(url_key, url, markdown)`` of pages with ``url`` and ``markdown``."""
+    """``(url_key, url, markdown)`` of pages with ``url`` and a ``markdown`` text."""
     address = normalize(F.col("url")) if use_norm else F.col("url")
-    return pages.select(url_key(address).alias("url_key"), "url", "markdown")
+    stored = pages.where(F.col("markdown") != "")
+    return stored.select(url_key(address).alias("url_key"), "url", "markdown")
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -30,10 +32,13 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def look_up(pages: DataFrame, cache: DataFrame, use_norm: bool = False) -> DataFrame:
     """``pages`` plus ``cached`` markdown (null on a miss) and the flag ``hit``.
 
-    An empty cached text does not count as a hit.
+    Two runs at a time may have stored an address twice; one text per key is taken, on the
+    partitioning the join needs anyway.
     """
     address = normalize(F.col("url")) if use_norm else F.col("url")
-    stored = cache.where(F.col("markdown") != "").select("url_key", F.col("markdown").alias("cached"))
+    stored = cache.where(F.col("markdown") != "").groupBy("url_key").agg(
+        F.min("markdown").alias("cached")
+    )
     return (
         pages.withColumn("url_key", url_key(address))
         .join(stored, "url_key", "left")
