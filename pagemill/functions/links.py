@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +81,12 @@ def absolute_hrefs(html: Column, url: Column) -> Column:
     return let(strip_raw(html), lambda dom: resolve_all(base_url(dom, url), dom_hrefs(dom)))
 
 
+@cache
+def page_links_of(html: str = "html", url: str = "url") -> Column:
+    """``page_links`` over named columns; built once per process, as it has some 500 nodes."""
+    return page_links(F.col(html), F.col(url))
+
+
 def page_links(html: Column, url: Column) -> Column:
     """All link targets of a page, absolute: anchors first, then onclick targets."""
 

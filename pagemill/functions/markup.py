@@ -19,7 +19,7 @@ RAW_RE = (
     r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
     r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
 )
-HEAD_RE = r"(?is)<head(?:\s[^>]*)?>.*?(?:</head\s*>|<body\b[^>]*>)|<title\b[^>]*>.*?</title\s*>"
+HEAD_RE = r"(?is)<head(?:\s[^>]*)?>.*?(?:</head\s*>|<body\b[^>]*>)|<title\b[^>]*>.*?(?:</title\s*>|\z)"
 # A tag with its quoted attributes; the second form takes tags with an odd quote.
 ATTRS = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
 TAG_RE = rf"(?s)<[/!?A-Za-z]{ATTRS}>|<[/!?A-Za-z][^>]*>"

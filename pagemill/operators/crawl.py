@@ -15,9 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.binding import let
@@ -61,24 +62,31 @@ class CrawlRun:
         return delete_folder(self.visited.sparkSession, self.folder)
 
 
-def page_index(pages: DataFrame) -> DataFrame:
-    """``(norm, page_id, hrefs, targets, blank)``: one slim row per visit key.
-
-    ``hrefs`` are absolute (a browser resolves them against the document), ``targets`` are
-    raw onclick addresses (resolved against the visited address later).
-    """
+@cache
+def _page_facts() -> Column:
+    """Links and blank flag of ``(url, html)``; built once per process."""
 
-    def facts(dom):
+    def facts(dom: Column) -> Column:
         return F.struct(
             resolve_all(base_url(dom, F.col("url")), dom_hrefs(dom)).alias("hrefs"),
             dom_onclick_targets(dom).alias("targets"),
             is_blank_page(dom).alias("blank"),
         )
 
+    return let(strip_raw(F.coalesce(F.col("html"), F.lit(""))), facts)
+
+
+def page_index(pages: DataFrame) -> DataFrame:
+    """``(norm, page_id, hrefs, targets, blank)``: one slim row per visit key.
+
+    ``hrefs`` are absolute (a browser resolves them against the document), ``targets`` are
+    raw onclick addresses (resolved against the visited address later).
+    """
+
     slim = pages.select(
         normalize(F.col("url")).alias("norm"),
         "page_id",
-        let(strip_raw(F.coalesce(F.col("html"), F.lit(""))), facts).alias("f"),
+        _page_facts().alias("f"),
         F.col("html").isNull().alias("gone"),
     )
     best = F.min_by(F.struct("page_id", "f", "gone"), F.col("page_id")).alias("best")
@@ -137,6 +145,7 @@ def _visit(
     )
 
 
+@cache
 def expander(scope: str) -> Callable[[DataFrame], DataFrame]:
     """A function from a level to the requests below it: links that are pages and in scope.
 

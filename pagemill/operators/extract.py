@@ -18,18 +18,18 @@ from pyspark.sql import functions as F
 from pagemill.functions.markup import is_blank, within_context
 
 # (source text, url, prompt) -> JSON-like result
-Extractor = Callable[[str, str, str], Any]
+Model = Callable[[str, str, str], Any]
 
 # Fixed value: tries per page.
 ATTEMPTS = 2
 RESULT_SCHEMA = "source_url string, depth int, data string, error string, attempts int"
 
 
-def _run(extractor: Extractor, source: str, url: str, prompt: str, attempts: int):
+def _run(model: Model, source: str, url: str, prompt: str, attempts: int):
     error = None
     for attempt in range(1, attempts + 1):
         try:
-            result = extractor(source, url, prompt)
+            result = model(source, url, prompt)
             data = None if result is None else json.dumps(result, ensure_ascii=False, default=str)
             return data, None, attempt
         except Exception as problem:  # any failure of the user's model is a failed page
@@ -39,7 +39,7 @@ def _run(extractor: Extractor, source: str, url: str, prompt: str, attempts: int
 
 def extract(
     pages: DataFrame,
-    extractor_factory: Callable[[], Extractor],
+    model_factory: Callable[[], Model],
     prompt: str,
     *,
     provider: str | None = None,
@@ -61,15 +61,15 @@ def extract(
         slim = slim.repartition(parallelism)
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extractor = None
+        model = None
         for batch in batches:
             out = []
             for url, depth, text in zip(batch["url"], batch["depth"], batch["source"]):
-                if text is None:
+                if not isinstance(text, str):
                     out.append((url, depth, None, "blank page", 0))
                     continue
-                extractor = extractor or extractor_factory()
-                out.append((url, depth, *_run(extractor, text, url, prompt, attempts)))
+                model = model or model_factory()
+                out.append((url, depth, *_run(model, text, url, prompt, attempts)))
             yield pd.DataFrame(out, columns=["source_url", "depth", "data", "error", "attempts"])
 
     return slim.mapInPandas(infer, RESULT_SCHEMA)

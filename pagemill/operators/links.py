@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.links import hrefs, onclick_targets, page_links
+from pagemill.functions.links import hrefs, onclick_targets, page_links_of
 from pagemill.functions.urls import SCOPES, in_scope, is_junk, normalize
 from pagemill.operators.rows import explode_with_position
 
@@ -25,7 +25,7 @@ def onclick_links(pages: DataFrame) -> DataFrame:
 def links(pages: DataFrame) -> DataFrame:
     """``(page_id, url, pos, target)``: anchors, then onclick targets, all absolute."""
     return explode_with_position(
-        pages, ["page_id", "url"], page_links(F.col("html"), F.col("url")), "pos", "target"
+        pages, ["page_id", "url"], page_links_of(), "pos", "target"
     )
 
 

@@ -16,7 +16,7 @@ from pagemill.operators.extract import extract, split_results
 from pagemill.operators.rows import explode_with_position
 from pagemill.operators.robots import domains_checked, with_verdict
 from pagemill.plans import inputs
-from pagemill.plans.doubles import heading_extractor
+from pagemill.plans.doubles import heading_model
 from pagemill.sinks import export as sinks
 from pagemill.sources import cache, seeds, sitemaps
 from pagemill.sources import pages as page_source
@@ -27,7 +27,6 @@ from pagemill.streaming import pages as streams
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-URL, HTML = F.col("url"), F.col("html")
 PAGE_STREAM_FILES = "pages.parquet"
 
 
@@ -43,8 +42,8 @@ def query(run: Query) -> Query:
 def seed_list(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("page_id")
     line = (
-        F.when(n % 5 == 0, F.concat(F.lit("  # "), URL)).when(n % 7 == 0, F.lit("   "))
-        .otherwise(F.concat(F.lit("  "), URL, F.lit(" \t")))
+        F.when(n % 5 == 0, F.concat(F.lit("  # "), F.col("url"))).when(n % 7 == 0, F.lit("   "))
+        .otherwise(F.concat(F.lit("  "), F.col("url"), F.lit(" \t")))
     )
     return seeds.parse_seed_lines(inputs.pages(spark, sf).select("page_id", line.alias("value")), order="page_id")
 
@@ -74,7 +73,7 @@ def sitemap_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sitemap_address(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.pages(spark, sf).select("page_id", sitemaps.sitemap_address(URL).alias("address"))
+    return inputs.pages(spark, sf).select("page_id", sitemaps.sitemap_address(F.col("url")).alias("address"))
 
 
 @query
@@ -84,9 +83,9 @@ def robots_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    p = inputs.pages(spark, sf)
+    p = inputs.html_pages(spark, sf)
     stored = cache.cache_rows(
-        p.where(F.col("page_id") % 3 == 0).select("url", markup.page_text(HTML).alias("markdown"))
+        p.where(F.col("page_id") % 3 == 0).select("url", markup.page_text(F.col("html")).alias("markdown"))
     ).dropDuplicates(["url_key"])
     return cache.look_up(p.select("page_id", "url"), stored).select(
         "page_id", "url_key", "hit", F.length("cached").alias("cached_chars")
@@ -95,7 +94,7 @@ def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cache_write(spark: SparkSession, sf: str) -> DataFrame:
-    p = inputs.pages(spark, sf).select("page_id", "url", markup.page_text(HTML).alias("markdown"))
+    p = inputs.html_pages(spark, sf).select("page_id", "url", markup.page_text(F.col("html")).alias("markdown"))
     path = new_folder(spark, "cache")
     cache.write_cache(cache.cache_rows(p.where(F.col("page_id") % 2 == 0)), path)
     cache.write_cache(cache.cache_rows(p), path)
@@ -104,16 +103,16 @@ def cache_write(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cache_size(spark: SparkSession, sf: str) -> DataFrame:
-    p = inputs.pages(spark, sf).select("url", URL.alias("markdown"))
+    p = inputs.pages(spark, sf).select("url", F.col("url").alias("markdown"))
     return cache.cache_size(cache.cache_rows(p).dropDuplicates(["url_key"]))
 
 
-# ---- URL expressions -----------------------------------------------------------------
+# ---- F.col("url") expressions -----------------------------------------------------------------
 
 
 @query
 def url_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    forms = F.array(URL, F.concat(URL, F.lit("//")), F.concat(URL, F.lit("#frag")), F.upper(URL))
+    forms = F.array(F.col("url"), F.concat(F.col("url"), F.lit("//")), F.concat(F.col("url"), F.lit("#frag")), F.upper(F.col("url")))
     return inputs.pages(spark, sf).select("page_id", F.posexplode(forms).alias("form", "raw")).select(
         "page_id", "form", urls.normalize(F.col("raw")).alias("norm")
     )
@@ -122,7 +121,7 @@ def url_normalize(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def url_parts(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.pages(spark, sf).select(
-        "page_id", urls.url_parts(URL).alias("p"), urls.domain_key(URL).alias("domain")
+        "page_id", urls.url_parts(F.col("url")).alias("p"), urls.domain_key(F.col("url")).alias("domain")
     ).select("page_id", "p.*", "domain")
 
 
@@ -136,13 +135,13 @@ RESOLVE_FORMS = (
 def url_resolve(spark: SparkSession, sf: str) -> DataFrame:
     forms = F.array(*[F.lit(f) for f in RESOLVE_FORMS])
     return inputs.pages(spark, sf).select(
-        "page_id", F.posexplode(urls.resolve_all(URL, forms)).alias("form", "target")
+        "page_id", F.posexplode(urls.resolve_all(F.col("url"), forms)).alias("form", "target")
     )
 
 
 @query
 def seed_directory(spark: SparkSession, sf: str) -> DataFrame:
-    forms = F.array(URL, F.regexp_extract(URL, r"^[^/]+//[^/]+", 0), F.concat(URL, F.lit("/d/")))
+    forms = F.array(F.col("url"), F.regexp_extract(F.col("url"), r"^[^/]+//[^/]+", 0), F.concat(F.col("url"), F.lit("/d/")))
     return inputs.pages(spark, sf).select("page_id", F.posexplode(forms).alias("form", "u")).select(
         "page_id", "form", urls.seed_directory(F.col("u")).alias("directory")
     )
@@ -150,7 +149,7 @@ def seed_directory(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def url_key(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.pages(spark, sf).select("page_id", urls.url_key(URL).alias("url_key"))
+    return inputs.pages(spark, sf).select("page_id", urls.url_key(F.col("url")).alias("url_key"))
 
 
 # ---- text ----------------------------------------------------------------------------
@@ -158,19 +157,19 @@ def url_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.pages(spark, sf).select("page_id", markup.page_text(HTML).alias("text"))
+    return inputs.html_pages(spark, sf).select("page_id", markup.page_text(F.col("html")).alias("text"))
 
 
 @query
 def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.pages(spark, sf).select("page_id", markup.page_markdown(HTML).alias("markdown"))
+    return inputs.html_pages(spark, sf).select("page_id", markup.page_markdown(F.col("html")).alias("markdown"))
 
 
 @query
 def blank_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    empty = F.concat(F.lit("<html><body><script>var x='"), URL, F.lit("'</script><p> &nbsp;</p></body></html>"))
-    forms = F.array(HTML, empty, F.lit(None).cast("string"))
-    return inputs.pages(spark, sf).select("page_id", F.posexplode(forms).alias("form", "h")).select(
+    empty = F.concat(F.lit("<html><body><script>var x='"), F.col("url"), F.lit("'</script><p> &nbsp;</p></body></html>"))
+    forms = F.array(F.col("html"), empty, F.lit(None).cast("string"))
+    return inputs.html_pages(spark, sf).select("page_id", F.posexplode(forms).alias("form", "h")).select(
         "page_id", "form", markup.is_blank(markup.page_markdown(F.col("h"))).alias("blank"),
         markup.is_blank_page(F.col("h")).alias("blank_page"),
     )
@@ -196,12 +195,12 @@ def context_truncate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    return links.raw_links(inputs.pages(spark, sf)).select("page_id", "pos", "link")
+    return links.raw_links(inputs.html_pages(spark, sf)).select("page_id", "pos", "link")
 
 
 @query
 def links_resolved(spark: SparkSession, sf: str) -> DataFrame:
-    return links.links(inputs.pages(spark, sf)).select("page_id", "pos", "target")
+    return links.links(inputs.html_pages(spark, sf)).select("page_id", "pos", "target")
 
 
 def _onclick_html(url):
@@ -213,34 +212,34 @@ def _onclick_html(url):
 
 @query
 def onclick_links(spark: SparkSession, sf: str) -> DataFrame:
-    made = inputs.pages(spark, sf).withColumn("html", _onclick_html(URL))
+    made = inputs.html_pages(spark, sf).withColumn("html", _onclick_html(F.col("url")))
     return links.onclick_links(made).select("page_id", "pos", "link")
 
 
 @query
 def link_union(spark: SparkSession, sf: str) -> DataFrame:
-    made = inputs.pages(spark, sf).withColumn("html", F.concat(_onclick_html(URL), HTML))
+    made = inputs.html_pages(spark, sf).withColumn("html", F.concat(_onclick_html(F.col("url")), F.col("html")))
     return links.links(made).select("page_id", "pos", "target")
 
 
 @query
 def link_null_safe(spark: SparkSession, sf: str) -> DataFrame:
-    made = inputs.pages(spark, sf).withColumn("html", F.when(F.col("page_id") % 2 == 0, HTML))
-    return made.select("page_id", F.size(link_fn.page_links(HTML, URL)).alias("links"))
+    made = inputs.html_pages(spark, sf).withColumn("html", F.when(F.col("page_id") % 2 == 0, F.col("html")))
+    return made.select("page_id", F.size(link_fn.page_links_of()).alias("links"))
 
 
 @query
 def links_per_page(spark: SparkSession, sf: str) -> DataFrame:
-    found = links.links(inputs.pages(spark, sf)).withColumn("seed", URL)
+    found = links.links(inputs.html_pages(spark, sf)).withColumn("seed", F.col("url"))
     return links.links_per_page(found)
 
 
 @query
 def in_scope_links(spark: SparkSession, sf: str) -> DataFrame:
     """The links of each host's first page that are pages of that host, per seed."""
-    p, first = inputs.pages(spark, sf), inputs.host_seeds(spark, sf)
+    p, first = inputs.html_pages(spark, sf), inputs.host_seeds(spark, sf)
     start = p.join(first, p["page_id"] == first["seed_ord"]).select("page_id", "url", "html", "seed")
-    found = explode_with_position(start, ["seed"], link_fn.page_links(HTML, URL), "pos", "target")
+    found = explode_with_position(start, ["seed"], link_fn.page_links_of(), "pos", "target")
     return links.followable(found, "same_domain").groupBy("seed").agg(
         F.count("*").alias("links"), F.count_distinct("target").alias("distinct_links")
     )
@@ -250,17 +249,17 @@ def in_scope_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    origin = urls.domain_key(URL)
-    host = urls.netloc(URL)
+    origin = urls.domain_key(F.col("url"))
+    host = urls.netloc(F.col("url"))
     forms = F.array(
-        URL, F.concat(URL, F.lit(".pdf")), F.concat(origin, F.lit("/a.JPG?x=1")),
+        F.col("url"), F.concat(F.col("url"), F.lit(".pdf")), F.concat(origin, F.lit("/a.JPG?x=1")),
         F.concat(origin, F.lit("/a?x=.jpg")), F.concat(origin, F.lit("/a.jpg/b")),
         F.concat(origin, F.lit("/f.woff2")), F.concat(F.lit("mailto:x@"), host),
         F.lit("javascript:void(0)"), F.concat(F.lit("ftp://"), host, F.lit("/x")), F.lit("http:"),
         origin, F.concat(F.lit("https://www."), host, F.lit("/en/1")),
         F.concat(origin, F.lit(":8080/en/1")), F.concat(origin, F.lit("/en/1")), F.concat(origin, F.lit("/En/1")),
     )
-    return inputs.pages(spark, sf).select("page_id", URL.alias("seed"), F.posexplode(forms).alias("form", "target"))
+    return inputs.html_pages(spark, sf).select("page_id", F.col("url").alias("seed"), F.posexplode(forms).alias("form", "target"))
 
 
 @query
@@ -313,9 +312,9 @@ def follow_test(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def robots_allowed(spark: SparkSession, sf: str) -> DataFrame:
     asked = inputs.pages(spark, sf).select(
-        "page_id", F.posexplode(F.array(URL, F.concat(urls.domain_key(URL), F.lit("/The")),
-                                        F.concat(urls.domain_key(URL), F.lit("/en/1x")),
-                                        urls.domain_key(URL))).alias("form", "url")
+        "page_id", F.posexplode(F.array(F.col("url"), F.concat(urls.domain_key(F.col("url")), F.lit("/The")),
+                                        F.concat(urls.domain_key(F.col("url")), F.lit("/en/1x")),
+                                        urls.domain_key(F.col("url")))).alias("form", "url")
     )
     rules = robots_source.compile_rules(inputs.robots_docs(spark, sf), inputs.AGENT)
     return with_verdict(asked, rules).select("page_id", "form", "allowed")
@@ -349,7 +348,7 @@ def result_split(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def distinct_pages(spark: SparkSession, sf: str) -> DataFrame:
     p = inputs.pages(spark, sf)
-    copies = p.select(F.col("page_id") + 1_000_000_000, F.concat(URL, F.lit("/")), "html").toDF(*p.columns)
+    copies = p.select(F.col("page_id") + 1_000_000_000, F.concat(F.col("url"), F.lit("/")), "html").toDF(*p.columns)
     return page_source.distinct_pages(p.unionByName(copies))
 
 
@@ -404,7 +403,7 @@ def crawl_cap(spark: SparkSession, sf: str) -> DataFrame:
 def crawl_robots(spark: SparkSession, sf: str) -> DataFrame:
     """All pages as seeds, one level of links, robots and sitemaps on."""
     run = crawling.crawl(
-        inputs.pages(spark, sf), inputs.page_seeds(spark, sf),
+        inputs.html_pages(spark, sf), inputs.page_seeds(spark, sf),
         robots=inputs.robots_docs(spark, sf), sitemaps=inputs.site_sitemaps(spark, sf),
         agent=inputs.AGENT, scope="same_domain", max_depth=1,
     )
@@ -428,11 +427,11 @@ def resume_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def extract_pages(spark: SparkSession, sf: str) -> DataFrame:
-    read = inputs.pages(spark, sf).select(
-        "url", F.lit(0).alias("depth"), markup.page_markdown(HTML).alias("markdown")
+    read = inputs.html_pages(spark, sf).select(
+        "url", F.lit(0).alias("depth"), markup.page_markdown(F.col("html")).alias("markdown")
     )
     # stored: the attempt counter of the stand-in must not be re-evaluated
-    found = write_table(extract(read, heading_extractor, "Get the title"), new_folder(spark, "extract"))
+    found = write_table(extract(read, heading_model, "Get the title"), new_folder(spark, "extract"))
     value = F.try_parse_json("data")
     return found.select(
         F.col("source_url").alias("url"), "depth", "attempts",
@@ -640,7 +639,7 @@ def stream_resume(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_extract(spark: SparkSession, sf: str) -> DataFrame:
     shape = T.StructType([T.StructField("title", T.StringType()), T.StructField("links", T.LongType())])
-    rows = streams.extraction_stream(_page_stream(spark, sf), heading_extractor, "Get the title", shape)
+    rows = streams.extraction_stream(_page_stream(spark, sf), heading_model, "Get the title", shape)
     out = _run_stream(spark, rows, new_folder(spark, "stream"))
     return out.select("title", "links", F.col("_source_url").alias("url"), F.col("_crawl_depth").alias("depth"))
 

@@ -1,15 +1,15 @@
-"""A deterministic extractor that stands in for a model."""
+"""A deterministic model that stands in for a model."""
 
 from __future__ import annotations
 
 import re
 
-from pagemill.operators.extract import Extractor
+from pagemill.operators.extract import Model
 
 _HEADING = re.compile(r"^# (.*)$", re.MULTILINE)
 
 
-def heading_extractor() -> Extractor:
+def heading_model() -> Model:
     """Returns the first heading and the number of links; fails once per page to be retried."""
     failed_once: set[str] = set()
 

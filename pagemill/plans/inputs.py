@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import domain_key, netloc
-from pagemill.sources.pages import distinct_pages, with_norm
+from pagemill.sources.pages import balanced, distinct_pages, with_norm
 
 AGENT = "pagemill"
 SHAPES = 12
@@ -39,6 +39,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` for queries that parse html."""
+    return balanced(pages(spark, sf_dir))
+
+
 def page_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page address is a seed, in page order."""
     return pages(spark, sf_dir).select(F.col("page_id").alias("seed_ord"), F.col("url").alias("seed"))
@@ -55,10 +60,10 @@ def host_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that also link to the pages ``2n+1``, ``2n+2`` and ``n/2``: a tree with cycles."""
-    p = pages(spark, sf_dir)
-    address = p.select(F.col("page_id").alias("to_id"), F.col("url").alias("to_url"))
+    p = html_pages(spark, sf_dir)
+    address = pages(spark, sf_dir).select(F.col("page_id").alias("to_id"), F.col("url").alias("to_url"))
     n = F.col("page_id")
-    wanted = p.select(
+    wanted = pages(spark, sf_dir).select(
         "page_id",
         F.posexplode(F.array(2 * n + 1, 2 * n + 2, F.floor(n / 2).cast("bigint"))).alias("k", "to_id"),
     )
@@ -128,7 +133,10 @@ def site_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extraction results in twelve shapes, one per line item; see ``oracles.SHAPE_ROWS``."""
-    li = table(spark, sf_dir, "lineitem")
+    li = balanced(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
+        "l_returnflag", "l_linestatus",
+    ))
     part, supp, price = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")
     quantity = F.col("l_quantity").cast("bigint").cast("string")
 

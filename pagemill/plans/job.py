@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.markup import page_markdown
 from pagemill.operators.crawl import EXTRACT_FAILED, OK, CrawlRun, crawl
-from pagemill.operators.extract import Extractor, extract, split_results
+from pagemill.operators.extract import Model, extract, split_results
 from pagemill.operators.flatten import flatten_results, normalize_columns
 from pagemill.operators.report import run_counters, summary_lines
 from pagemill.operators.typed import load_schema, prompt_suffix, to_struct, typed_columns
@@ -68,7 +68,7 @@ def page_content(visited: DataFrame, pages: DataFrame, cache_dir: str | None = N
 def run_job(
     spec: JobSpec,
     pages: DataFrame,
-    extractor_factory: Callable[[], Extractor],
+    model_factory: Callable[[], Model],
     robots: DataFrame | None = None,
     sitemaps: DataFrame | None = None,
     visited: DataFrame | None = None,
@@ -90,7 +90,7 @@ def run_job(
         append_misses(cache_rows(content.where(~F.col("hit"))), spec.cache_dir)
     # stored before it is used twice: the model is asked once per page
     answered = write_table(
-        extract(content, extractor_factory, prompt, provider=spec.provider, parallelism=spec.parallelism),
+        extract(content, model_factory, prompt, provider=spec.provider, parallelism=spec.parallelism),
         f"{run.folder}/results",
     )
     results, unanswered = split_results(answered)

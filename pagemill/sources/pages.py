@@ -12,7 +12,18 @@ MISSING_SHARES = 4096
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).schema(PAGE_SCHEMA).load(path)
+    return balanced(spark.read.format(fmt).schema(PAGE_SCHEMA).load(path))
+
+
+def balanced(scan: DataFrame) -> DataFrame:
+    """A file scan with fewer tasks than the cluster has cores, spread over all cores.
+
+    Parsing pages is work for the CPU, and a small table may be a single row group.  A scan
+    that already has a task per core passes through untouched, without a shuffle.  Only for
+    plain scans: counting the tasks of a plan with joins would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def with_norm(pages: DataFrame, url: str = "url") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.functions.markup import page_markdown
 from pagemill.functions.urls import normalize
-from pagemill.operators.extract import Extractor, extract
+from pagemill.operators.extract import Model, extract
 from pagemill.operators.flatten import flatten_results, normalize_columns
 from pagemill.sinks.export import export
 from pagemill.sources.pages import PAGE_SCHEMA
@@ -69,7 +69,7 @@ def distinct_stream(pages: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def extraction_stream(
     pages: DataFrame,
-    extractor_factory: Callable[[], Extractor],
+    model_factory: Callable[[], Model],
     prompt: str,
     item_schema: T.StructType,
     **options: Any,
@@ -78,7 +78,7 @@ def extraction_stream(
     read = pages.select(
         "url", F.lit(0).alias("depth"), page_markdown(F.col("html")).alias("markdown")
     )
-    results = extract(read, extractor_factory, prompt, **options)
+    results = extract(read, model_factory, prompt, **options)
     return normalize_columns(
         flatten_results(results.where(F.col("data").isNotNull())), schema=item_schema
     )

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from pagemill import JobSpec, load_run, run_job
-from pagemill.plans.doubles import heading_extractor
+from pagemill.plans.doubles import heading_model
 from pagemill.sources.cache import read_cache
 from pagemill.sources.pages import PAGE_SCHEMA
 from pagemill.storage import new_folder, shared_root
@@ -24,7 +24,7 @@ def test_job(spark, tmp_path):
         prompt="Get the title", start_url="http://h/", max_depth=1, output_format="json",
         output_dir=str(tmp_path / "out"), cache_dir=str(tmp_path / "cache"),
     )
-    done = run_job(spec, pages, heading_extractor)
+    done = run_job(spec, pages, heading_model)
     rows = [r.asDict() for r in spark.read.json(done.output_path).orderBy("_source_url").collect()]
     assert rows == [
         {"links": 3, "title": "Home", "_source_url": "http://h/", "_crawl_depth": 0},
@@ -41,7 +41,7 @@ def test_job(spark, tmp_path):
 
     # the cached text is used instead of the page, and the cache does not grow
     changed = pages.withColumn("html", F.regexp_replace("html", "Home", "Changed"))
-    again = run_job(spec, changed, heading_extractor)
+    again = run_job(spec, changed, heading_model)
     titles = [r["title"] for r in again.rows.orderBy("_source_url").collect()]
     assert titles == ["Home", "A"]
     assert read_cache(spark, str(tmp_path / "cache")).count() == 2
@@ -51,13 +51,13 @@ def test_job_with_schema_and_resume(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, PAGE_SCHEMA)
     first = run_job(
         JobSpec("t", start_urls=["http://h/"], output_dir=str(tmp_path / "1"), schema='{"title": "str", "links": "str"}'),
-        pages, heading_extractor,
+        pages, heading_model,
     )
     assert [tuple(r) for r in first.rows.select("title", "links").collect()] == [("Home", "3")]
     visited = load_run(spark, first.run.folder).visited
     second = run_job(
         JobSpec("t", start_urls=["http://h/", "http://k/"], output_dir=str(tmp_path / "2")),
-        pages, heading_extractor, visited=visited,
+        pages, heading_model, visited=visited,
     )
     assert [r["title"] for r in second.rows.collect()] == ["Other"]
 

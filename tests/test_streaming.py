@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.operators.flatten import flatten_results, normalize_columns
-from pagemill.plans.doubles import heading_extractor
+from pagemill.plans.doubles import heading_model
 from pagemill.operators.extract import extract
 from pagemill.functions.markup import page_markdown
 from pagemill.sources.pages import distinct_pages
@@ -53,11 +53,11 @@ SHAPE = T.StructType([T.StructField("title", T.StringType()), T.StructField("lin
 
 def test_extraction_equals_batch(spark, sf_dir, tmp_path):
     stream = s.read_page_stream(spark, sf_dir, "pages.parquet")
-    run(s.extraction_stream(stream, heading_extractor, "title", SHAPE), tmp_path)
+    run(s.extraction_stream(stream, heading_model, "title", SHAPE), tmp_path)
     read = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
         "url", F.lit(0).alias("depth"), page_markdown(F.col("html")).alias("markdown")
     )
-    batch = normalize_columns(flatten_results(extract(read, heading_extractor, "title")), schema=SHAPE)
+    batch = normalize_columns(flatten_results(extract(read, heading_model, "title")), schema=SHAPE)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.columns == batch.columns
     assert out.exceptAll(batch).count() == 0 and out.count() == batch.count() == 50
