@@ -25,13 +25,20 @@ ATTEMPTS = 2
 RESULT_SCHEMA = "source_url string, depth int, data string, error string, attempts int"
 
 
+def _json_text(result: Any) -> str:
+    """JSON that every parser takes: no NaN, no lone surrogates."""
+    text = json.dumps(result, ensure_ascii=False, default=str)
+    if "NaN" in text or "Infinity" in text:
+        text = json.dumps(json.loads(text, parse_constant=lambda _: None), ensure_ascii=False)
+    return text.encode("utf-8", "replace").decode("utf-8")
+
+
 def _run(model: Model, source: str, url: str, prompt: str, attempts: int):
     error = None
     for attempt in range(1, attempts + 1):
         try:
             result = model(source, url, prompt)
-            data = None if result is None else json.dumps(result, ensure_ascii=False, default=str)
-            return data, None, attempt
+            return None if result is None else _json_text(result), None, attempt
         except Exception as problem:  # any failure of the user's model is a failed page
             error = f"{type(problem).__name__}: {problem}"
     return None, error, attempts

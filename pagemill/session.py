@@ -14,6 +14,8 @@ SETTINGS = {
     # page rows are heavy; small Arrow batches keep Python workers flat
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.session.timeZone": "UTC",
+    # JSON with a repeated key is kept, the last one counts, as in most JSON parsers
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # large expressions are built faster without a call-site record per column function
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # visited addresses are kept for the life of a stream

@@ -43,14 +43,13 @@ def render(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """``requests`` (with ``url``) plus the html of their page; null html is a failed fetch.
 
     The page of each visit key is found on slim ``(norm, page_id)`` pairs, then html is
-    fetched by page id, so it moves once at most.  Requests without a page share no join
-    key: they are spread over shares that match nothing.
+    fetched by page id, so it moves once at most.  Requests without a page would all share
+    the null key; they get keys of their own that match nothing.
     """
     winners = distinct_pages(pages).select("norm", "page_id")
+    unmatched = F.concat(F.lit("none "), F.pmod(F.xxhash64("url"), F.lit(MISSING_SHARES)))
     asked = with_norm(requests).join(winners, "norm", "left").withColumn(
-        "_share",
-        F.when(F.col("page_id").isNull(), 1 + F.pmod(F.xxhash64("url"), F.lit(MISSING_SHARES)))
-        .otherwise(F.lit(0)),
+        "_key", F.coalesce(F.col("page_id").cast("string"), unmatched)
     )
-    content = pages.select("page_id", "html", F.lit(0).cast("bigint").alias("_share"))
-    return asked.join(content, ["page_id", "_share"], "left").drop("_share")
+    content = pages.select(F.col("page_id").cast("string").alias("_key"), "html")
+    return asked.join(content, "_key", "left").drop("_key")

@@ -162,6 +162,23 @@ def test_extract(spark):
     assert {r["source_url"] for r in bad.collect()} == {"never", "none", "blank", "null"}
 
 
+def odd_values():
+    return lambda source, url, prompt: {"nan": float("nan"), "inf": [float("inf")], "cut": "a\ud800", "NaN": "NaN"}
+
+
+def test_odd_values_stay_json(spark):
+    pages = spark.createDataFrame([("u", 0, "x")], "url string, depth int, markdown string")
+    data = extract(pages, odd_values, "p").first()["data"]
+    assert json.loads(data) == {"nan": None, "inf": [None], "cut": "a?", "NaN": "NaN"}
+    rows = flatten.flatten_results(spark.createDataFrame([(data,)], "data string"))
+    assert rows.count() == 1
+
+
+def test_repeated_keys_keep_the_last(spark):
+    df = spark.createDataFrame([('{"a":1,"a":2}',)], "data string")
+    assert [r["a"] for r in flatten.normalize_columns(flatten.flatten_results(df)).collect()] == [2]
+
+
 def test_empty_results_are_results(spark):
     df = spark.createDataFrame([("{}",), ("[]",), ("null",), (None,), ("0",)], "data string")
     good, bad = split_results(df)
