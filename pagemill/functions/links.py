@@ -8,12 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions.binding import let
-from pagemill.functions.markup import ATTRS, decode_entities, strip_raw
+from pagemill.functions.markup import ATTRS, OTHER_ATTRIBUTES, decode_entities, strip_raw
 from pagemill.functions.urls import resolve, resolve_all, resolve_with, url_parts
 
 _ATTR_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
+_CONTROLS = "".join(map(chr, range(0x21)))
+_ANCHOR_HREF_RE = rf"""(?is)<a{OTHER_ATTRIBUTES}\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def _no_strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -28,17 +32,17 @@ def _with_attribute(tags: Column, name: str) -> Column:
     return F.filter(tags, lambda t: t.rlike(has))
 
 
-def _blank_free(href: Column) -> Column:
-    return F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\r\n]", "")
-
-
 def dom_hrefs(dom: Column) -> Column:
     """``a[href]`` values of markup already free of comments and scripts."""
-    anchors = F.regexp_extract_all(dom, F.lit(rf"(?is)<a\s{ATTRS}>"), 0)
-    found = F.transform(
-        _with_attribute(anchors, "href"), lambda t: _blank_free(_attribute(t, "href"))
-    )
-    return F.coalesce(found, _no_strings())
+
+    def clean(value: Column) -> Column:
+        quoted = F.startswith(value, F.lit('"')) | F.startswith(value, F.lit("'"))
+        bare = F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        href = F.trim(F.translate(bare, "\t\r\n", ""), F.lit(_CONTROLS))
+        return F.when(F.contains(href, F.lit("&")), decode_entities(href)).otherwise(href)
+
+    found = F.regexp_extract_all(dom, F.lit(_ANCHOR_HREF_RE), 1)
+    return F.coalesce(F.transform(found, clean), _no_strings())
 
 
 def dom_onclick_targets(dom: Column) -> Column:

@@ -1,6 +1,6 @@
 """HTML to text and to markdown, as chains of built-in expressions.
 
-Every pattern is local to one tag, so unclosed elements cannot swallow a page.  Raw
+Tags are looked at one by one, so unclosed elements cannot swallow a page.  Raw
 blocks (comments, scripts, styles) are cut by one alternation, read left to right, so a
 comment inside a script or a script inside a comment is handled by whichever opens first.
 """
@@ -14,21 +14,31 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.binding import let
 
-RAW_RE = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
+_RAW = (
+    r"!--.*?(?:-->|\z)"
+    r"|script\b[^>]*>.*?(?:</script\s*>|\z)"
+    r"|style\b[^>]*>.*?(?:</style\s*>|\z)"
 )
-HEAD_RE = r"(?is)<head(?:\s[^>]*)?>.*?(?:</head\s*>|<body\b[^>]*>)|<title\b[^>]*>.*?(?:</title\s*>|\z)"
-# A tag with its quoted attributes; the second form takes tags with an odd quote.
-ATTRS = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
-TAG_RE = rf"(?s)<[/!?A-Za-z]{ATTRS}>|<[/!?A-Za-z][^>]*>"
-# What follows a tag name, up to and with its end.
-TAIL = rf"\b(?:{ATTRS}>|[^>]*>)"
-BLOCK_RE = (
-    r"(?i)</?(?:p|div|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|blockquote|pre|hr|br|article|section"
-    rf"|header|footer|nav|main|aside|form|body|html){TAIL}"
+RAW_RE = rf"(?is)<(?:{_RAW})"
+HEAD_RE = r"(?is)<(?:head(?:\s[^>]*)?>.*?(?:</head\s*>|<body\b[^>]*>)|title\b[^>]*>.*?(?:</title\s*>|\z))"
+# Raw blocks and the head in one reading; an end tag inside a raw block of the head is skipped.
+UNSEEN_RE = (
+    rf"(?is)<(?:{_RAW}|head(?:\s[^>]*)?>(?:<(?:{_RAW})|[^<]++|<(?!/head\s*>|body\b))*+"
+    r"(?:</head\s*>|<body\b[^>]*>)|title\b[^>]*>.*?(?:</title\s*>|\z))"
 )
+# The quoted and unquoted attributes of a tag.
+ATTRS = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
+# Tags, runs of text and stray angle brackets.
+TOKEN_RE = rf"(?s)<[/!?A-Za-z]{ATTRS}>|<[/!?A-Za-z][^>]*>|[^<]++|<"
+TAG_NAME_RE = r"^<(/?[A-Za-z][^\s/>]*)"
+# Elements that begin and end a line.
+BLOCKS = (
+    "p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr blockquote pre hr br article section "
+    "header footer nav main aside form body html"
+).split()
+# White space that is not already one plain blank: single blanks are left where they are.
+SPACES_RE = r" \s+|[\t\n\x0B\f\r]\s*"
+WIDE_SPACES_RE = r" [ \t\u00a0]+|[\t\u00a0][ \t\u00a0]*"
 _ENTITY = r"(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 # Context window of each model provider in tokens, three characters per
@@ -75,76 +85,105 @@ def _code_point_text(body: Column) -> Column:
 def decode_entities(text: Column) -> Column:
     """Replace character references once; ``&amp;`` goes last so nothing decodes twice."""
 
-    def decode_piece(piece: Column) -> Column:
-        body = F.regexp_extract(piece, rf"^&({_ENTITY[:-1]});", 1)
+    def decode_piece(piece: Column, position: Column) -> Column:
+        body = F.regexp_extract(piece, rf"^({_ENTITY[:-1]});", 1)
         value = F.coalesce(
             F.element_at(_entity_table(), body),
             F.when(F.startswith(body, F.lit("#")), _code_point_text(body)),
             F.concat(F.lit("&"), body, F.lit(";")),
         )
-        return F.when(body == "", piece).otherwise(
-            F.concat(value, F.substr(piece, F.length(body) + 3))
+        return (
+            F.when(position == 0, piece)
+            .when(F.startswith(piece, F.lit("amp;")) | (body == ""), F.concat(F.lit("&"), piece))
+            .otherwise(F.concat(value, F.substr(piece, F.length(body) + 2)))
         )
 
     def decode(t: Column) -> Column:
-        pieces = F.split(t, rf"(?=&(?!amp;){_ENTITY})")
-        return F.when(
-            t.rlike(rf"&(?!amp;){_ENTITY}"), F.array_join(F.transform(pieces, decode_piece), "")
-        ).otherwise(t)
+        pieces = F.split(t, "&")
+        others = F.contains(F.replace(t, F.lit("&amp;"), F.lit("")), F.lit("&"))
+        return F.when(others, F.array_join(F.transform(pieces, decode_piece), "")).otherwise(t)
 
     return F.replace(let(text, decode), F.lit("&amp;"), F.lit("&"))
 
 
 def _visible(html: Column) -> Column:
     """Body markup with insignificant white space folded to one blank."""
-    return F.regexp_replace(F.regexp_replace(strip_raw(html), HEAD_RE, ""), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(html, UNSEEN_RE, ""), SPACES_RE, " ")
+
+
+def _with_marks(markup: Column, marks: dict[str, str]) -> Column:
+    """Text with every tag replaced by its mark, or by nothing.
+
+    The markup is read once into tokens; a pattern per element would read it once each.
+    """
+    table = F.str_to_map(
+        F.lit("\u001e".join(f"{name}\u001f{mark}" for name, mark in marks.items())),
+        F.lit("\u001e"), F.lit("\u001f"),
+    )
+
+    def mark(token: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, TAG_NAME_RE, 1))
+        is_text = ~F.startswith(token, F.lit("<")) | (token == "<")
+        return F.when(is_text, token).otherwise(F.coalesce(F.element_at(table, name), F.lit("")))
+
+    tokens = F.regexp_extract_all(markup, F.lit(TOKEN_RE), 0)
+    return F.array_join(F.transform(tokens, mark), "")
 
 
 def page_text(html: Column) -> Column:
     """Plain text, one block per line, no blank lines."""
-    t = F.regexp_replace(_visible(html), BLOCK_RE, "\n")
-    t = decode_entities(F.regexp_replace(t, TAG_RE, ""))
-    t = F.regexp_replace(t, r"[ \t\u00a0]+", " ")
+    marks = {prefix + name: "\n" for name in BLOCKS for prefix in ("", "/")}
+    t = decode_entities(_with_marks(_visible(html), marks))
+    t = F.regexp_replace(t, WIDE_SPACES_RE, " ")
     t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
     return F.trim(t, F.lit(" \n"))
 
 
-# One rewriting rule per markdown construct, in order; each matches a single tag, but for
-# links, whose text is needed.  Images have no rule: they fall to the tag stripper.
+# Marks that stand for text until blanks around line ends are gone: what follows loses its
+# leading blanks, a forced line end, a list item, a table cell.
+_TIGHT, _BREAK, _ITEM, _CELL = "\u0001", "\u0002", "\u0003", "\u0004"
+
+
+def _markdown_marks() -> dict[str, str]:
+    """The markdown of each element."""
+    marks = {"hr": "\n\n* * *\n\n", "br": f"{_BREAK}\n", "li": f"\n{_ITEM}{_TIGHT}"}
+    for level in range(1, 7):
+        marks |= {f"h{level}": f"\n\n{'#' * level} {_TIGHT}", f"/h{level}": "\n\n"}
+    for name in ("p", "div", "ul", "ol", "dl", "table", "pre"):
+        marks |= {name: "\n\n", f"/{name}": "\n\n"}
+    marks |= {"blockquote": f"\n\n> {_TIGHT}", "/blockquote": "\n\n"}
+    marks |= {"/tr": "\n", "/dt": "\n", "/dd": "\n", "td": _CELL, "th": _CELL}
+    inline = {"**": ("b", "strong"), "_": ("i", "em", "u"), "~~": ("s", "strike", "del"), "`": ("code", "kbd", "tt")}
+    for sign, names in inline.items():
+        marks |= {prefix + name: sign for name in names for prefix in ("", "/")}
+    return marks
+
+
 _VALUE = r"""\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"']++)"""
-_OTHER_ATTRIBUTES = rf"""(?:\s+(?!href\s*=)[^\s=>"']++(?:{_VALUE})?+)*+"""
+OTHER_ATTRIBUTES = rf"""(?:\s+(?!href\s*=)[^\s=>"']++(?:{_VALUE})?+)*+"""
 _HREF = r"""\s+href\s*=\s*(?:"([^"#][^"]*)"|'([^'#][^']*)'|([^\s>"'#][^\s>"']*))"""
 # link text ends at its own end tag and never runs into another anchor
 _LINK_TEXT = r"([^<]*+(?:<(?!/?a\b)[^<]*+)*+)"
-MARKDOWN_RULES = (
-    (rf"(?i)<a{_OTHER_ATTRIBUTES}{_HREF}{ATTRS}>{_LINK_TEXT}</a\s*>", "[$4]($1$2$3)"),
-    (rf"(?i) ?<h([1-6]){TAIL} ?", "\n\n\u0001$1 "),
-    (r"(?i) ?</(?:h[1-6]|p|div|ul|ol|dl|table|blockquote|pre)\s*> ?", "\n\n"),
-    (rf"(?i) ?<(?:p|div|ul|ol|dl|table|pre){TAIL} ?", "\n\n"),
-    (rf"(?i) ?<blockquote{TAIL} ?", "\n\n> "),
-    (rf"(?i) ?<li{TAIL} ?", "\n  * "),
-    (rf"(?i) ?<hr{TAIL} ?", "\n\n* * *\n\n"),
-    (rf"(?i)<br{TAIL} ?", "  \n"),
-    (rf"(?i)</t[dh]\s*> ?<t[dh]{TAIL}", " | "),
-    (r"(?i) ?</(?:tr|li|dt|dd)\s*> ?", "\n"),
-    (r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**"),
-    (r"(?i)</?(?:i|em|u)(?:\s[^>]*)?>", "_"),
-    (r"(?i)</?(?:s|strike|del)(?:\s[^>]*)?>", "~~"),
-    (r"(?i)</?(?:code|kbd|tt)(?:\s[^>]*)?>", "`"),
-)
+LINK_RE = rf"(?i)<a{OTHER_ATTRIBUTES}{_HREF}{ATTRS}>{_LINK_TEXT}</a\s*>"
 
 
 def page_markdown(html: Column) -> Column:
     """Markdown of the whole page: links kept, images dropped, lines never wrapped."""
-    t = _visible(html)
-    for pattern, replacement in MARKDOWN_RULES:
-        t = F.regexp_replace(t, pattern, replacement)
-    for level in range(1, 7):
-        t = F.replace(t, F.lit(f"\u0001{level}"), F.lit("#" * level))
-    t = decode_entities(F.regexp_replace(t, TAG_RE, ""))
-    t = F.regexp_replace(t, r"\u00a0", " ")
-    t = F.regexp_replace(t, r"\n[ \n]*\n", "\n\n")
-    return F.trim(t, F.lit(" \n"))
+    linked = F.regexp_replace(_visible(html), LINK_RE, "[$4]($1$2$3)")
+    t = decode_entities(_with_marks(linked, _markdown_marks()))
+    t = F.replace(t, F.lit("\u00a0"), F.lit(" "))
+    t = F.regexp_replace(t, f" *({_BREAK}?\n)[ {_CELL}]*|{_TIGHT} *", "$1")
+    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    t = F.replace(F.replace(t, F.lit(_BREAK), F.lit("  ")), F.lit(_ITEM), F.lit("  * "))
+    return F.trim(_cells(t), F.lit(" \n"))
+
+
+def _cells(text: Column) -> Column:
+    def separated(t: Column) -> Column:
+        spaced = F.regexp_replace(t, f" *{_CELL} *", " | ")
+        return F.when(F.contains(t, F.lit(_CELL)), spaced).otherwise(t)
+
+    return let(text, separated)
 
 
 def is_blank(text: Column) -> Column:

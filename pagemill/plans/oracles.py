@@ -125,17 +125,16 @@ TEXT = f"trim({TEXT}, ' ' || chr(10))"
 MARKDOWN = VISIBLE
 for _pattern, _new in (
     (r'(?i)<a\s[^>]*?href\s*=\s*"([^"#][^"]*)"[^>]*>(.*?)</a\s*>', r"'[\2](\1)'"),
-    (r"(?i) ?<h1\b[^>]*> ?", "chr(10) || chr(10) || '# '"),
-    (r"(?i) ?</(?:h1|p|div|ul)\s*> ?", "chr(10) || chr(10)"),
-    (r"(?i) ?<(?:p|div|ul)\b[^>]*> ?", "chr(10) || chr(10)"),
-    (r"(?i) ?<li\b[^>]*> ?", "chr(10) || '  * '"),
-    (r"(?i)<br\b[^>]*> ?", "'  ' || chr(10)"),
-    (r"(?i) ?</li\s*> ?", "chr(10)"),
+    (r"(?i)<h1\b[^>]*> ?", "chr(10) || chr(10) || '# '"),
+    (r"(?i)</?(?:p|div|ul)\b[^>]*>|</h1>", "chr(10) || chr(10)"),
+    (r"(?i)<li\b[^>]*> ?", "chr(10) || chr(3)"),
+    (r"(?i)<br\b[^>]*>", "chr(2) || chr(10)"),
     (r"(?i)</?b(?:\s[^>]*)?>", "'**'"),
 ):
     MARKDOWN = f"regexp_replace({MARKDOWN}, '{_pattern}', {_new}, 'g')"
 MARKDOWN = entities(f"regexp_replace({MARKDOWN}, '{_TAGS}', '', 'g')")
-MARKDOWN = rf"trim(regexp_replace({MARKDOWN}, '\n[ \n]*\n', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+MARKDOWN = rf"regexp_replace(regexp_replace({MARKDOWN}, ' *(\x02?\n) *', '\1', 'g'), '\n\n\n+', chr(10) || chr(10), 'g')"
+MARKDOWN = f"trim(replace(replace({MARKDOWN}, chr(3), '  * '), chr(2), '  '), ' ' || chr(10))"
 
 HEADING = r"""trim(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;', '&'))"""
 LINKS = rf"len(regexp_extract_all({VISIBLE}, '<a\s[^>]*?href=.(/)'))"
