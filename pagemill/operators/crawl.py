@@ -17,7 +17,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +30,7 @@ from pagemill.operators.rows import explode_with_position
 from pagemill.operators.skew import hot_keys
 from pagemill.sources.robots import compile_rules
 from pagemill.sources.sitemaps import MAX_URLS, sitemap_seeds
-from pagemill.storage import delete_folder, new_folder, write_table
+from pagemill.storage import delete_folder, is_complete, new_folder, write_once
 
 # Page states.
 OK, EXTRACT_FAILED, FETCH_FAILED, ROBOTS_BLOCKED = (
@@ -174,18 +173,10 @@ def _level_path(folder: str, depth: int) -> str:
     return f"{folder}/level-{depth:04d}"
 
 
-def read_level(spark: SparkSession, folder: str, depth: int) -> DataFrame | None:
-    """A level written earlier, or ``None`` if it is missing."""
-    try:
-        return spark.read.schema(LEVEL_SCHEMA).parquet(_level_path(folder, depth))
-    except AnalysisException:
-        return None
-
-
 def load_run(spark: SparkSession, folder: str) -> CrawlRun:
     """State of an earlier run; a missing folder is a run that visited nothing."""
     depth = 0
-    while read_level(spark, folder, depth) is not None:
+    while is_complete(spark, _level_path(folder, depth)):
         depth += 1
     if depth == 0:
         return CrawlRun(folder, spark.createDataFrame([], VISITED_SCHEMA), 0)
@@ -212,21 +203,24 @@ def crawl(
     retry_failed: bool = False,
     index: DataFrame | None = None,
     folder: str | None = None,
+    progress: Callable[[int, int], None] | None = None,
 ) -> CrawlRun:
     """Visit ``pages`` from ``seeds`` to ``max_depth`` levels of links.
 
     ``visited`` (of an earlier run) is never visited again; with ``retry_failed`` its failed
-    pages are.  ``index`` takes a stored ``page_index`` so that runs can share one.
+    pages are.  ``index`` takes a stored ``page_index`` so that runs can share one.  Called
+    again with the ``folder`` of a run that broke off, and otherwise as before, it goes on
+    after the last complete level.  ``progress`` is told each depth and its page count.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "crawl")
     if index is None:
-        index = write_table(page_index(pages), f"{folder}/index")
+        index = write_once(spark, f"{folder}/index", lambda: page_index(pages))
     rules = hot = None
     if robots is not None:
-        rules = write_table(compile_rules(robots, agent), f"{folder}/rules")
         by_domain = index.select(domain_key(F.col("norm")).alias("domain"))
-        hot = write_table(hot_keys(by_domain, "domain"), f"{folder}/hot-domains")
+        rules = write_once(spark, f"{folder}/rules", lambda: compile_rules(robots, agent))
+        hot = write_once(spark, f"{folder}/hot-domains", lambda: hot_keys(by_domain, "domain"))
     done = None
     if visited is not None:
         done = visited
@@ -238,7 +232,8 @@ def crawl(
     expand = expander(scope)
     budget = max_pages
     depth = 0
-    while True:
+
+    def visit_level() -> DataFrame:
         frontier = first_visits(requests)
         seen = done
         if depth > 0:
@@ -248,14 +243,17 @@ def crawl(
             frontier = frontier.join(seen, "norm", "left_anti")
         if budget is not None:
             frontier = first_n(frontier, budget, F.col("rank"), F.col("norm"))
-        level = write_table(
-            _visit(frontier, index, rules, hot, depth, expand=depth < max_depth),
-            _level_path(folder, depth),
-        )
+        return _visit(frontier, index, rules, hot, depth, expand=depth < max_depth)
+
+    while True:
+        level = write_once(spark, _level_path(folder, depth), visit_level)
         depth += 1
-        if depth > max_depth:
+        last = depth > max_depth
+        size = 0 if last and progress is None else level.count()
+        if progress is not None:
+            progress(depth - 1, size)
+        if last:
             break
-        size = level.count()
         if budget is not None:
             budget -= size
         if size == 0 or budget == 0:

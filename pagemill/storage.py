@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +40,27 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether the job that wrote the table at ``path`` was committed."""
+    system, marker = _hadoop_path(spark, f"{path}/_SUCCESS")
+    return system.exists(marker)
+
+
+def write_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, built only if no earlier attempt completed it."""
+    if is_complete(spark, path):
+        return spark.read.parquet(path)
+    df = build()
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def delete_folder(spark: SparkSession, path: str) -> bool:
     """Remove a run folder through the Hadoop file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _hadoop_path(spark, path)
+    return system.delete(target, True)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target

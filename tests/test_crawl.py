@@ -9,6 +9,7 @@ from pagemill.operators import crawl as c
 from pagemill.operators.limits import first_n
 from pagemill.sources.pages import PAGE_SCHEMA
 from pagemill.sources.seeds import SEED_SCHEMA
+from pagemill.storage import delete_folder
 
 GRAPH = {
     "http://h/": ["a", "b", "#top", "http://k/", "x.pdf", "mailto:m@h"],
@@ -125,6 +126,21 @@ def test_missing_run_is_a_fresh_start_and_cleanup_removes_it(spark, tmp_path):
     assert c.load_run(spark, run.folder).levels == 0
 
 
+def test_broken_off_run_goes_on_after_its_last_level(spark):
+    table, seeds = page_table(spark), seed_table(spark, "http://h/", "http://k/")
+    steps = []
+    whole = c.crawl(table, seeds, scope="external", max_depth=3, progress=lambda d, n: steps.append((d, n)))
+    wanted = visits(whole)
+    sizes = c.frontier_sizes(whole).orderBy("depth").collect()
+    assert steps == [(r["depth"], r["pages"]) for r in sizes] + [(3, 0)]
+    for depth in (2, 3):
+        assert delete_folder(spark, f"{whole.folder}/level-{depth:04d}")
+    assert c.load_run(spark, whole.folder).levels == 2
+    # the page table is not read again: the index of the first attempt serves
+    again = c.crawl(table.limit(0), seeds, scope="external", max_depth=3, folder=whole.folder)
+    assert visits(again) == wanted
+
+
 def test_sitemap_pages_come_after_the_seeds(spark):
     docs = spark.createDataFrame(
         [("http://h", "<urlset><url><loc>http://h/d</loc></url><url><loc>http://h/a</loc></url></urlset>")],
