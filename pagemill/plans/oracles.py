@@ -322,7 +322,28 @@ RUN_LOG = """select page_id, url, case page_id % 10 when 0 then 'robots_blocked'
     when 2 then 'extract_failed' else 'ok' end as status from pages"""
 
 
+# Counts and positions that are INT on the Spark side and BIGINT in DuckDB.
+INT_COLUMNS = {
+    "pos": "sitemap_urls sitemap_cap page_links links_resolved onclick_links link_union",
+    "form": "url_normalize url_resolve seed_directory junk_filter scope_same_domain scope_same_directory "
+            "scope_external depth_filter follow_test robots_allowed",
+    "depth": "depth_filter follow_test",
+    "n_chars": "page_scan cache_write",
+    "cached_chars": "cache_lookup",
+    "links": "link_null_safe",
+}
+
+
 def oracle_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
+    """Oracle SQL by query name, with the column types of the Spark side."""
+    found = _plain_sql(crawl_depth, crawl_cap)
+    for column, names in INT_COLUMNS.items():
+        for name in names.split():
+            found[name] = f"select * replace ({column}::int as {column}) from ({found[name]})"
+    return found
+
+
+def _plain_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
     fields = "item_pos, part, price, value"
     return {
         # sources
