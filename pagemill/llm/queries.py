@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, private, shards
+from pagemill.llm import chat, contamination, jaccard, private, quality, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,10 +45,28 @@ def maximal_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.maximal(table(spark, sf_dir, "conversations"))
 
 
+def leaked_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, each with the item and what of it is covered."""
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard similarity of 0.9 or more."""
+    return jaccard.near_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_personal_data": personal_data,
+    "op2_leaked_benchmark": leaked_benchmark,
     "op3_interleaved_shards": interleaved_shards,
+    "op4_quality_rules": quality_rules,
     "op7_maximal_chats": maximal_chats,
+    "op8_near_copies": near_copies,
 }
 
 ORACLES: dict[str, str] = {
