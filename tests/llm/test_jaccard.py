@@ -98,7 +98,7 @@ def test_identical_parts_are_never_missing():
 
 
 def test_one_of_each_stays(spark):
-    rows = [*corpus(2, 80), (5, "b c d e f"), (5, "b c d e f"), (None, "b c d e f"), (None, "n n n m"), (None, "N n n m"), (200, None), (201, ""), (202, None)]
+    rows = [*corpus(2, 80), (150, "b c d e f"), (150, "b c d e f"), (None, "b c d e f"), (None, "n n n m"), (None, "N n n m"), (200, None), (201, ""), (202, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit(1))
     out = jaccard.one_each(docs)
     assert out.columns == docs.columns
