@@ -136,3 +136,30 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def list_column(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+
+
+def runs_before(cut: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the runs between cuts; a row that is not empty begins a run."""
+    n = len(cut)
+    first = cut.copy()
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    first[heads] = True
+    start = np.flatnonzero(first)
+    end = np.append(start[1:], n)[: len(start)]
+    row = np.searchsorted(offsets[1:], start, "right")
+    return start, end, row
+
+
+def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some runs after one another, and their bounds."""
+    size = end - start
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    return data[np.arange(bounds[-1]) - np.repeat(bounds[:-1] - start, size)], bounds
+
+
+def binary_column(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Byte runs as an Arrow binary column."""
+    return pa.Array.from_buffers(
+        pa.binary(), len(bounds) - 1,
+        [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int32)), pa.py_buffer(np.ascontiguousarray(values))],
+    )

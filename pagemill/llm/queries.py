@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, contamination, jaccard, private, quality, shards
+from pagemill.llm import chat, contamination, jaccard, pieces, private, quality, shards, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Where the vocabulary files of public tokenizers are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of base spans by kind, their digest, and all spans."""
     found = private.find(table(spark, sf_dir, "documents"))
@@ -60,13 +67,24 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(table(spark, sf_dir, "documents"))
 
 
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and whether they decode to it."""
+    return pieces.encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_personal_data": personal_data,
     "op2_leaked_benchmark": leaked_benchmark,
     "op3_interleaved_shards": interleaved_shards,
     "op4_quality_rules": quality_rules,
+    "op6_token_counts": token_totals,
     "op7_maximal_chats": maximal_chats,
     "op8_near_copies": near_copies,
+    "op10_sentence_pieces": sentence_pieces,
 }
 
 ORACLES: dict[str, str] = {
