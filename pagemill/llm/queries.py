@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, contamination, jaccard, pieces, private, quality, shards, token_counts
+from pagemill.llm import chat, contamination, jaccard, language, pieces, private, quality, shards, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,14 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(table(spark, sf_dir, "documents"))
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs))
+    return found.select(
+        "doc_id", language.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte"
+    )
+
+
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -81,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op2_leaked_benchmark": leaked_benchmark,
     "op3_interleaved_shards": interleaved_shards,
     "op4_quality_rules": quality_rules,
+    "op5_languages": languages,
     "op6_token_counts": token_totals,
     "op7_maximal_chats": maximal_chats,
     "op8_near_copies": near_copies,
