@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, contamination, jaccard, language, pieces, private, quality, shards, token_counts
+from pagemill.llm import chat, contamination, jaccard, kneser_ney, language, pieces, private, quality, shards, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,15 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = kneser_ney.is_held_out(F.col("doc_id"))
+    scored = kneser_ney.score(docs, kneser_ney.train(docs.filter(~held)))
+    return scored.select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"
+    )
+
+
 def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they decode to it."""
     return pieces.encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
@@ -93,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_counts": token_totals,
     "op7_maximal_chats": maximal_chats,
     "op8_near_copies": near_copies,
+    "op9_model_scores": model_scores,
     "op10_sentence_pieces": sentence_pieces,
 }
 
