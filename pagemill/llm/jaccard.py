@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
 Every text becomes the set of hashes of its word shingles.  Texts with equal sets form a class
-that is handled once.  Classes are partitioned into groups of similar sets (same smallest token,
+that is handled once.  Classes are partitioned into groups of similar sets (around the same hub,
 cut into blocks of about ``GROUP``); a group stores the union of its members' tokens.  A query
 can only link into a group if the union holds ``threshold`` percent of its tokens, so a group
 is opened, and its members compared exactly, only when that bound is met.
@@ -17,11 +17,13 @@ Order of work, each step a Spark job over written tables:
 1. scan: set size, class, smallest token, part hashes of every document;
 2. part hashes shared by several classes, and the classes that have one;
 3. scan: token sets of just those classes;
-4. *home groups*: members of a block, and the first member of all blocks with the same smallest
-   token, are linked; a very large group of near copies becomes one component here, linearly;
-5. *matrix*: cells whose classes already are one component are dropped (no further link can
+4. *home*: classes with the same smallest token are compared within blocks, and with the first
+   class of all those blocks;
+5. *hubs*: of the classes that share a part, each is compared with the one whose parts are shared
+   most; a very large group of near copies becomes one component here, at linear cost;
+6. *matrix*: cells whose classes already are one component are dropped (no further link can
    change the result), queries meet the remaining groups, the bound is tested, groups opened;
-6. components of all links.
+7. components of all links.
 
 Nothing is capped: blocks only bound what a task holds.  Shingles and classes are 64-bit hashes.
 
@@ -49,6 +51,7 @@ SHINGLE = 3
 THRESHOLD = 90
 GROUP = 64
 QUERIES = 256
+HUB_ROUNDS = 1
 _U = np.uint64
 
 
@@ -277,44 +280,99 @@ def _home_links(sets: DataFrame, threshold: int) -> DataFrame:
     return members.unionByName(firsts).groupBy("least", "block").applyInArrow(_link_home(threshold), "a long, b long")
 
 
-def _matrix_links(sets: DataFrame, shared: DataFrame, home: DataFrame, threshold: int) -> DataFrame:
-    """Links between classes of different components and groups."""
-    spark = sets.sparkSession
-    sizes = sets.groupBy("least").agg(F.count(F.lit(1)).alias("size"))
-    placed = write_table(
-        sets.join(sizes, "least").join(home.withColumnRenamed("node", "class"), "class", "left").select(
-            "class", "n", "tokens", F.coalesce("component", "class").alias("component"),
-            F.xxhash64("least", _block(F.col("class"), F.col("size"), GROUP)).alias("group"),
-        ),
-        new_folder(spark, "jaccard-groups"),
+def _labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes with the component they are in so far."""
+    own = F.coalesce("component", "class").alias("component")
+    return sets.join(found.withColumnRenamed("node", "class"), "class", "left").select("class", "n", own, "tokens")
+
+
+def _cells(shared: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(part, class) cells of parts whose classes are not all in one component yet."""
+    cells = shared.join(labelled.drop("tokens"), "class")
+    open_parts = cells.groupBy("part").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("shared_by")
+    )
+    return write_table(
+        cells.join(open_parts.filter("lo < hi").select("part", "shared_by"), "part"),
+        new_folder(shared.sparkSession, "jaccard-cells"),
+    )
+
+
+def _hubs(cells: DataFrame) -> DataFrame:
+    """The hub of every part: of the classes that have it, the one whose parts are shared most."""
+    degree = cells.groupBy("class").agg(F.sum("shared_by").alias("degree"))
+    return cells.join(degree, "class").groupBy("part").agg(
+        F.max(F.struct("degree", "class", "component", "n")).alias("hub")
     )
-    cells = shared.join(placed.drop("tokens"), "class")
-    open_parts = cells.groupBy("part").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    cells = write_table(
-        cells.join(open_parts.filter("lo < hi").select("part"), "part"), new_folder(spark, "jaccard-cells")
+
+
+def _hub_links(cells: DataFrame, labelled: DataFrame, threshold: int) -> DataFrame:
+    """Links of classes with the hubs of their parts."""
+    spark = cells.sparkSession
+    near = (F.col("hub.n") * threshold <= F.col("n") * 100) & (F.col("n") * threshold <= F.col("hub.n") * 100)
+    asks = write_table(
+        cells.join(_hubs(cells), "part").filter((F.col("component") != F.col("hub.component")) & near)
+        .select("class", F.col("hub.class").alias("hub")).distinct(),
+        new_folder(spark, "jaccard-asks"),
+    )
+    counts = asks.groupBy("hub").agg(F.count(F.lit(1)).alias("asked"))
+    asks = asks.join(counts, "hub").select("class", "hub", _block(F.col("class"), F.col("asked"), QUERIES).alias("block"))
+    rows = ["hub", "block", "class", "component", "tokens"]
+    queries = asks.join(labelled, "class").select(*rows, F.lit(True).alias("asks"))
+    members = (
+        asks.select("hub", "block").distinct().join(labelled.withColumn("hub", F.col("class")), "hub")
+        .select(*rows, F.lit(False).alias("asks"))
+    )
+    return queries.unionByName(members).groupBy("hub", "block").applyInArrow(_open_groups(threshold), "a long, b long")
+
+
+def _matrix_links(cells: DataFrame, labelled: DataFrame, threshold: int) -> DataFrame:
+    """Links found by opening the groups that the matrix lets through.
+
+    A group is a block of the classes that have the same most-shared hub.  Groups meet in the
+    cells of a part if they have classes of different components and sizes that can link; each
+    class of the one is then a query against the other.
+    """
+    spark = cells.sparkSession
+    best = cells.join(_hubs(cells), "part").groupBy("class").agg(F.max(F.struct("hub.degree", "hub.class")).alias("hub"))
+    best = best.select("class", F.col("hub.class").alias("hub"))
+    sizes = best.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    groups = best.join(sizes, "hub").select(
+        "class", F.xxhash64("hub", _block(F.col("class"), F.col("size"), GROUP)).alias("group")
     )
-    matrix = cells.groupBy("part", "group").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
-    ).withColumnRenamed("group", "to")
-    asks = (
-        cells.join(matrix, "part")
-        .filter(
-            (F.col("group") < F.col("to"))
-            & ((F.col("lo") != F.col("component")) | (F.col("hi") != F.col("component")))
-            & (F.col("n_lo") * threshold <= F.col("n") * 100) & (F.col("n") * threshold <= F.col("n_hi") * 100)
-        )
-        .select("class", "to").distinct()
+    grouped = write_table(groups.join(labelled, "class"), new_folder(spark, "jaccard-groups"))
+    matrix = write_table(
+        cells.select("part", "class").join(grouped.drop("tokens"), "class").groupBy("part", "group").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"),
+            F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
+        ),
+        new_folder(spark, "jaccard-matrix"),
     )
-    asks = write_table(asks, new_folder(spark, "jaccard-asks"))
-    counts = asks.groupBy("to").agg(F.count(F.lit(1)).alias("asked"))
-    asks = asks.join(counts, "to").select(
-        "class", F.col("to").alias("group"), _block(F.col("class"), F.col("asked"), QUERIES).alias("block")
+    other = matrix.select("part", *[F.col(c).alias(f"to_{c}") for c in matrix.columns[1:]])
+    differ = F.least("lo", "to_lo") != F.greatest("hi", "to_hi")
+    near = (F.col("n_lo") * threshold <= F.col("to_n_hi") * 100) & (F.col("to_n_lo") * threshold <= F.col("n_hi") * 100)
+    pairs = write_table(
+        matrix.join(other, "part").filter((F.col("group") <= F.col("to_group")) & differ & near)
+        .select("group", "to_group").distinct(),
+        new_folder(spark, "jaccard-pairs"),
     )
-    rows = ["group", "block", "class", "component", "tokens"]
-    queries = asks.join(placed.drop("group"), "class").select(*rows, F.lit(True).alias("asks"))
-    members = asks.select("group", "block").distinct().join(placed, "group").select(*rows, F.lit(False).alias("asks"))
-    return queries.unionByName(members).groupBy("group", "block").applyInArrow(_open_groups(threshold), "a long, b long")
+    rows = ["group", "to_group", "class", "component", "tokens"]
+    queries = pairs.join(grouped, "group").select(*rows, F.lit(True).alias("asks"))
+    members = pairs.join(grouped.withColumnRenamed("group", "to_group"), "to_group").select(*rows, F.lit(False).alias("asks"))
+    return queries.unionByName(members).groupBy("group", "to_group").applyInArrow(_open_groups(threshold), "a long, b long")
+
+
+def _all_links(sets: DataFrame, shared: DataFrame, threshold: int) -> DataFrame:
+    """Components of the linked classes."""
+    spark = sets.sparkSession
+    links = write_table(_home_links(sets, threshold), new_folder(spark, "jaccard-home"))
+    found = components(links)
+    for step in [_hub_links] * HUB_ROUNDS + [_matrix_links]:
+        labelled = _labelled(sets, found)
+        more = step(_cells(shared, labelled), labelled, threshold)
+        links = links.unionByName(write_table(more, new_folder(spark, "jaccard-links")))
+        found = components(links)
+    return found
 
 
 def _classes(docs: DataFrame, id_col: str, text: str, shingle: int, threshold: int) -> tuple[DataFrame, DataFrame]:
@@ -346,10 +404,7 @@ def _classes(docs: DataFrame, id_col: str, text: str, shingle: int, threshold: i
         .groupBy("class").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("tokens").alias("tokens")),
         new_folder(spark, "jaccard-candidates"),
     )
-    home = write_table(_home_links(sets, threshold), new_folder(spark, "jaccard-home"))
-    found = components(home)
-    more = write_table(_matrix_links(sets, shared, found, threshold), new_folder(spark, "jaccard-links"))
-    return described.select("id", "n", "class"), components(home.unionByName(more))
+    return described.select("id", "n", "class"), _all_links(sets, shared, threshold)
 
 
 def _labels(described: DataFrame, linked_classes: DataFrame) -> DataFrame:
