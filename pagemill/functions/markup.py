@@ -208,6 +208,14 @@ def context_chars(provider: str | None = None, max_chars: int | None = None) ->
     return min(tokens * CHARS_PER_TOKEN, MAX_CONTEXT_CHARS)
 
 
+def windows(text: Column, size: int | None) -> Column:
+    """Consecutive parts of at most ``size`` characters; the whole text without a size."""
+    if size is None:
+        return F.array(text)
+    last = F.greatest(F.ceil(F.length(text) / F.lit(size)).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * size + 1, F.lit(size)))
+
+
 def within_context(
     text: Column, provider: str | None = None, max_chars: int | None = None
 ) -> Column:

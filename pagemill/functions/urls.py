@@ -214,4 +214,4 @@ def in_scope(url: Column, seed: Column, scope: str) -> Column:
         return same_host
     if scope == "same_directory":
         return same_host & F.startswith(path(url), seed_directory(seed))
-    raise ValueError(f"Unknown scope '{scope}'. Options: {', '.join(SCOPES)}")
+    raise ValueError(f"{scope!r} is no scope; there are {', '.join(SCOPES)}")

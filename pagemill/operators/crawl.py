@@ -13,9 +13,11 @@ global numbering is needed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from pagemill.operators.robots import with_verdict
 from pagemill.operators.rows import explode_with_position
 from pagemill.operators.skew import hot_keys
 from pagemill.sources.robots import compile_rules
-from pagemill.sources.sitemaps import MAX_URLS, sitemap_seeds
+from pagemill.sources.sitemaps import sitemap_seeds
 from pagemill.storage import delete_folder, is_complete, new_folder, write_once
 
 # Page states.
@@ -97,7 +99,7 @@ def page_index(pages: DataFrame) -> DataFrame:
 
 
 def seed_requests(
-    seeds: DataFrame, sitemaps: DataFrame | None = None, max_urls: int = MAX_URLS
+    seeds: DataFrame, sitemaps: DataFrame | None = None, max_urls: int | None = None
 ) -> DataFrame:
     """First frontier: seeds in order, then the sitemap addresses of their sites."""
     first = seeds.select(
@@ -125,17 +127,20 @@ def first_visits(requests: DataFrame) -> DataFrame:
 
 
 def _visit(
-    frontier: DataFrame, index: DataFrame, rules: DataFrame | None, hot: DataFrame | None,
-    depth: int, expand: bool,
+    frontier: DataFrame, index: DataFrame, rules: DataFrame | None, hot: DataFrame | None, depth: int,
 ) -> DataFrame:
-    joined = with_verdict(frontier.join(index, "norm", "left"), rules, hot)
+    """The level of a frontier: the verdict on slim requests first, then their pages.
+
+    Links are kept at every level, so a later run on the same folder may go deeper.
+    """
+    joined = with_verdict(frontier, rules, hot).join(index, "norm", "left")
     status = (
         F.when(~F.col("allowed"), ROBOTS_BLOCKED)
         .when(F.col("page_id").isNull(), FETCH_FAILED)
         .when(F.col("blank"), EXTRACT_FAILED)
         .otherwise(OK)
     )
-    follow = F.lit(expand) & F.col("status").isin(OK, EXTRACT_FAILED)
+    follow = F.col("status").isin(OK, EXTRACT_FAILED)
     return joined.withColumn("status", status).select(
         "norm", "url", "seed", F.lit(depth).alias("depth"), "rank", "parent",
         F.when(F.col("allowed"), F.col("page_id")).alias("page_id"), "status",
@@ -188,6 +193,16 @@ def _visited(spark: SparkSession, folder: str, levels: int) -> DataFrame:
     return spark.read.schema(LEVEL_SCHEMA).parquet(*paths).drop("hrefs", "targets")
 
 
+def _same_run(spark: SparkSession, folder: str, options: dict[str, Any]) -> None:
+    """Write down what a folder's levels depend on; a later run must agree."""
+    text = json.dumps(options, sort_keys=True)
+    stored = write_once(spark, f"{folder}/options", lambda: spark.range(1).select(F.lit(text).alias("options")))
+    earlier = json.loads(stored.first()["options"])
+    changed = sorted(k for k in options if options[k] != earlier.get(k))
+    if changed:
+        raise ValueError(f"{folder} holds a crawl with another {', '.join(changed)}")
+
+
 def crawl(
     pages: DataFrame,
     seeds: DataFrame,
@@ -198,7 +213,7 @@ def crawl(
     scope: str = "same_domain",
     max_depth: int = 0,
     max_pages: int | None = None,
-    sitemap_max_urls: int = MAX_URLS,
+    sitemap_max_urls: int | None = None,
     visited: DataFrame | None = None,
     retry_failed: bool = False,
     index: DataFrame | None = None,
@@ -209,11 +224,17 @@ def crawl(
 
     ``visited`` (of an earlier run) is never visited again; with ``retry_failed`` its failed
     pages are.  ``index`` takes a stored ``page_index`` so that runs can share one.  Called
-    again with the ``folder`` of a run that broke off, and otherwise as before, it goes on
-    after the last complete level.  ``progress`` is told each depth and its page count.
+    again with the ``folder`` of an earlier run it goes on after the last complete level, also
+    to a greater depth; other options that differ from that run's are an error.  ``progress``
+    is told each depth and its page count.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "crawl")
+    _same_run(spark, folder, {
+        "scope": scope, "agent": agent, "max_pages": max_pages, "sitemap_max_urls": sitemap_max_urls,
+        "robots": robots is not None, "sitemaps": sitemaps is not None, "retry_failed": retry_failed,
+        "resumed": visited is not None,
+    })
     if index is None:
         index = write_once(spark, f"{folder}/index", lambda: page_index(pages))
     rules = hot = None
@@ -243,7 +264,7 @@ def crawl(
             frontier = frontier.join(seen, "norm", "left_anti")
         if budget is not None:
             frontier = first_n(frontier, budget, F.col("rank"), F.col("norm"))
-        return _visit(frontier, index, rules, hot, depth, expand=depth < max_depth)
+        return _visit(frontier, index, rules, hot, depth)
 
     while True:
         level = write_once(spark, _level_path(folder, depth), visit_level)

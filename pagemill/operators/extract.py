@@ -1,8 +1,8 @@
 """Structured extraction as a distributed batch-inference job.
 
 The model is the user's: a picklable factory builds one callable per task, and Spark
-decides where the pages go.  The text is cut to the context window before it crosses to
-Python, and only the columns the model needs cross at all.
+decides where the pages go.  Only the columns the model needs cross to Python.  A text longer
+than the context window that is asked for goes to the model in consecutive windows.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.markup import is_blank, within_context
+from pagemill.functions.markup import context_chars, is_blank, windows
 
 # (source text, url, prompt) -> JSON-like result
 Model = Callable[[str, str, str], Any]
 
 # Fixed value: tries per page.
 ATTEMPTS = 2
-RESULT_SCHEMA = "source_url string, depth int, data string, error string, attempts int"
+RESULT_SCHEMA = "source_url string, depth int, data string, error string, attempts int, windows int"
 
 
 def _json_text(result: Any) -> str:
@@ -33,6 +33,30 @@ def _json_text(result: Any) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
+def _joined(answers: list[str]) -> str | None:
+    """One answer for all windows: a single one as it is, else the items of all in order."""
+    if len(answers) < 2:
+        return answers[0] if answers else None
+    items: list[Any] = []
+    for answer in map(json.loads, answers):
+        lists = [v for v in answer.values() if isinstance(v, list)] if isinstance(answer, dict) else []
+        items += answer if isinstance(answer, list) else lists[0] if len(lists) == 1 else [answer]
+    return _json_text(items)
+
+
+def _ask(model: Model, parts: list[str], url: str, prompt: str, attempts: int):
+    """Ask for every window; one that fails fails the page, so nothing is lost unseen."""
+    answers, most = [], 0
+    for part in parts:
+        data, error, tries = _run(model, part, url, prompt, attempts)
+        most = max(most, tries)
+        if error is not None:
+            return None, error, most
+        if data is not None:
+            answers.append(data)
+    return _joined(answers), None, most
+
+
 def _run(model: Model, source: str, url: str, prompt: str, attempts: int):
     error = None
     for attempt in range(1, attempts + 1):
@@ -54,15 +78,16 @@ def extract(
     attempts: int = ATTEMPTS,
     parallelism: int | None = None,
 ) -> DataFrame:
-    """``(source_url, depth, data, error, attempts)`` from ``(url, depth, markdown)``.
+    """``(source_url, depth, data, error, attempts, windows)`` from ``(url, depth, markdown)``.
 
-    ``data`` is JSON text, or null when the page is blank or every attempt failed.  Model
+    ``data`` is JSON text, or null when the page is blank or every attempt failed.  With a
+    ``provider`` or ``max_chars`` the model sees windows of at most that many characters, and
+    the items of all windows are joined in order; without, it sees the whole text.  Model
     calls are slow, so ``parallelism`` may spread few pages over more tasks.  The result
     should be written before it is used twice, or the model is asked twice.
     """
-    source = F.when(
-        ~is_blank(F.col("markdown")), within_context(F.col("markdown"), provider, max_chars)
-    )
+    size = None if provider is None and max_chars is None else context_chars(provider, max_chars)
+    source = F.when(~is_blank(F.col("markdown")), windows(F.col("markdown"), size))
     slim = pages.select("url", F.col("depth").cast("int").alias("depth"), source.alias("source"))
     if parallelism is not None:
         slim = slim.repartition(parallelism)
@@ -71,13 +96,13 @@ def extract(
         model = None
         for batch in batches:
             out = []
-            for url, depth, text in zip(batch["url"], batch["depth"], batch["source"]):
-                if not isinstance(text, str):
-                    out.append((url, depth, None, "blank page", 0))
+            for url, depth, parts in zip(batch["url"], batch["depth"], batch["source"]):
+                if parts is None:
+                    out.append((url, depth, None, "blank page", 0, 0))
                     continue
                 model = model or model_factory()
-                out.append((url, depth, *_run(model, text, url, prompt, attempts)))
-            yield pd.DataFrame(out, columns=["source_url", "depth", "data", "error", "attempts"])
+                out.append((url, depth, *_ask(model, list(parts), url, prompt, attempts), len(parts)))
+            yield pd.DataFrame(out, columns=["source_url", "depth", "data", "error", "attempts", "windows"])
 
     return slim.mapInPandas(infer, RESULT_SCHEMA)
 

@@ -52,7 +52,9 @@ def list_value_counts(results: DataFrame) -> DataFrame:
 def _settle(data_type: T.DataType) -> T.DataType:
     """Column type for an inferred type: fractions are doubles, open questions are text."""
     if isinstance(data_type, T.DecimalType):
-        return T.LongType() if data_type.scale == 0 and data_type.precision <= 18 else T.DoubleType()
+        if data_type.scale:
+            return T.DoubleType()
+        return T.LongType() if data_type.precision <= 18 else T.DecimalType(38, 0)
     if isinstance(data_type, (T.VariantType, T.NullType)):
         return T.StringType()
     if isinstance(data_type, T.ArrayType):
@@ -63,12 +65,21 @@ def _settle(data_type: T.DataType) -> T.DataType:
 
 
 def infer_item_schema(rows: DataFrame, item: str = "item") -> T.StructType:
-    """Union of the keys of all rows, in one aggregation pass; only the type reaches the driver."""
-    text = rows.agg(F.schema_of_variant_agg(item).alias("s")).first()["s"]
-    if text is None or not text.startswith("OBJECT<"):
-        return T.StructType([])
-    ddl = text.replace("OBJECT<>", "VOID").replace("OBJECT<", "STRUCT<")
-    parsed = T.DataType.fromDDL(ddl)
+    """Union of the keys of all rows, in one aggregation pass; only the type reaches the driver.
+
+    Keys that differ in case only are different keys.
+    """
+    conf, exact = rows.sparkSession.conf, "spark.sql.caseSensitive"
+    before = conf.get(exact)
+    conf.set(exact, "true")
+    try:
+        text = rows.agg(F.schema_of_variant_agg(item).alias("s")).first()["s"]
+        if text is None or not text.startswith("OBJECT<"):
+            return T.StructType([])
+        ddl = text.replace("OBJECT<>", "VOID").replace("OBJECT<", "STRUCT<")
+        parsed = T.DataType.fromDDL(ddl)
+    finally:
+        conf.set(exact, before)
     return _settle(parsed) if isinstance(parsed, T.StructType) else T.StructType([])
 
 
@@ -87,6 +98,19 @@ def _leaves(schema: T.StructType, names: tuple[str, ...] = ()) -> list[tuple[tup
     return found
 
 
+def distinct_names(names: list[str], taken: list[str] | None = None) -> list[str]:
+    """``names``, those equal but for case to an earlier one with ``_2``, ``_3``, … appended."""
+    used = {t.lower() for t in taken or []}
+    out = []
+    for name in names:
+        n, free = 2, name
+        while free.lower() in used:
+            free, n = f"{name}_{n}", n + 1
+        used.add(free.lower())
+        out.append(free)
+    return out
+
+
 def discovered_keys(rows: DataFrame, item: str = "item") -> list[tuple[str, str]]:
     """Dotted column names and types over all rows."""
     schema = infer_item_schema(rows, item)
@@ -99,15 +123,15 @@ def normalize_columns(
     """Nested objects as dotted columns, lists as arrays; other columns kept, last.
 
     Columns are the union of keys in alphabetical order.  Streams must pass ``schema``.
-    Keys of ``rows`` itself (provenance) win over payload keys of the same name.
+    Keys of ``rows`` itself (provenance) win over payload keys of the same name; payload keys
+    whose names differ in case only, or are dotted alike, stay apart (``distinct_names``).
     """
     schema = infer_item_schema(rows, item) if schema is None else schema
     others = [c for c in rows.columns if c not in (item, "item_pos")]
     picked: list[Column] = []
-    for path, kind in _leaves(schema):
-        name = ".".join(path)
-        if name in others:
-            continue
+    leaves = [(path, kind) for path, kind in _leaves(schema) if ".".join(path) not in others]
+    names = distinct_names([".".join(path) for path, _ in leaves], others)
+    for name, (path, kind) in zip(names, leaves, strict=True):
         where = "$" + "".join(_step(part) for part in path)
         picked.append(F.try_variant_get(item, where, kind.simpleString()).alias(name))
     return rows.select(*picked, *[F.col(f"`{c}`") for c in others])

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.storage import new_folder, write_table
 
-# Up to this many rows one task can merge the tops of all partitions.
-SMALL_TOP = 100_000
 _ROW_BITS = 33
 
 
 def first_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The ``n`` first rows in the order of ``order`` (a total order).
 
-    Small ``n`` is a top-k.  Large ``n`` is range-partitioned and sorted, each partition
-    numbers its rows, and a partition keeps what its predecessors leave of the budget; no
-    task ever holds more than its own range.
+    The table is range-partitioned and sorted, each range numbers its rows, and keeps what the
+    ranges before it leave of the budget; no task ever holds more than its own range, and the
+    table of ranges has a row for each partition.
     """
-    if n <= SMALL_TOP:
-        return df.orderBy(*order).limit(max(n, 0))
     ranged = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -29,15 +25,11 @@ def first_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     )
     # numbered once and read back: bounds are sampled and must not change between uses
     stored = write_table(ranged, new_folder(df.sparkSession, "ranges"))
-    sizes = {r["_range"]: r["n"] for r in stored.groupBy("_range").agg(F.count("*").alias("n")).collect()}
-    before, budget = 0, {}
-    for number in sorted(sizes):
-        budget[number] = max(min(sizes[number], n - before), 0)
-        before += sizes[number]
-    whole = [k for k, v in budget.items() if v == sizes[k]]
-    cut = [k for k, v in budget.items() if 0 < v < sizes[k]]
-    keep = F.col("_range").isin(whole)
-    for number in cut:
-        row = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-        keep = keep | ((F.col("_range") == number) & (row < budget[number]))
-    return stored.where(keep).drop("_at", "_range")
+    before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    budgets = (
+        stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_range", (F.lit(n) - F.coalesce(before, F.lit(0))).alias("_left"))
+        .where(F.col("_left") > 0)
+    )
+    row = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return stored.join(budgets, "_range").where(row < F.col("_left")).drop("_at", "_range", "_left")

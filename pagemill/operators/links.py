@@ -37,7 +37,7 @@ def followable(
 ) -> DataFrame:
     """Candidates ``(target, depth, seed, …)`` that are pages, in scope, in depth and new."""
     if scope not in SCOPES:
-        raise ValueError(f"Unknown scope '{scope}'. Options: {', '.join(SCOPES)}")
+        raise ValueError(f"{scope!r} is no scope; there are {', '.join(SCOPES)}")
     kept = candidates.where(~is_junk(F.col("target")))
     if max_depth is not None:
         kept = kept.where(F.col("depth") <= max_depth)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.crawl import FAILED, OK
@@ -28,14 +28,15 @@ def run_counters(log: DataFrame, elapsed: float = 0.0, output_path: str = "") ->
     )
 
 
-def summary_lines(counters: DataFrame) -> DataFrame:
-    """The run summary as text lines."""
+def summary_lines(counters: DataFrame, at: Column | None = None) -> DataFrame:
+    """The run summary as text lines, of the time ``at`` or of now.  Fixed values: the labels."""
+    at = F.current_timestamp() if at is None else at
     line = F.array(
         F.concat(F.lit("Pages crawled:  "), F.col("pages_scraped").cast("string")),
         F.concat(F.lit("Pages failed:   "), F.col("pages_failed").cast("string")),
         F.format_string("Time:           %.1fs", F.col("elapsed_seconds").cast("double")),
         F.concat(F.lit("Output:         "), F.col("output_path")),
-        F.concat(F.lit("Timestamp:      "), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")),
+        F.concat(F.lit("Timestamp:      "), F.date_format(at, "yyyy-MM-dd HH:mm:ss")),
     )
     return counters.select(F.posexplode(line).alias("line_no", "value"))
 

@@ -22,6 +22,7 @@ _SCALARS = {
     "list": T.ArrayType(T.StringType()), "array": T.ArrayType(T.StringType()),
 }
 
+_WORDS = {T.StringType: "text", T.LongType: "whole number", T.DoubleType: "number", T.BooleanType: "true or false"}
 CORRUPT_COLUMN = "_corrupt"
 
 
@@ -34,24 +35,34 @@ def load_schema(path_or_json: str) -> dict | None:
         with open(path_or_json, encoding="utf-8") as f:
             text = f.read()
     try:
-        return json.loads(text)
+        schema = json.loads(text)
     except json.JSONDecodeError:
-        logger.warning("Not a JSON schema: %s", path_or_json[:100])
+        schema = None
+    if not isinstance(schema, dict):
+        logger.warning("Neither a field map nor a JSON Schema: %s", path_or_json[:100])
         return None
+    return schema
 
 
-def is_json_schema(schema: dict) -> bool:
-    """A full JSON Schema has a type and properties; anything else is a field map."""
-    return "type" in schema and "properties" in schema.get("items", schema)
+def _row_node(schema: dict) -> dict | None:
+    """The part of a JSON Schema that describes one row; ``None`` for a field map."""
+    inner = schema.get("items")
+    node = inner if isinstance(inner, dict) else schema
+    return node if isinstance(schema.get("type"), (str, list)) and isinstance(node.get("properties"), dict) else None
+
+
+def _described(kind: T.DataType) -> str:
+    if isinstance(kind, T.StructType):
+        return "{" + ", ".join(f"{f.name}: {_described(f.dataType)}" for f in kind.fields) + "}"
+    if isinstance(kind, T.ArrayType):
+        return f"list of {_described(kind.elementType)}"
+    return _WORDS[type(kind)]
 
 
 def prompt_suffix(schema: dict) -> str:
-    """What is added to the user's prompt so that the model keeps to the shape."""
-    if is_json_schema(schema):
-        shape = json.dumps(schema, indent=2)
-        return f"\n\nAnswer only with JSON that is valid for this JSON Schema:\n{shape}"
-    fields = "\n".join(f"  - {name}: {kind}" for name, kind in schema.items())
-    return f"\n\nAnswer only with a JSON array of objects that have these fields:\n{fields}"
+    """What is added to the user's prompt so that the model keeps to the row type."""
+    lines = [f"- {f.name} ({_described(f.dataType)})" for f in to_struct(schema).fields]
+    return "\n".join(["", "", "Reply with one JSON array and nothing else. Every element is an object with:", *lines])
 
 
 def _json_schema_type(node: dict[str, Any]) -> T.DataType:
@@ -69,8 +80,9 @@ def _json_schema_type(node: dict[str, Any]) -> T.DataType:
 
 def to_struct(schema: dict) -> T.StructType:
     """Row type: of a JSON Schema with an array root it is that of its items."""
-    if is_json_schema(schema):
-        return _json_schema_type({**schema.get("items", schema), "type": "object"})
+    node = _row_node(schema)
+    if node is not None:
+        return T.StructType([T.StructField(n, _json_schema_type(p)) for n, p in node["properties"].items()])
     return T.StructType(
         [T.StructField(n, _SCALARS.get(str(k).lower(), T.StringType())) for n, k in schema.items()]
     )

@@ -16,7 +16,7 @@ from pagemill.operators.extract import extract, split_results
 from pagemill.operators.rows import explode_with_position
 from pagemill.operators.robots import domains_checked, with_verdict
 from pagemill.plans import inputs
-from pagemill.plans.doubles import heading_model
+from pagemill.plans.doubles import heading_model, length_model
 from pagemill.sinks import export as sinks
 from pagemill.sources import cache, seeds, sitemaps
 from pagemill.sources import pages as page_source
@@ -394,6 +394,15 @@ def crawl_frontier_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return crawling.frontier_sizes(_tree_crawl(spark, sf))
 
 
+@query
+def crawl_deeper(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds first; then, on the same folder, to the full depth."""
+    folder = new_folder(spark, "crawl")
+    p, s = inputs.linked_pages(spark, sf), inputs.host_seeds(spark, sf)
+    crawling.crawl(p, s, scope="external", max_depth=0, folder=folder)
+    return _tree_crawl(spark, sf, folder=folder).visited.select(*_CRAWL_COLUMNS)
+
+
 @query
 def crawl_cap(spark: SparkSession, sf: str) -> DataFrame:
     return _tree_crawl(spark, sf, max_pages=CRAWL_CAP).visited.select(*_CRAWL_COLUMNS)
@@ -440,6 +449,20 @@ def extract_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def extract_long_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts above the window: every window is asked for, and its answer kept in order."""
+    texts = inputs.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("url"), F.lit(0).alias("depth"), F.col("text").alias("markdown")
+    )
+    found = extract(texts, length_model, "How long?", max_chars=1000)
+    sizes = F.try_variant_get(F.try_parse_json("data"), "$", "array<struct<chars:bigint>>")
+    return found.select(
+        F.col("source_url").cast("bigint").alias("doc_id"), F.col("windows").cast("bigint").alias("windows"),
+        F.array_join(F.transform(sizes, lambda s: s["chars"]), ",").alias("sizes"),
+    )
+
+
 @query
 def typed_output(spark: SparkSession, sf: str) -> DataFrame:
     shape = typed.to_struct(typed.load_schema('{"part": "int", "price": "float", "value": "float"}'))
@@ -458,9 +481,9 @@ def typed_json_schema(spark: SparkSession, sf: str) -> DataFrame:
     )
     rows = flatten.flatten_results(inputs.page_results(spark, sf))
     out = typed.typed_columns(rows, typed.to_struct(typed.load_schema(text)))
-    return out.where(F.col("order").isNotNull()).select(
+    return out.select(
         "total", F.col("order.key").alias("key"), F.col("order.flag").alias("flag"),
-        F.col("_source_url").alias("source_url"),
+        F.col("_corrupt").isNotNull().alias("corrupt"), F.col("_source_url").alias("source_url"),
     )
 
 
@@ -510,6 +533,21 @@ def normalize_columns(spark: SparkSession, sf: str) -> DataFrame:
     return flat.withColumn("a", F.array_join("a", ",")).withColumn("b", F.array_join("b", ","))
 
 
+@query
+def normalize_mixed_case(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that differ in case, a dotted key beside a nested one, and twenty-digit integers."""
+    key = F.col("o_orderkey").cast("string")
+    data = F.concat(
+        F.lit('{"Key":'), key, F.lit(',"key":"'), "o_orderstatus", F.lit('","a":{"b":'),
+        F.col("o_custkey").cast("string"), F.lit('},"a.b":'), key, F.lit(',"big":1'), F.lpad(key, 19, "0"), F.lit("}"),
+    )
+    rows = flatten.flatten_results(inputs.table(spark, sf, "orders").select(data.alias("data")), provenance=False)
+    return flatten.normalize_columns(rows).select(
+        F.col("Key").alias("first"), F.col("key_2").alias("second"), F.col("`a.b`").alias("nested"),
+        F.col("`a.b_2`").alias("dotted"), F.col("big").cast("string").alias("big"),
+    )
+
+
 @query
 def key_discovery(spark: SparkSession, sf: str) -> DataFrame:
     rows = flatten.flatten_results(inputs.page_results(spark, sf))
@@ -551,6 +589,15 @@ def sink_table(spark: SparkSession, sf: str) -> DataFrame:
     return _read_back(spark.read.parquet(f"{folder}/scraped_data.table"))
 
 
+@query
+def sink_two_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Two jobs with names of their own leave two tables."""
+    rows, folder = inputs.export_rows(spark, sf), new_folder(spark, "out")
+    odd = F.col("o_orderkey") % 2 == 1
+    names = [sinks.export(rows.where(test), "sql", folder, f"pagemill-{name}") for name, test in (("odd", odd), ("even", ~odd))]
+    return _read_back(spark.read.table(names[0]).unionByName(spark.read.table(names[1])))
+
+
 @query
 def sink_markdown(spark: SparkSession, sf: str) -> DataFrame:
     path = sinks.export(inputs.export_rows(spark, sf), "markdown", new_folder(spark, "out"))
@@ -585,8 +632,9 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def summary_file(spark: SparkSession, sf: str) -> DataFrame:
     counters = report.run_counters(inputs.run_log(spark, sf), 12.345, "out/data.json")
-    path = sinks.write_summary(report.summary_lines(counters), new_folder(spark, "out"))
-    return spark.read.text(path).where(~F.startswith("value", F.lit("Timestamp")))
+    at = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    path = sinks.write_summary(report.summary_lines(counters, at), new_folder(spark, "out"))
+    return spark.read.text(path)
 
 
 @query
@@ -644,6 +692,26 @@ def stream_extract(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("title", "links", F.col("_source_url").alias("url"), F.col("_crawl_depth").alias("depth"))
 
 
+@query
+def stream_export_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The extraction stream exported per batch as JSON."""
+    shape = T.StructType([T.StructField("title", T.StringType()), T.StructField("links", T.LongType())])
+    rows = streams.extraction_stream(_page_stream(spark, sf), heading_model, "Get the title", shape)
+    folder = new_folder(spark, "stream")
+    streams.write_stream(rows, f"{folder}/out", f"{folder}/state", fmt="json").awaitTermination()
+    out = spark.read.schema(rows.schema).json(f"{folder}/out/batch-*.json")
+    return out.select("title", "links", F.col("_source_url").alias("url"), F.col("_crawl_depth").alias("depth"))
+
+
+@query
+def schedule_seconds(spark: SparkSession, sf: str) -> DataFrame:
+    """Schedules written in every unit."""
+    key = F.col("o_orderkey")
+    unit = F.get(F.array(*[F.lit(u) for u in ("d", "H", "m ", "")]), (key % 4).cast("int"))
+    text = F.concat(F.lit(" "), (key % 97).cast("string"), F.when(key % 8 < 4, ".5").otherwise(""), unit)
+    return inputs.table(spark, sf, "orders").select("o_orderkey", streams.schedule_seconds(text).alias("seconds"))
+
+
 @query
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "stream")

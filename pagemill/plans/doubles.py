@@ -1,4 +1,4 @@
-"""A deterministic model that stands in for a model."""
+"""Deterministic stand-ins for a model."""
 
 from __future__ import annotations
 
@@ -21,3 +21,8 @@ def heading_model() -> Model:
         return {"title": found.group(1).strip() if found else None, "links": source.count("](/")}
 
     return run
+
+
+def length_model() -> Model:
+    """Returns how long the text was."""
+    return lambda source, url, prompt: [{"chars": len(source)}]

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.markup import page_markdown
 from pagemill.operators.crawl import EXTRACT_FAILED, OK, CrawlRun, crawl
-from pagemill.operators.extract import Model, extract, split_results
+from pagemill.operators.extract import RESULT_SCHEMA, Model, extract, split_results
 from pagemill.operators.flatten import flatten_results, normalize_columns
 from pagemill.operators.report import run_counters, summary_lines
 from pagemill.operators.typed import load_schema, prompt_suffix, to_struct, typed_columns
 from pagemill.sinks.export import export, write_summary
 from pagemill.sources.cache import append_misses, cache_rows, look_up, read_cache
 from pagemill.sources.seeds import seeds as as_seeds
-from pagemill.storage import write_table
+from pagemill.storage import write_once
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,7 @@ class JobSpec:
     cache_dir: str | None = None
     retry_failed: bool = False
     parallelism: int | None = None
+    shards: int = 1
     extra: dict[str, Any] = field(default_factory=dict)
 
 
@@ -65,6 +66,23 @@ def page_content(visited: DataFrame, pages: DataFrame, cache_dir: str | None = N
     return looked.select("url", "depth", markdown.alias("markdown"), "hit")
 
 
+def answers(
+    spec: JobSpec, content: DataFrame, model_factory: Callable[[], Model], prompt: str, folder: str
+) -> DataFrame:
+    """The model's answers in ``spec.shards`` parts by address, each stored once.
+
+    A job that is run again on its folder asks only for the parts it had not finished.
+    """
+    spark = content.sparkSession
+    part = F.pmod(F.xxhash64("url"), F.lit(spec.shards))
+    paths = [f"{folder}/results/part-{k:04d}-of-{spec.shards:04d}" for k in range(spec.shards)]
+    for k, path in enumerate(paths):
+        write_once(spark, path, lambda k=k: extract(
+            content.where(part == k), model_factory, prompt, provider=spec.provider, parallelism=spec.parallelism,
+        ))
+    return spark.read.schema(RESULT_SCHEMA).parquet(*paths)
+
+
 def run_job(
     spec: JobSpec,
     pages: DataFrame,
@@ -86,13 +104,10 @@ def run_job(
     )
     content = page_content(run.visited, pages, spec.cache_dir)
     if spec.cache_dir is not None:
-        content = write_table(content, f"{run.folder}/content")
+        asked = content
+        content = write_once(spark, f"{run.folder}/content", lambda: asked)
         append_misses(cache_rows(content.where(~F.col("hit"))), spec.cache_dir)
-    # stored before it is used twice: the model is asked once per page
-    answered = write_table(
-        extract(content, model_factory, prompt, provider=spec.provider, parallelism=spec.parallelism),
-        f"{run.folder}/results",
-    )
+    answered = answers(spec, content, model_factory, prompt, run.folder)
     results, unanswered = split_results(answered)
     log = run.visited.join(
         unanswered.select(F.col("source_url").alias("url"), F.lit(True).alias("_no_result")), "url", "left"
@@ -102,7 +117,7 @@ def run_job(
         .otherwise(F.col("status")).alias("status"),
         "depth", "rank",
     )
-    items = write_table(flatten_results(results), f"{run.folder}/items").drop("item_pos")
+    items = write_once(spark, f"{run.folder}/items", lambda: flatten_results(results)).drop("item_pos")
     rows = typed_columns(items, to_struct(schema)) if schema else normalize_columns(items)
     path = export(rows, spec.output_format, spec.output_dir)
     counters = run_counters(log, time.time() - started, path)

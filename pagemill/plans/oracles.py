@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pagemill.functions.markup import (
-    CHARS_PER_TOKEN, CONTEXT_TOKENS, DEFAULT_CONTEXT_TOKENS, MAX_CONTEXT_CHARS,
-)
-
+# The characters that go to each provider.
+CONTEXT = {"mistral": 96_000, "openai": 300_000, "groq": 24_000, "gemini": 300_000, "ollama": 24_000, "other": 96_000}
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
@@ -25,6 +23,7 @@ def directory(path: str) -> str:
     return f"(case when {path} = '' then '/' else regexp_replace({path}, '[^/]*$', '') end)"
 
 
+# File endings of links that are no pages.
 ASSET = r"(?i)\.(jpg|jpeg|png|gif|svg|webp|ico|pdf|zip|tar|gz|mp3|mp4|avi|mov|exe|dmg|css|js|woff|woff2|ttf|eot)$"
 
 
@@ -142,8 +141,7 @@ LINKS = rf"len(regexp_extract_all({VISIBLE}, '<a\s[^>]*?href=.(/)'))"
 
 def context() -> str:
     parts = []
-    for provider, tokens in (*CONTEXT_TOKENS.items(), ("other", DEFAULT_CONTEXT_TOKENS)):
-        chars = min(tokens * CHARS_PER_TOKEN, MAX_CONTEXT_CHARS)
+    for provider, chars in CONTEXT.items():
         parts.append(
             f"select doc_id, '{provider}' as provider, md5(substr(text, 1, {chars})) as digest, "
             f"length(text) > {chars} as truncated from documents"
@@ -454,6 +452,7 @@ def _plain_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
             union all select c_custkey, null, c_name from customer""",
         # crawl
         "crawl_expand": tree_crawl(crawl_depth),
+        "crawl_deeper": tree_crawl(crawl_depth),
         "crawl_frontier_sizes":
             f"select depth, count(*) as pages from ({tree_crawl(crawl_depth)}) group by depth",
         "crawl_cap": tree_crawl(crawl_depth, crawl_cap),
@@ -463,6 +462,10 @@ def _plain_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
             select 1 as run, norm, 'ok' as status from a
             union all select distinct 2, {norm('url')}, 'ok' from pages where {norm('url')} not in (select norm from a)""",
         # extraction
+        "extract_long_pages": """
+            select doc_id, (length(text) + 999) // 1000 as windows,
+                   array_to_string(list_transform(range(1, length(text) + 1, 1000), lambda x: least(1000, length(text) - x + 1)), ',') as sizes
+            from documents""",
         "extract_pages": f"""
             select url, 0 as depth, 2 as attempts, {HEADING} as title, {LINKS} as links from pages""",
         "typed_output": f"""
@@ -470,8 +473,9 @@ def _plain_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
                    shape = 7 or (shape = 11 and item_pos = 1) as corrupt, item_pos, source_url
             from {UNWRAPPED}""",
         "typed_json_schema": f"""
-            select l_extendedprice as total, l_orderkey as key, l_returnflag as flag, source_url
-            from {UNWRAPPED} where shape = 3""",
+            select case when shape = 3 then l_extendedprice end as total, case when shape = 3 then l_orderkey end as key,
+                   case when shape = 3 then l_returnflag end as flag, false as corrupt, source_url
+            from {UNWRAPPED}""",
         # flattening
         "flatten_records": f"select source_url as _source_url, depth as _crawl_depth, {fields} from {UNWRAPPED}",
         "flatten_defaults": f"select '' as _source_url, 0 as _crawl_depth, count(*) as rows from {UNWRAPPED}",
@@ -488,13 +492,17 @@ def _plain_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
                    part, price, case when shape = 3 then l_extendedprice end as total, value,
                    source_url as _source_url, depth as _crawl_depth
             from {UNWRAPPED}""",
+        "normalize_mixed_case": """
+            select o_orderkey as first, o_orderstatus as second, o_custkey as nested, o_orderkey as dotted,
+                   '1' || lpad(o_orderkey::varchar, 19, '0') as big
+            from orders""",
         "key_discovery": """
             select * from (values ('_source_url', 'string'), ('a', 'array<bigint>'), ('b', 'array<bigint>'),
                 ('order.flag', 'string'), ('order.key', 'bigint'), ('part', 'bigint'), ('price', 'double'),
                 ('total', 'double'), ('value', 'string')) v(name, type)""",
         # sinks
         "sink_json": EXPORTED, "sink_csv": EXPORTED, "sink_xml": EXPORTED,
-        "sink_table": EXPORTED, "sink_markdown": EXPORTED,
+        "sink_table": EXPORTED, "sink_two_tables": EXPORTED, "sink_markdown": EXPORTED,
         "empty_sentinel": "select null::bigint as o_orderkey, true as _empty",
         "sentinel_not_needed": "select o_orderkey, null::boolean as _empty from orders",
         # reports
@@ -506,7 +514,8 @@ def _plain_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
             with c as (select count(*) filter (where status = 'ok') as good,
                               count(*) filter (where status like '%failed') as bad from ({RUN_LOG}))
             select 'Pages crawled:  ' || good as value from c union all select 'Pages failed:   ' || bad from c
-            union all select 'Time:           12.4s' union all select 'Output:         out/data.json'""",
+            union all select 'Time:           12.4s' union all select 'Output:         out/data.json'
+            union all select 'Timestamp:      2024-01-02 03:04:05'""",
         "failed_top5": f"""
             select page_id, url, status from ({RUN_LOG}) where status like '%failed' order by page_id limit 5""",
         "preview": """
@@ -518,5 +527,10 @@ def _plain_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
         "stream_dedup": f"select distinct {norm('url')} as norm from pages",
         "stream_resume": f"select distinct {norm('url')} as norm from pages",
         "stream_extract": f"select {HEADING} as title, {LINKS} as links, url, 0 as depth from pages",
+        "stream_export_json": f"select {HEADING} as title, {LINKS} as links, url, 0 as depth from pages",
+        "schedule_seconds": """
+            select o_orderkey, (o_orderkey % 97 + case when o_orderkey % 8 < 4 then 0.5 else 0 end)::double
+                   * case o_orderkey % 4 when 0 then 86400 when 1 then 3600 when 2 then 60 else 1 end as seconds
+            from orders""",
         "stream_progress": "select count(*) as pages, 0::bigint as without_html from pages",
     }

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pagemill.functions.urls import domain_key, resolve
 from pagemill.operators.rows import explode_with_position
 
-# Fixed value: addresses taken from one sitemap.
-MAX_URLS = 500
+# Fixed value: a usual cap on the addresses of one sitemap, for callers that want one.
+USUAL_CAP = 500
 
 _DOC_TYPE = (
     "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _broken string"
@@ -22,17 +22,18 @@ _ROOT_RE = (
     r"(?is)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!doctype[^>]*>\s*)*<(?:[\w.\-]+:)?"
     r"([\w.\-]*?(?:urlset|sitemapindex)[\w.\-]*)"
 )
-_ANY_LOC = "//*[substring(local-name(), string-length(local-name()) - 2) = 'loc']/text()"
+_ANY_LOC = "//*[local-name() = 'url' or local-name() = 'sitemap']/*[local-name() = 'loc']/text()"
 
 
 def sitemap_address(base_url: Column) -> Column:
     return resolve(base_url, F.lit("/sitemap.xml"))
 
 
-def parse_sitemaps(docs: DataFrame, max_urls: int = MAX_URLS, xml: str = "xml") -> DataFrame:
+def parse_sitemaps(docs: DataFrame, max_urls: int | None = None, xml: str = "xml") -> DataFrame:
     """Input columns plus ``kind`` (``page`` or ``sitemap``), ``pos`` and ``loc``.
 
-    The cap is a slice of the document's own list: no window, no shuffle.
+    ``max_urls`` cuts each document's own list (a slice: no window, no shuffle); by default
+    every address is listed.
     """
     root = F.lower(F.regexp_extract(F.col(xml), _ROOT_RE, 1))
     is_urlset = F.contains(root, F.lit("urlset"))
@@ -54,14 +55,16 @@ def parse_sitemaps(docs: DataFrame, max_urls: int = MAX_URLS, xml: str = "xml")
         .when(F.size(listed) > 0, listed)
         .otherwise(F.xpath(F.col(xml), F.lit(_ANY_LOC)))
     )
-    cut = F.slice(F.transform(located, lambda v: F.regexp_replace(v, r"^\s+|\s+$", "")), 1, max_urls)
+    listed = F.transform(located, lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
+    if max_urls is not None:
+        listed = F.slice(listed, 1, max_urls)
     kind = F.when(F.contains(F.col("_root"), F.lit("urlset")), F.lit("page")).otherwise(F.lit("sitemap"))
     carried = [F.col(c) for c in docs.columns if c != xml]
-    return explode_with_position(parsed, [*carried, kind.alias("kind")], cut, "pos", "loc")
+    return explode_with_position(parsed, [*carried, kind.alias("kind")], listed, "pos", "loc")
 
 
 def sitemap_seeds(
-    seeds: DataFrame, docs: DataFrame, max_urls: int = MAX_URLS
+    seeds: DataFrame, docs: DataFrame, max_urls: int | None = None
 ) -> DataFrame:
     """``(seed_ord, seed, pos, loc)``: sitemap addresses credited to the first seed of a site.
 

@@ -2,31 +2,22 @@
 
 Iterative jobs cut their lineage by writing a table to shared storage and reading it back:
 the written files outlive any executor.  The folder is the one the cluster names in
-``spark.checkpoint.dir``; only a local session without that setting gets a folder of its own.
+``spark.checkpoint.dir``; where that is unset, one in the session's warehouse.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
-
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
-    app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="pagemill-")
-    return _local_roots[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tables"
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:

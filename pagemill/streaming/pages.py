@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +20,7 @@ from pagemill.operators.extract import Model, extract
 from pagemill.operators.flatten import flatten_results, normalize_columns
 from pagemill.sinks.export import export
 from pagemill.sources.pages import PAGE_SCHEMA
+from pagemill.storage import write_once
 
 # Seconds per schedule unit.
 SCHEDULE_UNITS = {"d": 86400, "h": 3600, "m": 60}
@@ -33,6 +34,15 @@ def parse_schedule(text: str) -> float:
     return float(text) if unit is None else float(text[:-1]) * unit
 
 
+def schedule_seconds(text: Column) -> Column:
+    """``parse_schedule`` of a column; null where it is no schedule."""
+    clean = F.lower(F.trim(text))
+    factor = F.lit(1)
+    for unit, seconds in SCHEDULE_UNITS.items():
+        factor = F.when(F.right(clean, F.lit(1)) == unit, seconds).otherwise(factor)
+    return F.regexp_replace(clean, "[dhm]$", "").try_cast("double") * factor
+
+
 def trigger(schedule: str | None = None) -> dict[str, Any]:
     """Trigger arguments: every ``schedule``, or everything landed so far and then stop."""
     if schedule is None:
@@ -99,13 +109,17 @@ def write_stream(
     """Run ``rows`` into ``output``; a restart on the same ``checkpoint`` resumes.
 
     Parquet uses the transactional file sink.  Other formats are exported per batch under
-    the batch number, so a repeated batch overwrites itself.
+    the batch number, from rows that are computed and stored once, so the model is asked once
+    and a repeated batch overwrites itself.  An empty batch writes nothing.
     """
     writer = rows.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger(schedule))
     if fmt == "parquet":
         return writer.format("parquet").outputMode("append").start(output)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        export(batch, fmt, output, f"batch-{batch_id:06d}")
+        name = f"batch-{batch_id:06d}"
+        stored = write_once(batch.sparkSession, f"{checkpoint.rstrip('/')}/rows/{name}", lambda: batch)
+        if not stored.isEmpty():
+            export(stored, fmt, output, name)
 
     return writer.outputMode("append").foreachBatch(each).start()

@@ -170,11 +170,7 @@ def test_hot_target_page(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 500, 999, 1000, 5000])
-def test_first_n_both_ways(spark, monkeypatch, n):
+def test_first_n(spark, n):
     df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(100)).alias("k"), "id")
     wanted = sorted((r["k"], r["id"]) for r in df.collect())[:n]
-    small = first_n(df, n, F.col("k"), F.col("id"))
-    monkeypatch.setattr("pagemill.operators.limits.SMALL_TOP", -1)
-    large = first_n(df, n, F.col("k"), F.col("id"))
-    assert sorted((r["k"], r["id"]) for r in small.collect()) == wanted
-    assert sorted((r["k"], r["id"]) for r in large.collect()) == wanted
+    assert sorted((r["k"], r["id"]) for r in first_n(df, n, F.col("k"), F.col("id")).collect()) == wanted

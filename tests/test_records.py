@@ -118,10 +118,21 @@ def test_schema_kinds(tmp_path):
         "struct<title:string,type:string,author:struct<name:string>,tags:array<string>>"
     )
     # a field that happens to be called "type" is still a field map
-    assert not typed.is_json_schema({"type": "str", "name": "str"})
-    assert typed.is_json_schema({"type": "object", "properties": {}})
-    assert "- price: float" in typed.prompt_suffix(json.loads(FIELD_MAP))
-    assert '"properties"' in typed.prompt_suffix(json.loads(JSON_SCHEMA))
+    assert typed.to_struct({"type": "str", "name": "str"}).names == ["type", "name"]
+    assert typed.to_struct({"type": "object", "properties": {}}).names == []
+    assert typed.load_schema("[1, 2]") is None
+    assert "- price (number)" in typed.prompt_suffix(json.loads(FIELD_MAP))
+    assert "- author ({name: text})" in typed.prompt_suffix(json.loads(JSON_SCHEMA))
+    assert "- tags (list of text)" in typed.prompt_suffix(json.loads(JSON_SCHEMA))
+
+
+def test_keys_that_clash_stay_apart(spark):
+    data = '[{"Price":1,"a":{"b":1},"a.b":2},{"price":2,"big":12345678901234567890}]'
+    rows = flatten.flatten_results(spark.createDataFrame([(data,)], "data string"), provenance=False)
+    out = flatten.normalize_columns(rows)
+    assert out.columns == ["Price", "a.b", "a.b_2", "big", "price_2"]
+    got = [tuple(None if v is None else int(v) for v in r) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 2, None, None), (None, None, None, 12345678901234567890, 2)], key=str)
 
 
 def test_typed_columns(spark):
@@ -154,7 +165,12 @@ def test_extract(spark):
     )
     done = extract(pages, flaky, "ask", provider="groq", parallelism=3).cache()
     rows = {r["source_url"]: r for r in done.collect()}
-    assert json.loads(rows["first"]["data"]) == {"url": "first", "chars": 24_000, "prompt": "ask", "text": "é"}
+    # longer than the provider's window: asked for in two windows, nothing is cut away
+    first = [{"url": "first", "chars": n, "prompt": "ask", "text": "é"} for n in (24_000, 6_000)]
+    assert json.loads(rows["first"]["data"]) == first
+    assert [rows[u]["windows"] for u in ("first", "second", "blank")] == [2, 1, 0]
+    whole = extract(pages.where("url = 'first'"), flaky, "ask").first()
+    assert json.loads(whole["data"])["chars"] == 30_000 and whole["windows"] == 1
     assert [rows[u]["attempts"] for u in ("first", "second", "never", "none", "blank", "null")] == [1, 2, 2, 1, 0, 0]
     assert rows["never"]["data"] is None and "busy" in rows["never"]["error"]
     good, bad = split_results(done)
@@ -213,7 +229,7 @@ def test_export_again_replaces(spark, table, tmp_path):
 
 
 def test_unknown_format(table):
-    with pytest.raises(ValueError, match="Options: json, csv, xml, sql, markdown"):
+    with pytest.raises(ValueError, match="json, csv, xml, sql, markdown"):
         sinks.export(table, "parquet?")
 
 

@@ -57,7 +57,15 @@ def test_sitemaps(spark):
 def test_sitemap_cap_is_per_document(spark):
     xml = "<urlset>" + "".join(f"<url><loc>http://h/{i}</loc></url>" for i in range(600)) + "</urlset>"
     docs = spark.createDataFrame([("a", xml), ("b", xml)], "name string, xml string")
-    assert {r["count"] for r in sitemaps.parse_sitemaps(docs).groupBy("name").count().collect()} == {500}
+    assert {r["count"] for r in sitemaps.parse_sitemaps(docs, sitemaps.USUAL_CAP).groupBy("name").count().collect()} == {500}
+    assert {r["count"] for r in sitemaps.parse_sitemaps(docs).groupBy("name").count().collect()} == {600}
+
+
+def test_prefixed_sitemap_lists_pages_only(spark):
+    xml = """<sm:urlset xmlns:sm="s" xmlns:image="i"><sm:url><sm:loc>http://a/1</sm:loc>
+        <image:image><image:loc>http://a/1.png</image:loc></image:image></sm:url></sm:urlset>"""
+    docs = spark.createDataFrame([(xml,)], "xml string")
+    assert [r["loc"] for r in sitemaps.parse_sitemaps(docs).collect()] == ["http://a/1"]
 
 
 def test_sitemap_rows_go_to_the_first_seed_of_a_site(spark):

@@ -69,6 +69,29 @@ def test_other_formats_are_exported_per_batch(spark, sf_dir, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/out/batch-000000.csv").count() == 50
 
 
+def test_model_is_asked_once_a_page_in_any_format(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def factory():
+        import tempfile
+
+        def model(text, url, prompt):
+            tempfile.mkstemp(dir=calls)
+            return {"title": text}
+
+        return model
+
+    landed = str(tmp_path / "landed")
+    spark.createDataFrame([(i, f"http://h/{i}", f"<p>text {i}</p>") for i in range(6)], "page_id long, url string, html string").write.parquet(landed)
+    shape = T.StructType([T.StructField("title", T.StringType())])
+    rows = s.extraction_stream(s.read_page_stream(spark, landed), factory, "title", shape)
+    run(rows, tmp_path, fmt="json")
+    run(rows, tmp_path, fmt="json")  # nothing new: no batch, no marker
+    assert spark.read.json(f"{tmp_path}/out/batch-*.json").count() == 6
+    assert len(list(calls.iterdir())) == 6
+
+
 def test_progress(spark, sf_dir, tmp_path):
     rows = s.with_progress(s.read_page_stream(spark, sf_dir, "pages.parquet"), "seen").select("page_id")
     q = run(rows, tmp_path)
