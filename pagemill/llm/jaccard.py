@@ -266,29 +266,29 @@ def _block(key: Column, count: Column, size: int) -> Column:
     return F.pmod(F.xxhash64(key), F.ceil(count / F.lit(size)).cast("long"))
 
 
+def _with_tokens(rows: DataFrame, sets: DataFrame, keys: list[str], link) -> DataFrame:
+    """Links within the groups of ``keys``; rows are slim until here, so sets move once by class
+    and once to the groups that want them."""
+    return rows.join(sets.select("class", "tokens"), "class").groupBy(*keys).applyInArrow(link, "a long, b long")
+
+
 def _home_links(sets: DataFrame, threshold: int) -> DataFrame:
     """Links within blocks, and between each block and the first class of its smallest token."""
-    shared = sets.groupBy("least").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("first"))
-    shared = shared.filter("size > 1")
-    members = sets.join(shared, "least").select(
-        "least", _block(F.col("class"), F.col("size"), GROUP).alias("block"), "first", "class", "tokens"
+    slim = sets.select("class", "least")
+    shared = slim.groupBy("least").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("first")).filter("size > 1")
+    members = slim.join(shared, "least").select(
+        "least", _block(F.col("class"), F.col("size"), GROUP).alias("block"), "first", "class"
     )
     blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / F.lit(GROUP)).cast("long") - 1)
-    firsts = shared.select("least", F.explode(blocks).alias("block"), "first").join(
-        sets.select(F.col("class").alias("first"), "tokens"), "first"
-    ).select("least", "block", "first", F.col("first").alias("class"), "tokens")
-    return members.unionByName(firsts).groupBy("least", "block").applyInArrow(_link_home(threshold), "a long, b long")
-
-
-def _labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """Classes with the component they are in so far."""
-    own = F.coalesce("component", "class").alias("component")
-    return sets.join(found.withColumnRenamed("node", "class"), "class", "left").select("class", "n", own, "tokens")
+    firsts = shared.select("least", F.explode(blocks).alias("block"), "first", F.col("first").alias("class"))
+    return _with_tokens(members.unionByName(firsts), sets, ["least", "block"], _link_home(threshold))
 
 
-def _cells(shared: DataFrame, labelled: DataFrame) -> DataFrame:
+def _cells(shared: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     """(part, class) cells of parts whose classes are not all in one component yet."""
-    cells = shared.join(labelled.drop("tokens"), "class")
+    own = F.coalesce("component", "class").alias("component")
+    labelled = sets.select("class", "n").join(found.withColumnRenamed("node", "class"), "class", "left")
+    cells = shared.join(labelled.select("class", "n", own), "class")
     open_parts = cells.groupBy("part").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("shared_by")
     )
@@ -306,27 +306,24 @@ def _hubs(cells: DataFrame) -> DataFrame:
     )
 
 
-def _hub_links(cells: DataFrame, labelled: DataFrame, threshold: int) -> DataFrame:
+def _hub_links(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links of classes with the hubs of their parts."""
-    spark = cells.sparkSession
     near = (F.col("hub.n") * threshold <= F.col("n") * 100) & (F.col("n") * threshold <= F.col("hub.n") * 100)
     asks = write_table(
         cells.join(_hubs(cells), "part").filter((F.col("component") != F.col("hub.component")) & near)
-        .select("class", F.col("hub.class").alias("hub")).distinct(),
-        new_folder(spark, "jaccard-asks"),
+        .select("class", "component", F.col("hub.class").alias("hub"), F.col("hub.component").alias("to")).distinct(),
+        new_folder(cells.sparkSession, "jaccard-asks"),
     )
     counts = asks.groupBy("hub").agg(F.count(F.lit(1)).alias("asked"))
-    asks = asks.join(counts, "hub").select("class", "hub", _block(F.col("class"), F.col("asked"), QUERIES).alias("block"))
-    rows = ["hub", "block", "class", "component", "tokens"]
-    queries = asks.join(labelled, "class").select(*rows, F.lit(True).alias("asks"))
-    members = (
-        asks.select("hub", "block").distinct().join(labelled.withColumn("hub", F.col("class")), "hub")
-        .select(*rows, F.lit(False).alias("asks"))
-    )
-    return queries.unionByName(members).groupBy("hub", "block").applyInArrow(_open_groups(threshold), "a long, b long")
+    asks = asks.join(counts, "hub").withColumn("block", _block(F.col("class"), F.col("asked"), QUERIES))
+    queries = asks.select("hub", "block", "class", "component", F.lit(True).alias("asks"))
+    members = asks.select(
+        "hub", "block", F.col("hub").alias("class"), F.col("to").alias("component"), F.lit(False).alias("asks")
+    ).distinct()
+    return _with_tokens(queries.unionByName(members), sets, ["hub", "block"], _open_groups(threshold))
 
 
-def _matrix_links(cells: DataFrame, labelled: DataFrame, threshold: int) -> DataFrame:
+def _matrix_links(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links found by opening the groups that the matrix lets through.
 
     A group is a block of the classes that have the same most-shared hub.  Groups meet in the
@@ -334,15 +331,18 @@ def _matrix_links(cells: DataFrame, labelled: DataFrame, threshold: int) -> Data
     class of the one is then a query against the other.
     """
     spark = cells.sparkSession
-    best = cells.join(_hubs(cells), "part").groupBy("class").agg(F.max(F.struct("hub.degree", "hub.class")).alias("hub"))
-    best = best.select("class", F.col("hub.class").alias("hub"))
+    best = cells.join(_hubs(cells), "part").groupBy("class").agg(
+        F.max(F.struct("hub.degree", "hub.class")).alias("hub"), F.first("component").alias("component"), F.first("n").alias("n")
+    ).select("class", "component", "n", F.col("hub.class").alias("hub"))
     sizes = best.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
-    groups = best.join(sizes, "hub").select(
-        "class", F.xxhash64("hub", _block(F.col("class"), F.col("size"), GROUP)).alias("group")
+    grouped = write_table(
+        best.join(sizes, "hub").select(
+            "class", "component", "n", F.xxhash64("hub", _block(F.col("class"), F.col("size"), GROUP)).alias("group")
+        ),
+        new_folder(spark, "jaccard-groups"),
     )
-    grouped = write_table(groups.join(labelled, "class"), new_folder(spark, "jaccard-groups"))
     matrix = write_table(
-        cells.select("part", "class").join(grouped.drop("tokens"), "class").groupBy("part", "group").agg(
+        cells.select("part", "class").join(grouped, "class").groupBy("part", "group").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"),
             F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
         ),
@@ -356,10 +356,11 @@ def _matrix_links(cells: DataFrame, labelled: DataFrame, threshold: int) -> Data
         .select("group", "to_group").distinct(),
         new_folder(spark, "jaccard-pairs"),
     )
-    rows = ["group", "to_group", "class", "component", "tokens"]
-    queries = pairs.join(grouped, "group").select(*rows, F.lit(True).alias("asks"))
-    members = pairs.join(grouped.withColumnRenamed("group", "to_group"), "to_group").select(*rows, F.lit(False).alias("asks"))
-    return queries.unionByName(members).groupBy("group", "to_group").applyInArrow(_open_groups(threshold), "a long, b long")
+    rows = ["group", "to_group", "class", "component"]
+    slim = grouped.drop("n")
+    queries = pairs.join(slim, "group").select(*rows, F.lit(True).alias("asks"))
+    members = pairs.join(slim.withColumnRenamed("group", "to_group"), "to_group").select(*rows, F.lit(False).alias("asks"))
+    return _with_tokens(queries.unionByName(members), sets, ["group", "to_group"], _open_groups(threshold))
 
 
 def _all_links(sets: DataFrame, shared: DataFrame, threshold: int) -> DataFrame:
@@ -368,8 +369,7 @@ def _all_links(sets: DataFrame, shared: DataFrame, threshold: int) -> DataFrame:
     links = write_table(_home_links(sets, threshold), new_folder(spark, "jaccard-home"))
     found = components(links)
     for step in [_hub_links] * HUB_ROUNDS + [_matrix_links]:
-        labelled = _labelled(sets, found)
-        more = step(_cells(shared, labelled), labelled, threshold)
+        more = step(_cells(shared, sets, found), sets, threshold)
         links = links.unionByName(write_table(more, new_folder(spark, "jaccard-links")))
         found = components(links)
     return found
