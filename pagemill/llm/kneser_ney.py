@@ -40,8 +40,8 @@ from pagemill.storage import new_folder, write_table
 
 _U = np.uint64
 BEGIN, END = _U(0x1B0E6C9A37D5F281), _U(0x7C4A1F93E2B86D05)
-BLOCK = 24 << 20
-SLICE = 4 << 20
+BLOCK = 16 << 20
+SLICE = 2 << 20
 PAIR = _U(0x9E3779B97F4A7C15)
 
 
