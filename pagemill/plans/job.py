@@ -56,14 +56,19 @@ class JobResult:
 def page_content(visited: DataFrame, pages: DataFrame, cache_dir: str | None = None) -> DataFrame:
     """``(url, depth, markdown, hit)`` of visited pages; cached markdown is used if there is some."""
     asked = visited.where(F.col("status").isin(OK, EXTRACT_FAILED)).select("url", "depth", "page_id")
-    found = asked.join(pages.select("page_id", "html"), "page_id")
-    if cache_dir is None:
+
+    def converted(wanted: DataFrame) -> DataFrame:
+        found = wanted.join(pages.select("page_id", "html"), "page_id")
         return found.select(
             "url", "depth", page_markdown(F.col("html")).alias("markdown"), F.lit(False).alias("hit")
         )
-    looked = look_up(found, read_cache(visited.sparkSession, cache_dir))
-    markdown = F.coalesce(F.col("cached"), page_markdown(F.col("html")))
-    return looked.select("url", "depth", markdown.alias("markdown"), "hit")
+
+    if cache_dir is None:
+        return converted(asked)
+    # slim rows look in the cache; html moves for the misses only
+    looked = look_up(asked, read_cache(visited.sparkSession, cache_dir))
+    hits = looked.where("hit").select("url", "depth", F.col("cached").alias("markdown"), "hit")
+    return hits.unionByName(converted(looked.where(~F.col("hit")).select("url", "depth", "page_id")))
 
 
 def answers(

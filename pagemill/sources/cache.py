@@ -32,16 +32,18 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def look_up(pages: DataFrame, cache: DataFrame, use_norm: bool = False) -> DataFrame:
     """``pages`` plus ``cached`` markdown (null on a miss) and the flag ``hit``.
 
-    Two runs at a time may have stored an address twice; one text per key is taken, on the
-    partitioning the join needs anyway.
+    Two runs at a time may have stored an address twice; one text per key is taken.  Texts of
+    other addresses are left out before any text is compared.
     """
     address = normalize(F.col("url")) if use_norm else F.col("url")
-    stored = cache.where(F.col("markdown") != "").groupBy("url_key").agg(
-        F.min("markdown").alias("cached")
+    keyed = pages.withColumn("url_key", url_key(address))
+    asked = keyed.select("url_key").distinct()
+    stored = (
+        cache.where(F.col("markdown") != "").join(asked, "url_key", "left_semi")
+        .groupBy("url_key").agg(F.min("markdown").alias("cached"))
     )
     return (
-        pages.withColumn("url_key", url_key(address))
-        .join(stored, "url_key", "left")
+        keyed.join(stored, "url_key", "left")
         .withColumn("hit", F.col("cached").isNotNull())
     )
 

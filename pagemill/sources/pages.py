@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pagemill.functions.urls import normalize
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
-MISSING_SHARES = 4096
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -42,14 +41,12 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 def render(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """``requests`` (with ``url``) plus the html of their page; null html is a failed fetch.
 
-    The page of each visit key is found on slim ``(norm, page_id)`` pairs, then html is
-    fetched by page id, so it moves once at most.  Requests without a page would all share
-    the null key; they get keys of their own that match nothing.
+    The page of each visit key is found on slim ``(norm, page_id)`` pairs; an inner join by page
+    id then fetches html for those that have a page, so a short request list can be broadcast
+    and the html of other pages stays where it is.
     """
     winners = distinct_pages(pages).select("norm", "page_id")
-    unmatched = F.concat(F.lit("none "), F.pmod(F.xxhash64("url"), F.lit(MISSING_SHARES)))
-    asked = with_norm(requests).join(winners, "norm", "left").withColumn(
-        "_key", F.coalesce(F.col("page_id").cast("string"), unmatched)
-    )
-    content = pages.select(F.col("page_id").cast("string").alias("_key"), "html")
-    return asked.join(content, "_key", "left").drop("_key")
+    asked = with_norm(requests).join(winners, "norm", "left")
+    found = asked.where(F.col("page_id").isNotNull()).join(pages.select("page_id", "html"), "page_id")
+    missing = asked.where(F.col("page_id").isNull()).withColumn("html", F.lit(None).cast("string"))
+    return found.unionByName(missing)
