@@ -12,8 +12,8 @@ space and are the library's business.
 Frequencies travel as postings: a block of up to ``BLOCK_ROWS`` documents sends one record for
 each distinct pre-token with the rows it is in and how often.  Records meet by pre-token, those
 in very many rows of a block spread over ``SALTS`` tasks; each task adds up the tokens of each
-row, and a last aggregation sums those.  So a word that is in every document costs one record a
-block, and nothing grows with a single key.
+row, and sends each block one record of sums, which meet there.  So a word that is in every
+document costs one record a block, and nothing grows with a single key.
 
 Defined results: a null text counts as empty, with no tokens; rows are counted by themselves,
 repeated ones and null ids included; an empty table gives an empty table; further columns are
@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import arrow_text as A
 
-BLOCK_ROWS = 8192
-BLOCK_BYTES = 16 << 20
+BLOCK_ROWS = 1 << 14
+BLOCK_BYTES = 32 << 20
 SALTS = 64
 COMMON = 16
 """A pre-token in more than one of this many rows of a block is spread over the salts."""
 RECORDS = 1 << 15
+SUMS = 1 << 22
+"""Row sums a task gathers before it adds them up, and hands on if they are too many."""
 KNOWN = 1 << 20
 LIMIT = 512
 
@@ -74,21 +76,23 @@ class _Block:
         new[1:] = (key_[1:] != key_[:-1]) | (row_[1:] != row_[:-1])
         first = np.flatnonzero(new)
         times = np.diff(np.append(first, len(order)))
-        self.found.append((key_[first], row_[first] + self.rows, times))
+        self.found.append((key_[first], (row_[first] + self.rows).astype(np.uint16), times.astype(np.int32)))
         distinct, at = np.unique(key, return_index=True)
         self.words.append((distinct, A.binary_column(*A.gather(data, start[at], end[at]))))
         self.rows += len(column)
         self.bytes += len(data)
 
     def records(self, number: int) -> Iterator[tuple[pa.Array, ...]]:
-        """(pre-token, salt, rows, times); a count above 255 is several entries."""
+        """(pre-token, salt, rows and times); a count above 255 is several entries."""
         key, row, times = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        self.found = []
         pieces = -(-times // 255)
-        last = np.cumsum(pieces) - 1
-        key, row, left = np.repeat(key, pieces), np.repeat(row, pieces), np.full(pieces.sum(), 255)
-        left[last] = times - 255 * (pieces - 1)
+        left = np.full(pieces.sum(), 255, np.uint8)
+        left[np.cumsum(pieces) - 1] = times - 255 * (pieces - 1)
+        if len(left) > len(key):
+            key, row = np.repeat(key, pieces), np.repeat(row, pieces)
         order = np.argsort(key, kind="stable")
-        key, row, left = key[order], row[order].astype(np.uint16), left[order].astype(np.uint8)
+        key, row, left = key[order], row[order], left[order]
         keys = np.concatenate([k for k, _ in self.words])
         distinct, at = np.unique(keys, return_index=True)
         words = pa.concat_arrays([w for _, w in self.words]).take(pa.array(at))
@@ -97,25 +101,27 @@ class _Block:
         for low in range(0, len(distinct), RECORDS):
             high = min(len(distinct), low + RECORDS)
             b = bounds[low : high + 1]
-            yield (
-                words[low:high], pa.array(salt[low:high], pa.int32()),
-                A.binary_column(row[b[0] : b[-1]].view(np.uint8), (b - b[0]) * 2),
-                A.binary_column(left[b[0] : b[-1]], b - b[0]),
-            )
+            width = np.diff(b)
+            at = np.repeat(3 * (b[:-1] - b[0]), width)  # bytes before each record
+            place = np.arange(b[-1] - b[0]) - np.repeat(b[:-1] - b[0], width)
+            both = np.zeros(3 * (b[-1] - b[0]), np.uint8)
+            pairs = np.ascontiguousarray(row[b[0] : b[-1]]).view(np.uint8).reshape(-1, 2)
+            both[at + 2 * place], both[at + 2 * place + 1] = pairs[:, 0], pairs[:, 1]
+            both[at + 2 * np.repeat(width, width) + place] = left[b[0] : b[-1]]
+            yield words[low:high], pa.array(salt[low:high], pa.int32()), A.binary_column(both, 3 * (b - b[0]))
 
 
-_FIELDS = "row long, id {id}, n_bytes long, word binary, salt int, rows binary, times binary"
+_FIELDS = "base long, row long, id {id}, n_bytes long, word binary, salt int, posted binary"
+_SUMMED = "base long, row long, id {id}, n_bytes long, posted binary"
 
 
 def _postings(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(block: _Block, base: int) -> Iterator[pa.RecordBatch]:
-            for word, salt, rows, times in block.records(base >> 13):
+            for word, salt, posted in block.records(base // BLOCK_ROWS):
                 n = len(word)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, base)), pa.nulls(n, schema.field("id").type), pa.nulls(n, pa.int64()), word, salt, rows, times],
-                    schema=schema,
-                )
+                none = [pa.nulls(n, schema.field(f).type) for f in ("row", "id", "n_bytes")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, base)), *none, word, salt, posted], schema=schema)
 
         block, base, expected = _Block(), 0, -1
         for batch in batches:
@@ -124,15 +130,17 @@ def _postings(schema: pa.Schema):
                     some = part.slice(low, BLOCK_ROWS)
                     row = some.column("row").to_numpy()
                     n = len(row)
-                    nulls = [pa.nulls(n, schema.field(f).type) for f in ("word", "salt", "rows", "times")]
-                    size = pc.fill_null(pc.binary_length(some.column("text")), 0).cast(pa.int64())
-                    yield pa.RecordBatch.from_arrays([some.column("row"), some.column("id"), size, *nulls], schema=schema)
                     full = block.rows + n > BLOCK_ROWS or block.bytes > BLOCK_BYTES or row[0] != expected
                     if block.rows and full:
                         yield from flush(block, base)
                         block = _Block()
                     if not block.rows:
                         base = int(row[0])
+                    nulls = [pa.nulls(n, schema.field(f).type) for f in ("word", "salt", "posted")]
+                    size = pc.fill_null(pc.binary_length(some.column("text")), 0).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, base)), some.column("row"), some.column("id"), size, *nulls], schema=schema
+                    )
                     block.add(some.column("text"))
                     expected = int(row[-1]) + 1
         if block.rows:
@@ -141,6 +149,44 @@ def _postings(schema: pa.Schema):
     return run
 
 
+class _Sums:
+    """Tokens of rows, as (base, row, tokens) entries that are added up when they get many."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, base: np.ndarray, row: np.ndarray, tokens: np.ndarray) -> None:
+        self.parts.append((base, row, tokens))
+        self.size += len(row)
+        if self.size > SUMS:
+            self.merge()
+
+    def merge(self) -> None:
+        base, row, tokens = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(row, kind="stable")
+        row = row[order]
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+        tokens = np.add.reduceat(tokens[order], first) if len(first) else tokens
+        self.parts = [(base[order[first]], row[first], tokens)]
+        self.size = len(first)
+
+    def records(self) -> Iterator[tuple[int, bytes]]:
+        """Each block's rows (two bytes each) and their tokens (four bytes each)."""
+        if not self.parts:
+            return
+        self.merge()
+        base, row, tokens = self.parts[0]
+        self.parts, self.size = [], 0
+        big = np.uint32(0xFFFFFFFF)
+        at = np.flatnonzero(np.diff(base, prepend=-1))
+        for low, high in zip(at, np.append(at[1:], len(base)), strict=True):
+            rows, left = (row[low:high] - base[low:high]).astype(np.uint16), tokens[low:high]
+            while len(left):
+                yield int(base[low]), rows.tobytes() + np.minimum(left, big).astype(np.uint32).tobytes()
+                rows, left = rows[left > big], left[left > big] - int(big)
+
+
 def _summed(tokenizer_file: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -148,23 +194,22 @@ def _summed(tokenizer_file: str, schema: pa.Schema):
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
         known: dict[bytes, int] = {}
-        sums: dict[int, np.ndarray] = {}
+        sums = _Sums()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for base, total in sums.items():
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(base + at), pa.nulls(len(at), schema.field("id").type), pa.nulls(len(at), pa.int64()),
-                     pa.array(total[at])], schema=schema,
-                )
-            sums.clear()
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            records = list(sums.records())
+            none = [pa.nulls(len(records), schema.field(f).type) for f in ("row", "id", "n_bytes")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b for b, _ in records], pa.int64()), *none, pa.array([x for _, x in records], pa.binary())],
+                schema=schema,
+            )
 
         for batch in batches:
             has_word = batch.column("word").is_valid()
             about = batch.filter(pc.invert(has_word))
             if about.num_rows:
-                zero = pa.array(np.zeros(about.num_rows, np.int64))
-                yield pa.RecordBatch.from_arrays([*about.select(["row", "id", "n_bytes"]).columns, zero], schema=schema)
+                columns = about.select(["base", "row", "id", "n_bytes"]).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(about.num_rows, pa.binary())], schema=schema)
             batch = batch.filter(has_word)
             if not batch.num_rows:
                 continue
@@ -175,28 +220,34 @@ def _summed(tokenizer_file: str, schema: pa.Schema):
             encoded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
             known.update(zip(new, map(len, encoded), strict=True))
             pieces = np.array([known[w] for w in words], np.int64)
-            rows, bounds = A.view(batch.column("rows").cast(pa.large_binary()).view(pa.large_string()))
-            times, _ = A.view(batch.column("times").cast(pa.large_binary()).view(pa.large_string()))
-            width = np.diff(bounds) // 2
-            worth = times.astype(np.int64) * np.repeat(pieces, width)
-            base = batch.column("row").to_numpy()
-            bases, which = np.unique(base, return_inverse=True)
-            at = np.repeat(which, width) * BLOCK_ROWS + np.ascontiguousarray(rows).view(np.uint16)
-            total = np.zeros(len(bases) * BLOCK_ROWS, np.int64)
-            np.add.at(total, at, worth)
-            for i, b in enumerate(bases):
-                own = total[i * BLOCK_ROWS : (i + 1) * BLOCK_ROWS]
-                if int(b) in sums:
-                    sums[int(b)] += own
-                else:
-                    sums[int(b)] = own.copy()
-            if len(sums) > 512:
-                yield from flush()
-        yield from flush()
+            posted, bounds = A.view(batch.column("posted").cast(pa.large_binary()).view(pa.large_string()))
+            width = np.diff(bounds) // 3
+            start = np.repeat(bounds[:-1], width)
+            place = np.arange(len(start)) - np.repeat(np.cumsum(width) - width, width)
+            row = posted[start + 2 * place].astype(np.int64) + posted[start + 2 * place + 1].astype(np.int64) * 256
+            times = posted[start + 2 * np.repeat(width, width) + place].astype(np.int64)
+            base = np.repeat(batch.column("base").to_numpy(), width)
+            sums.add(base, base + row, times * np.repeat(pieces, width))
+            if sums.size > SUMS // 2:
+                yield from handed_on()
+        yield from handed_on()
 
     return run
 
 
+def _assembled(table: pa.Table) -> pa.Table:
+    """The documents of one block with their tokens."""
+    is_sum = table.column("posted").is_valid()
+    about = table.filter(pc.invert(is_sum))
+    base = table.column("base")[0].as_py()
+    total = np.zeros(1 << 16, np.int64)
+    for record in table.filter(is_sum).column("posted").to_pylist():
+        n = len(record) // 6
+        np.add.at(total, np.frombuffer(record, np.uint16, n), np.frombuffer(record, np.uint32, n, 2 * n))
+    rows = about.column("row").to_numpy() - base
+    return pa.table({"id": about.column("id"), "n_bytes": about.column("n_bytes"), "n_tokens": pa.array(total[rows])})
+
+
 def count(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """The id, ``n_bytes``, ``n_tokens`` and ``over_limit`` of every row."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -206,16 +257,18 @@ def count(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text: st
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")
     )
     kind = texts.schema["id"].dataType.simpleString()
-    fields = _FIELDS.format(id=kind)
-    schema = to_arrow_schema(spark.createDataFrame([], fields).schema)
-    posted = texts.mapInArrow(_postings(schema), fields)
+
+    def schema(fields: str) -> pa.Schema:
+        return to_arrow_schema(spark.createDataFrame([], fields).schema)
+
+    posted, summed = _FIELDS.format(id=kind), _SUMMED.format(id=kind)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = f"row long, id {kind}, n_bytes long, n_tokens long"
-    sums = posted.repartition(tasks, F.coalesce("word", F.col("row").cast("string").cast("binary")), "salt").mapInArrow(
-        _summed(tokenizer_file, to_arrow_schema(spark.createDataFrame([], out).schema)), out
+    sums = (
+        texts.mapInArrow(_postings(schema(posted)), posted)
+        .repartition(tasks, F.coalesce("word", F.col("row").cast("string").cast("binary")), "salt")
+        .mapInArrow(_summed(tokenizer_file, schema(summed)), summed)
     )
-    return (
-        sums.groupBy("row")
-        .agg(F.max("id").alias(id_col), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
-        .select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = sums.groupBy("base").applyInArrow(_assembled, f"id {kind}, n_bytes long, n_tokens long")
+    return counted.select(
+        F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

@@ -39,7 +39,7 @@ def test_odd_texts(spark, tokenizer):
 
 
 def test_random_mixtures_over_small_blocks(spark, tokenizer, monkeypatch):
-    monkeypatch.setattr(token_counts, "BLOCK_ROWS", 8192)
+    monkeypatch.setattr(token_counts, "BLOCK_ROWS", 64)
     rng = np.random.default_rng(2)
     signs = list("aZé ñ  \n\t.,'“  1#日") + ["the", " of", "'ll", "<|endoftext|>", "  "]
     texts = ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(400)]
