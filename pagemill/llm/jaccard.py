@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm import arrow_text as A
 from pagemill.llm import bitmap
@@ -429,18 +430,56 @@ def near_components(
     )
 
 
+def _by_class(shared, text: str, shingle: int, inside: bool):
+    """Rows whose class is in the bitmap, with the class; or those whose class is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for part in A.slices(batch, text):
+                sets = token_sets(*A.view(part.column(text)), shingle)
+                keys = class_keys(sets)
+                hit = bitmap.test(bits, keys) & np.array([len(s) > 0 for s in sets])
+                if inside:
+                    columns, names = [*part.columns, pa.array(A.signed(keys))], [*part.schema.names, "_class"]
+                    part = pa.RecordBatch.from_arrays(columns, names=names)
+                yield part.filter(pa.array(hit == inside))
+
+    return run
+
+
 def one_each(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD,
 ) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id (null last); empty texts stay."""
+    """``docs`` with one row of each component, one of the smallest id (null last); empty texts stay.
+
+    Rows that are alone in their component go from the scan to the result; only the others are
+    shuffled with their texts.
+    """
     spark = docs.sparkSession
-    tagged = write_table(
-        docs.select("*", F.monotonically_increasing_id().alias("_row")), new_folder(spark, "jaccard-docs")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+    described, linked_classes = _classes(docs.select(key.alias("_key"), F.col(text).alias("text")), "_key", "text", shingle, threshold)
+    classes = (
+        described.filter(F.col("class").isNotNull()).groupBy("class")
+        .agg(F.min(F.struct("id", "class")).alias("least"), F.count(F.lit(1)).alias("rows"))
+        .join(linked_classes.withColumnRenamed("node", "class"), "class", "left")
+        .withColumn("component", F.coalesce("component", "class"))
+    )
+    kept = classes.groupBy("component").agg(F.min("least").alias("kept"), F.sum("rows").alias("rows")).filter("rows > 1")
+    several = write_table(
+        classes.select("class", "component").join(kept, "component").select(
+            F.col("class").alias("_class"), (F.col("class") == F.col("kept.class")).alias("_stays"),
+            F.col("kept.id.id").alias("_kept_id"),
+        ),
+        new_folder(spark, "jaccard-several"),
     )
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    described, linked_classes = _classes(tagged.select(key.alias("_key"), F.col(text).alias("text")), "_key", "text", shingle, threshold)
-    labels = _labels(described, linked_classes)
-    extra = (
-        described.join(labels, "class").filter(F.col("id.row") != F.col("component_id.row")).select(F.col("id.row").alias("_row"))
+    bits = spark.sparkContext.broadcast(bitmap.build(several, "_class"))
+    alone = docs.mapInArrow(_by_class(bits, text, shingle, False), docs.schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())])
+    together = docs.mapInArrow(_by_class(bits, text, shingle, True), schema).join(several, "_class", "left")
+    chosen = together.filter(
+        F.col("_stays").isNull() | (F.col("_stays") & F.col("_kept_id").eqNullSafe(F.col(f"`{id_col}`")))
     )
-    return tagged.join(extra, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = chosen.groupBy("_class", F.col(f"`{id_col}`").alias("_id")).agg(F.first(row).alias("_row"))
+    return alone.unionByName(one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
