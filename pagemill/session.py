@@ -9,7 +9,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # semi-join pruning of slim frontier sides against big page tables
+    # lets Spark prune large scans when one side of a join is small
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     # page rows are heavy; small Arrow batches keep Python workers flat
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
