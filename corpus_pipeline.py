@@ -19,6 +19,10 @@ from pagemill.storage import new_folder, write_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Near copies of the pipeline: shingles of five words, similarity of 0.8 (op8 has its own)
+SHINGLE = 5
+THRESHOLD = 80
+
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: texts without a known language go; ``lang`` becomes the predicted one."""
@@ -27,7 +31,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: of each component of near copies the document with the smallest id stays."""
-    return jaccard.one_each(docs)
+    return jaccard.one_each(docs, shingle=SHINGLE, threshold=THRESHOLD)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

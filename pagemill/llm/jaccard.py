@@ -10,7 +10,10 @@ Which (query, group) pairs are worth a look follows from counting, without loss:
 most y tokens that link differ in at most ``d = 2 y (100 - t) / (100 + t)`` tokens, so of
 ``d + 1`` parts into which tokens are hashed at least one is identical in both.  A set therefore
 carries the hashes of its parts (for the sizes its partners may have), and the matrix has a cell
-for each (part hash, group) with more than one class.
+for each (part hash, group) with more than one class.  Parts without a token agree in sets
+that have nothing in common; at low thresholds, where they are many, there are ``m`` more parts:
+sets that link and agree in empty parts alone have more than ``m``, so a set of at most ``m``
+leaves its empty parts out.
 
 Order of work, each step a Spark job over written tables:
 
@@ -88,8 +91,21 @@ def part_counts(tops: np.ndarray, threshold: int) -> np.ndarray:
     return 2 * tops * (100 - threshold) // (100 + threshold) + 1
 
 
-def part_hashes(sets: list[np.ndarray], tops: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Part hashes of every set, for its own band and the next, and their bounds."""
+def spare_parts(counts: np.ndarray, threshold: int) -> np.ndarray:
+    """Parts to add, about as many as small sets leave empty; none where these are rare."""
+    tokens = (100 + threshold) / (2 * max(1, 100 - threshold)) * (threshold / 100) ** 2  # a part, at least
+    empty = np.exp(-tokens)
+    return np.ceil(empty * counts + np.sqrt(empty * counts)).astype(np.int64) * ((empty > 0.01) & (counts > 1))
+
+
+def part_hashes(
+    sets: list[np.ndarray], tops: np.ndarray, counts: np.ndarray, spare: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Part hashes of every set, for its own band and the next, and their bounds.
+
+    ``spare`` of the ``counts`` parts are more than needed: a set leaves out its empty parts if
+    there are no more of them than that.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     tokens = np.concatenate(sets) if len(sets) else np.zeros(0, _U)
     spread = A.mix(tokens ^ _U(0x5851F42D4C957F2D))
@@ -106,7 +122,15 @@ def part_hashes(sets: list[np.ndarray], tops: np.ndarray, counts: np.ndarray) ->
         np.add.at(sums, at + part.astype(np.int64), tokens[keep])
         place = np.arange(base[-1]) - np.repeat(base[:-1], k)
         salt = A.mix(np.repeat(band, k).astype(_U) * _U(1 << 32) + place.astype(_U))
-        found.append((A.mix(sums ^ salt), base))
+        values = A.mix(sums ^ salt)
+        if spare is not None:
+            owner = np.repeat(np.arange(len(k)), k)
+            empty = np.bincount(at + part.astype(np.int64), minlength=base[-1]) == 0
+            few = np.bincount(owner[empty], minlength=len(k)) <= spare[band]
+            kept = ~(empty & few[owner])
+            values, k = values[kept], np.bincount(owner[kept], minlength=len(k))
+            base = np.concatenate([[0], np.cumsum(k)])
+        found.append((values, base))
         widths.append(k)
     bounds = np.concatenate([[0], np.cumsum(widths[0] + widths[1])])
     out = np.zeros(bounds[-1], _U)
@@ -151,12 +175,14 @@ class _Union:
 def _describe(threshold: int, shingle: int):
     tops = size_bands(threshold)
     counts = part_counts(tops, threshold)
+    spare = spare_parts(counts, threshold)
+    counts = counts + spare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in A.slices(batch, "text"):
                 sets = token_sets(*A.view(part.column("text")), shingle)
-                parts, bounds = part_hashes(sets, tops, counts)
+                parts, bounds = part_hashes(sets, tops, counts, spare if spare.any() else None)
                 empty = np.array([len(s) == 0 for s in sets])
                 least = np.array([s[0] if len(s) else 0 for s in sets], _U)
                 yield pa.RecordBatch.from_arrays(

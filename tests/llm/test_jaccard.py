@@ -97,6 +97,29 @@ def test_identical_parts_are_never_missing():
             assert np.intersect1d(values[: bounds[1]], values[bounds[1] :]).size
 
 
+def test_empty_parts_are_left_out_without_loss():
+    tops = jaccard.size_bands(80)
+    needed = jaccard.part_counts(tops, 80)
+    spare = jaccard.spare_parts(needed, 80)
+    assert not jaccard.spare_parts(jaccard.part_counts(jaccard.size_bands(90), 90), 90).any()
+    rng = np.random.default_rng(2)
+
+    def drawn(n):
+        return rng.integers(1, 1 << 62, n, dtype=np.uint64)
+
+    for _ in range(400):
+        a = np.unique(drawn(rng.integers(1, 300)))
+        b = np.unique(np.concatenate([rng.permutation(a)[: max(1, int(len(a) * rng.uniform(0.78, 1)))], drawn(rng.integers(0, 1 + len(a) // 5))]))
+        values, bounds = jaccard.part_hashes([a, b], tops, needed + spare, spare)
+        if jaccard.linked(a, b, 80) and not np.array_equal(a, b):
+            assert np.intersect1d(values[: bounds[1]], values[bounds[1] :]).size
+    apart = [np.unique(drawn(400)) for _ in range(60)]
+    values, _ = jaccard.part_hashes(apart, tops, needed + spare, spare)
+    assert len(np.unique(values)) > 0.99 * len(values)
+    before, _ = jaccard.part_hashes(apart, tops, needed)
+    assert len(np.unique(before)) < 0.995 * len(before) and len(values) < 1.1 * len(before)
+
+
 def test_one_of_each_stays(spark):
     rows = [*corpus(2, 80), (150, "b c d e f"), (150, "b c d e f"), (None, "b c d e f"), (None, "n n n m"), (None, "N n n m"), (200, None), (201, ""), (202, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit(1))

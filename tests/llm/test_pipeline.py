@@ -80,6 +80,25 @@ def key(row):
     return str(row["doc_id"]), row["text"]
 
 
+def test_near_copies_of_five_words_and_0_8(spark, small, sf_dir, monkeypatch):
+    three_words = test_jaccard.shingles
+    monkeypatch.setattr(test_jaccard, "shingles", lambda text: three_words(text, 5))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    body = " ".join(f"w{i}" for i in range(100))
+    edits = [f"{' '.join(f'{name}{i}' for i in range(n))} {body}" for name, n in (("a", 0), ("b", 9), ("c", 15), ("d", 40))]
+    rows = [*test_jaccard.corpus(5, 120), *enumerate(edits, 1000)]
+    wanted = {int(c) for _, n, c in test_jaccard.brute(rows, 80) if n}
+    assert {1000, 1003} <= wanted and not {1001, 1002} & wanted
+    made = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    kept = corpus_pipeline.one_of_near_copies(spark, made, small).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(wanted)
+
+    given = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    wanted = {int(c) for _, n, c in test_jaccard.brute(given, 80) if n}
+    kept = corpus_pipeline.one_of_near_copies(spark, docs, small).filter("text rlike '[^ \\\\t\\\\r\\\\n]'").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(wanted)
+
+
 def test_empty_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
