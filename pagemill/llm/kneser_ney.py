@@ -212,7 +212,7 @@ def _store_pairs(folder: str, bits: int):
                 ("large_at", large), ("large", counts[large]),
             ):
                 array_store.save(folder, f"pairs-{part}-{name}.npy", array)
-            out = [[0, 3, b"", np.bincount(np.minimum(counts, 5), minlength=5)[1:5].astype(np.int64).tobytes()]]
+            out = [[0, 3, np.int64(part).tobytes(), np.bincount(np.minimum(counts, 5), minlength=5)[1:5].astype(np.int64).tobytes()]]
             words, of = np.unique(first, return_inverse=True)
             after = np.zeros((len(words), 3), np.int32)
             np.add.at(after, (of, np.minimum(counts, 3) - 1), 1)
@@ -225,11 +225,11 @@ def _store_pairs(folder: str, bits: int):
 
 
 COLUMNS = {"count": np.int64, "before": np.int64, "after1": np.uint32, "after2": np.uint32, "after3": np.uint32}
-SUMMARY = "part int, before1 long, before2 long, before3 long, before4 long, more long, pairs long, pair1 long, pair2 long, pair3 long, pair4 long"
+SUMMARY = "part int, before1 long, before2 long, before3 long, before4 long, more long, pairs long, pair1 long, pair2 long, pair3 long, pair4 long, pair_parts binary"
 
 
 def _store_words(folder: str):
-    """Sorted arrays of a partition's words; a row of sums for the discounts."""
+    """Sorted arrays of a partition's words; a row of sums for the discounts and of stored parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
@@ -248,7 +248,7 @@ def _store_words(folder: str):
                 array_store.save(folder, f"words-{part}-{name}.npy", table[name].astype(kind))
             before = np.bincount(np.minimum(table["before"], 5), minlength=6)
             pairs = np.sum([np.zeros(4, np.int64), *[np.frombuffer(r["counts"], np.int64) for r in kinds[3]]], 0)
-            yield _batch([[part, *before[1:6].tolist(), int(table["before"].sum()), *pairs.tolist()]], SUMMARY)
+            yield _batch([[part, *before[1:6].tolist(), int(table["before"].sum()), *pairs.tolist(), b"".join(r["words"] for r in kinds[3])]], SUMMARY)
 
     return run
 
@@ -273,6 +273,8 @@ class Model(NamedTuple):
     pair_discounts: np.ndarray
     left_over: float
     """Share of ``1 / (V + 1)`` in ``p(w)``."""
+    parts: dict[str, frozenset[int]]
+    """The parts of words and of pairs that are stored; nothing of any other was seen."""
 
 
 def train(texts: DataFrame) -> Model:
@@ -295,13 +297,18 @@ def train(texts: DataFrame) -> Model:
     frequent = np.append(found.column("word").to_numpy().view(_U), BEGIN)
     pairs = dealt(source.mapInArrow(_count_pairs(bits, frequent), PAIRS)).mapInArrow(_store_pairs(folder, bits), WORDS)
     summary = dealt(pairs.unionByName(words)).mapInArrow(_store_words(folder), SUMMARY).toPandas()
-    n = summary.sum()
+    n = summary.drop(columns=["part", "pair_parts"]).sum()
+    parts = {
+        "words": frozenset(summary["part"].tolist()),
+        "pairs": frozenset(np.frombuffer(b"".join(summary["pair_parts"]), np.int64).tolist()),
+    }
     of_words = discounts([int(n[f"before{i}"]) for i in (1, 2, 3, 4)])
     of_pairs = discounts([int(n[f"pair{i}"]) for i in (1, 2, 3, 4)])
     kinds = int(n["pairs"])
     more = int(n["before3"] + n["before4"] + n["more"])
     taken = of_words[1] * n["before1"] + of_words[2] * n["before2"] + of_words[3] * more
-    return Model(folder, bits, frequent, int(total), int(known), kinds, of_words, of_pairs, float(taken / kinds) if kinds else 1.0)
+    left_over = float(taken / kinds) if kinds else 1.0
+    return Model(folder, bits, frequent, int(total), int(known), kinds, of_words, of_pairs, left_over, parts)
 
 
 class _Reader:
@@ -311,12 +318,11 @@ class _Reader:
         self.model, self.open = model, {}
 
     def array(self, kind: str, part: int, name: str) -> np.ndarray | None:
+        if part not in self.model.parts[kind]:
+            return None
         key = f"{kind}-{part}-{name}.npy"
         if key not in self.open:
-            try:
-                self.open[key] = array_store.load(self.model.folder, key)
-            except FileNotFoundError:  # no word or pair of this part was seen
-                self.open[key] = None
+            self.open[key] = array_store.load(self.model.folder, key)
         return self.open[key]
 
     def _each_part(self, parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

@@ -109,6 +109,20 @@ def test_repeats_null_ids_and_empty(spark):
     assert kneser_ney.score(rows.limit(0), model).count() == 0
 
 
+def test_arrays_that_are_missing_fail_the_task(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b c a b"), (2, "never seen")], "doc_id long, text string")
+    model = kneser_ney.train(rows.filter("doc_id = 1"))
+    assert kneser_ney.score(rows, model).count() == 2
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        kneser_ney.score(rows, model._replace(folder=str(tmp_path))).collect()
+    reader = kneser_ney._Reader(model)
+    for kind in ("words", "pairs"):
+        assert model.parts[kind]
+        for part in range(1 << model.bits):
+            name = "words" if kind == "words" else "keys"
+            assert (reader.array(kind, part, name) is not None) == (part in model.parts[kind])
+
+
 def test_tokens_end_every_row():
     found, bounds = kneser_ney.tokens(pa.array(["a b", None, "", "A"]))
     assert bounds.tolist() == [0, 3, 4, 5, 7]
