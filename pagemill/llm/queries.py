@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, contamination, jaccard, kneser_ney, language, pieces, private, quality, shards, token_counts
+from pagemill.llm import (
+    centroids, chat, contamination, jaccard, kneser_ney, language, packing, pieces, private, quality, shards, spelling,
+    token_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +96,25 @@ def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with the near word they are a variant of, and the word that those lead to."""
+    return spelling.variants(spelling.frequent_words(spelling.noisy_words(table(spark, sf_dir, "documents"))))
+
+
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    written = F.concat_ws(",", F.col("centroid").cast("array<string>"))
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(written, 256).alias("centroid_sha256")
+    )
+
+
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places; of their ids only the checksum is carried along."""
+    cut = packing.cut_pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")).drop("uid")
+
+
 QUERIES: dict[str, Query] = {
     "op1_personal_data": personal_data,
     "op2_leaked_benchmark": leaked_benchmark,
@@ -104,9 +126,49 @@ QUERIES: dict[str, Query] = {
     "op8_near_copies": near_copies,
     "op9_model_scores": model_scores,
     "op10_sentence_pieces": sentence_pieces,
+    "op11_spelling_variants": spelling_variants,
+    "op12_centroid_clusters": centroid_clusters,
+    "op13_packed_sequences": packed_sequences,
 }
 
+
+def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every vector against every centroid, in each round; after the last round once more."""
+    steps = [f"""
+        kept AS (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v
+            FROM kept QUALIFY c < {k}
+        )"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+        d{i} AS (
+            SELECT r, c, list_sum(list_transform(list_zip(k.v, m.v), p -> (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+            FROM kept k CROSS JOIN c{i} m
+        ), a{i} AS (SELECT r, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+        s{i} AS (
+            SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n
+            FROM (SELECT a.c, unnest(k.v) AS x, unnest(range(64)) AS i FROM a{i} a JOIN kept k USING (r)) GROUP BY c, i
+        ), c{i + 1} AS (
+            SELECT m.c, coalesce(n.v, m.v) AS v FROM c{i} m
+            LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY c) n USING (c)
+        )""")
+    return f"""
+        WITH {",".join(steps)}
+        SELECT k.vec_id, a.c::INTEGER AS cluster, a.d AS distance,
+               (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(m.v, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN kept k USING (r) JOIN c{rounds} m ON m.c = a.c
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op12_centroid_clusters": _centroid_sql(),
     "op7_maximal_chats": """
         WITH turns AS (
             SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
