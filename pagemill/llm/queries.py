@@ -136,9 +136,9 @@ def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
     """Every vector against every centroid, in each round; after the last round once more."""
     steps = [f"""
         kept AS (
-            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
             FROM embeddings
-            WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), c0 AS (
             SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v
             FROM kept QUALIFY c < {k}
@@ -146,7 +146,7 @@ def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
     for i in range(rounds + 1):
         steps.append(f"""
         d{i} AS (
-            SELECT r, c, list_sum(list_transform(list_zip(k.v, m.v), p -> (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+            SELECT r, c, list_sum(list_transform(list_zip(k.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
             FROM kept k CROSS JOIN c{i} m
         ), a{i} AS (SELECT r, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
         if i < rounds:
