@@ -5,6 +5,11 @@ which cuts lineage, survives lost executors and is what a later run resumes from
 html is read once, to build a slim index (links and a blank flag per visit key); levels
 join that index and never touch html again.
 
+Index and levels are tables bucketed and sorted by the visit key, so neither is ever shuffled:
+of a level only the requests are, once (and to their hosts and back where robots rules hold).
+A level finds its pages in the columns of the index that say whether there is one; links stay
+in the index and are joined, bucket by bucket, when the next level is asked for.
+
 Visiting order is that of a first-in-first-out queue.  A request carries its rank as an
 array, ``[0 seed | 1 sitemap, seed number, position in sitemap, link position, …]``, and
 arrays compare element by element, so the least rank is the first in the queue and no
@@ -13,11 +18,9 @@ global numbering is needed.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +35,9 @@ from pagemill.operators.rows import explode_with_position
 from pagemill.operators.skew import hot_keys
 from pagemill.sources.robots import compile_rules
 from pagemill.sources.sitemaps import sitemap_seeds
-from pagemill.storage import delete_folder, is_complete, new_folder, write_once
+from pagemill.storage import (
+    buckets_once, delete_folder, is_complete, new_folder, read_buckets, same_manifest, write_buckets, write_once,
+)
 
 # Page states.
 OK, EXTRACT_FAILED, FETCH_FAILED, ROBOTS_BLOCKED = (
@@ -44,7 +49,7 @@ VISITED_SCHEMA = (
     "norm string, url string, seed string, depth int, rank array<bigint>, parent string, "
     "page_id bigint, status string"
 )
-LEVEL_SCHEMA = VISITED_SCHEMA + ", hrefs array<string>, targets array<string>"
+INDEX_SCHEMA = "norm string, page_id bigint, hrefs array<string>, targets array<string>, blank boolean"
 
 
 @dataclass(frozen=True)
@@ -129,29 +134,24 @@ def first_visits(requests: DataFrame) -> DataFrame:
 def _visit(
     frontier: DataFrame, index: DataFrame, rules: DataFrame | None, hot: DataFrame | None, depth: int,
 ) -> DataFrame:
-    """The level of a frontier: the verdict on slim requests first, then their pages.
-
-    Links are kept at every level, so a later run on the same folder may go deeper.
-    """
-    joined = with_verdict(frontier, rules, hot).join(index, "norm", "left")
+    """The level of a frontier: the verdict on slim requests first, then their pages."""
+    found = index.select("norm", "page_id", "blank")
+    joined = with_verdict(frontier, rules, hot).join(found, "norm", "left")
     status = (
         F.when(~F.col("allowed"), ROBOTS_BLOCKED)
         .when(F.col("page_id").isNull(), FETCH_FAILED)
         .when(F.col("blank"), EXTRACT_FAILED)
         .otherwise(OK)
     )
-    follow = F.col("status").isin(OK, EXTRACT_FAILED)
-    return joined.withColumn("status", status).select(
+    return joined.select(
         "norm", "url", "seed", F.lit(depth).alias("depth"), "rank", "parent",
-        F.when(F.col("allowed"), F.col("page_id")).alias("page_id"), "status",
-        F.when(follow, F.col("hrefs")).alias("hrefs"),
-        F.when(follow, F.col("targets")).alias("targets"),
+        F.when(F.col("allowed"), F.col("page_id")).alias("page_id"), status.alias("status"),
     )
 
 
 @cache
-def expander(scope: str) -> Callable[[DataFrame], DataFrame]:
-    """A function from a level to the requests below it: links that are pages and in scope.
+def expander(scope: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A function from a level and the index to the requests below: links that are pages and in scope.
 
     The expressions are built once and serve every level.
     """
@@ -161,9 +161,10 @@ def expander(scope: str) -> Callable[[DataFrame], DataFrame]:
     follow = ~is_junk(F.col("target")) & in_scope(F.col("target"), F.col("seed"), scope)
     norm = normalize(F.col("target")).alias("norm")
 
-    def expand(level: DataFrame) -> DataFrame:
+    def expand(level: DataFrame, index: DataFrame) -> DataFrame:
+        followed = level.where(F.col("status").isin(OK, EXTRACT_FAILED)).select("norm", "url", "seed", "rank")
         exploded = explode_with_position(
-            level.where(F.col("hrefs").isNotNull()),
+            followed.join(index.select("norm", "hrefs", "targets"), "norm"),
             [F.col("url").alias("parent"), "seed", "rank"], found, "pos", "target",
         )
         return exploded.where(follow).select(
@@ -175,7 +176,7 @@ def expander(scope: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def _level_path(folder: str, depth: int) -> str:
-    return f"{folder}/level-{depth:04d}"
+    return f"{folder}/levels/level-{depth:04d}"
 
 
 def load_run(spark: SparkSession, folder: str) -> CrawlRun:
@@ -189,18 +190,14 @@ def load_run(spark: SparkSession, folder: str) -> CrawlRun:
 
 
 def _visited(spark: SparkSession, folder: str, levels: int) -> DataFrame:
-    paths = [_level_path(folder, d) for d in range(levels)]
-    return spark.read.schema(LEVEL_SCHEMA).parquet(*paths).drop("hrefs", "targets")
+    return spark.read.schema(VISITED_SCHEMA).parquet(*[_level_path(folder, d) for d in range(levels)])
 
 
-def _same_run(spark: SparkSession, folder: str, options: dict[str, Any]) -> None:
-    """Write down what a folder's levels depend on; a later run must agree."""
-    text = json.dumps(options, sort_keys=True)
-    stored = write_once(spark, f"{folder}/options", lambda: spark.range(1).select(F.lit(text).alias("options")))
-    earlier = json.loads(stored.first()["options"])
-    changed = sorted(k for k in options if options[k] != earlier.get(k))
-    if changed:
-        raise ValueError(f"{folder} holds a crawl with another {', '.join(changed)}")
+def store_index(pages: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """``page_index(pages)`` as a bucketed table, for crawls to share."""
+    spark = pages.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return buckets_once(spark, path, INDEX_SCHEMA, "norm", buckets, lambda: page_index(pages))
 
 
 def crawl(
@@ -223,31 +220,31 @@ def crawl(
     """Visit ``pages`` from ``seeds`` to ``max_depth`` levels of links.
 
     ``visited`` (of an earlier run) is never visited again; with ``retry_failed`` its failed
-    pages are.  ``index`` takes a stored ``page_index`` so that runs can share one.  Called
+    pages are.  ``index`` takes what ``store_index`` returned so that runs can share one.  Called
     again with the ``folder`` of an earlier run it goes on after the last complete level, also
-    to a greater depth; other options that differ from that run's are an error.  ``progress``
-    is told each depth and its page count.
+    to a greater depth; seeds, robots documents, sitemaps or options that differ from that run's
+    are an error.  ``progress`` is told each depth and its page count.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "crawl")
-    _same_run(spark, folder, {
+    inputs = {"seeds": seeds, "robots": robots, "sitemaps": sitemaps}
+    if visited is not None:
+        inputs["visited"] = visited.select("norm", "status")
+    stored = same_manifest(spark, f"{folder}/options", {
         "scope": scope, "agent": agent, "max_pages": max_pages, "sitemap_max_urls": sitemap_max_urls,
-        "robots": robots is not None, "sitemaps": sitemaps is not None, "retry_failed": retry_failed,
-        "resumed": visited is not None,
-    })
+        "retry_failed": retry_failed, "_buckets": int(spark.conf.get("spark.sql.shuffle.partitions")),
+    }, {name: df for name, df in inputs.items() if df is not None}, "crawl")
+    buckets = int(stored["_buckets"])
     if index is None:
-        index = write_once(spark, f"{folder}/index", lambda: page_index(pages))
+        index = store_index(pages, f"{folder}/index", buckets)
     rules = hot = None
     if robots is not None:
         by_domain = index.select(domain_key(F.col("norm")).alias("domain"))
         rules = write_once(spark, f"{folder}/rules", lambda: compile_rules(robots, agent))
         hot = write_once(spark, f"{folder}/hot-domains", lambda: hot_keys(by_domain, "domain"))
-    done = None
     if visited is not None:
-        done = visited
-        if retry_failed:
-            done = done.where(~F.col("status").isin(*FAILED))
-        done = done.select("norm")
+        done = visited.where(~F.col("status").isin(*FAILED)) if retry_failed else visited
+        buckets_once(spark, f"{folder}/levels/earlier", "norm string", "norm", buckets, lambda: done.select("norm").distinct())
 
     requests = seed_requests(seeds, sitemaps, sitemap_max_urls)
     expand = expander(scope)
@@ -256,18 +253,19 @@ def crawl(
 
     def visit_level() -> DataFrame:
         frontier = first_visits(requests)
-        seen = done
-        if depth > 0:
-            here = _visited(spark, folder, depth).select("norm")
-            seen = here if done is None else here.unionByName(done)
-        if seen is not None:
+        if depth > 0 or visited is not None:
+            seen = read_buckets(spark, f"{folder}/levels", "norm string", "norm", buckets, recursive=True)
             frontier = frontier.join(seen, "norm", "left_anti")
         if budget is not None:
             frontier = first_n(frontier, budget, F.col("rank"), F.col("norm"))
         return _visit(frontier, index, rules, hot, depth)
 
     while True:
-        level = write_once(spark, _level_path(folder, depth), visit_level)
+        path = _level_path(folder, depth)
+        if not is_complete(spark, path):
+            delete_folder(spark, path)  # what a broken-off attempt left is no visit
+            write_buckets(visit_level(), path, "norm", buckets)
+        level = read_buckets(spark, path, VISITED_SCHEMA, "norm", buckets)
         depth += 1
         last = depth > max_depth
         size = 0 if last and progress is None else level.count()
@@ -279,7 +277,7 @@ def crawl(
             budget -= size
         if size == 0 or budget == 0:
             break
-        requests = expand(level)
+        requests = expand(level, index)
     return CrawlRun(folder, _visited(spark, folder, depth), depth)
 
 

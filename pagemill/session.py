@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # lets Spark prune large scans when one side of a join is small
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # bucketed tables with one file a bucket are joined as they lie, without sorting them again
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
     # page rows are heavy; small Arrow batches keep Python workers flat
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.session.timeZone": "UTC",

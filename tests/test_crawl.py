@@ -9,7 +9,7 @@ from pagemill.operators import crawl as c
 from pagemill.operators.limits import first_n
 from pagemill.sources.pages import PAGE_SCHEMA
 from pagemill.sources.seeds import SEED_SCHEMA
-from pagemill.storage import delete_folder
+from pagemill.storage import delete_folder, read_buckets
 
 GRAPH = {
     "http://h/": ["a", "b", "#top", "http://k/", "x.pdf", "mailto:m@h"],
@@ -134,13 +134,80 @@ def test_broken_off_run_goes_on_after_its_last_level(spark):
     sizes = c.frontier_sizes(whole).orderBy("depth").collect()
     assert steps == [(r["depth"], r["pages"]) for r in sizes] + [(3, 0)]
     for depth in (2, 3):
-        assert delete_folder(spark, f"{whole.folder}/level-{depth:04d}")
+        assert delete_folder(spark, c._level_path(whole.folder, depth))
     assert c.load_run(spark, whole.folder).levels == 2
     # the page table is not read again: the index of the first attempt serves
     again = c.crawl(table.limit(0), seeds, scope="external", max_depth=3, folder=whole.folder)
     assert visits(again) == wanted
 
 
+def exchanged(df):
+    """What is read below the exchanges of a plan, and how many there are."""
+    lines = df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    ).split("\n")
+    found, exchanges = [], 0
+    for i, line in enumerate(lines):
+        if " Exchange " in line:
+            exchanges += 1
+            depth = line.index("Exchange")
+            for below in lines[i + 1 :]:
+                if len(below) - len(below.lstrip(" :+-")) <= depth:
+                    break
+                if "FileScan" in below:
+                    found.append(below)
+    return found, exchanges
+
+
+def test_index_and_levels_are_not_shuffled(spark):
+    table = page_table(spark)
+    run = c.crawl(table, seed_table(spark, "http://h/", "http://k/"), scope="external", max_depth=1)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = c.store_index(table.limit(0), f"{run.folder}/index", buckets)
+    assert index.count() == len(GRAPH)
+    level = read_buckets(spark, c._level_path(run.folder, 1), c.VISITED_SCHEMA, "norm", buckets)
+    seen = read_buckets(spark, f"{run.folder}/levels", "norm string", "norm", buckets, recursive=True)
+    assert seen.count() == run.visited.count()
+    assert not {"hrefs", "targets"} & set(level.columns)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        requests = c.expander("external")(level, index)
+        assert exchanged(requests) == ([], 0)
+        requests.write.mode("overwrite").parquet(f"{run.folder}/requests")
+        requests = spark.read.parquet(f"{run.folder}/requests")
+        following = c._visit(c.first_visits(requests).join(seen, "norm", "left_anti"), index, None, None, 2)
+        scans, exchanges = exchanged(following)
+        assert exchanges == 1 and len(scans) == 1 and "parent#" in scans[0] and "Bucketed" not in scans[0]
+        assert following.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_changed_inputs_of_a_folder_raise(spark):
+    table, seeds = page_table(spark), seed_table(spark, "http://h/")
+    robots = spark.createDataFrame([("http://h", "User-agent: *\nDisallow: /a\n")], "domain string, text string")
+    run = c.crawl(table, seeds, robots=robots)
+    assert visits(c.crawl(table, seeds, robots=robots, folder=run.folder)) == visits(run)
+    with pytest.raises(ValueError, match="another seeds"):
+        c.crawl(table, seed_table(spark, "http://k/"), robots=robots, folder=run.folder)
+    with pytest.raises(ValueError, match="another robots"):
+        c.crawl(table, seeds, robots=robots.withColumn("text", F.lit("")), folder=run.folder)
+    with pytest.raises(ValueError, match="another robots, scope"):
+        c.crawl(table, seeds, scope="external", folder=run.folder)
+
+
+def test_leftovers_of_a_broken_level_are_no_visits(spark):
+    table, seeds = page_table(spark), seed_table(spark, "http://h/", "http://k/")
+    whole = c.crawl(table, seeds, scope="external", max_depth=2)
+    wanted = visits(whole)
+    path = c._level_path(whole.folder, 2)
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(marker, False)
+    again = c.crawl(table, seeds, scope="external", max_depth=2, folder=whole.folder)
+    assert visits(again) == wanted
+
+
 def test_sitemap_pages_come_after_the_seeds(spark):
     docs = spark.createDataFrame(
         [("http://h", "<urlset><url><loc>http://h/d</loc></url><url><loc>http://h/a</loc></url></urlset>")],
