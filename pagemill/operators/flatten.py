@@ -49,42 +49,104 @@ def list_value_counts(results: DataFrame) -> DataFrame:
     return results.withColumn("list_values", list_value_count(value))
 
 
-def _settle(data_type: T.DataType) -> T.DataType:
-    """Column type for an inferred type: fractions are doubles, open questions are text."""
-    if isinstance(data_type, T.DecimalType):
-        if data_type.scale:
-            return T.DoubleType()
-        return T.LongType() if data_type.precision <= 18 else T.DecimalType(38, 0)
-    if isinstance(data_type, (T.VariantType, T.NullType)):
-        return T.StringType()
-    if isinstance(data_type, T.ArrayType):
-        return T.ArrayType(_settle(data_type.elementType))
-    if isinstance(data_type, T.StructType):
-        return T.StructType([T.StructField(f.name, _settle(f.dataType)) for f in data_type.fields])
-    return data_type
+# The kinds of VARIANT numbers that are whole or exact.
+_WHOLE = ("TINYINT", "SMALLINT", "INT", "BIGINT")
+_ELEMENT, _KEY = "[]", "."
+MAX_KEYS = 10_000
+
+
+def _kind(value: Column) -> Column:
+    """``OBJECT``, ``ARRAY`` or the type of a scalar; JSON's null is ``VOID``."""
+    return F.coalesce(F.substring_index(F.schema_of_variant(value), "<", 1), F.lit("VOID"))
+
+
+def _entries(value: Column, kind: Column) -> Column:
+    """``array<struct<step, value>>`` of an object's keys or a list's items."""
+    of_object = F.transform(
+        F.map_entries(value.try_cast("map<string,variant>")),
+        lambda e: F.struct(F.concat(F.lit(_KEY), e["key"]).alias("step"), e["value"].alias("value")),
+    )
+    of_list = F.transform(
+        value.try_cast("array<variant>"), lambda v: F.struct(F.lit(_ELEMENT).alias("step"), v.alias("value"))
+    )
+    return F.when(kind == "OBJECT", of_object).otherwise(of_list)
 
 
-def infer_item_schema(rows: DataFrame, item: str = "item") -> T.StructType:
-    """Union of the keys of all rows, in one aggregation pass; only the type reaches the driver.
+def _kinds(rows: DataFrame, item: str, max_keys: int) -> dict[tuple[str, ...], set[str]]:
+    """The kinds of value found at every path, looked for level by level.
 
-    Keys that differ in case only are different keys.
+    Values are counted by path and kind where they are, so a level sends a row for each path and
+    kind, however many items there are.  More than ``max_keys`` paths are an error: keys that
+    are data belong into rows, not into columns.
     """
-    conf, exact = rows.sparkSession.conf, "spark.sql.caseSensitive"
-    before = conf.get(exact)
-    conf.set(exact, "true")
-    try:
-        text = rows.agg(F.schema_of_variant_agg(item).alias("s")).first()["s"]
-        if text is None or not text.startswith("OBJECT<"):
-            return T.StructType([])
-        ddl = text.replace("OBJECT<>", "VOID").replace("OBJECT<", "STRUCT<")
-        parsed = T.DataType.fromDDL(ddl)
-    finally:
-        conf.set(exact, before)
-    return _settle(parsed) if isinstance(parsed, T.StructType) else T.StructType([])
+    level = rows.select(F.array().cast("array<string>").alias("path"), F.col(f"`{item}`").alias("value"))
+    level = level.withColumn("kind", _kind(F.col("value")))
+    found: dict[tuple[str, ...], set[str]] = {}
+    while True:
+        inner = level.where(F.col("kind").isin("OBJECT", "ARRAY")).select(
+            "path", F.explode(_entries(F.col("value"), F.col("kind"))).alias("e")
+        )
+        level = inner.select(
+            F.array_append("path", F.col("e.step")).alias("path"), F.col("e.value").alias("value")
+        ).withColumn("kind", _kind(F.col("value")))
+        here = level.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")).select("path", "kind")
+        more = False
+        for r in here.limit(40 * max_keys).collect():  # a path has some forty kinds at most
+            found.setdefault(tuple(r["path"]), set()).add(r["kind"])
+            more |= r["kind"] in ("OBJECT", "ARRAY")
+        if len(found) > max_keys:
+            raise ValueError(f"more than {max_keys} keys in the items; raise max_keys or unwrap keys that are data")
+        if not more:
+            return found
+
+
+def _settled(path: tuple[str, ...], found: dict[tuple[str, ...], set[str]], below: dict[tuple[str, ...], list[str]]) -> T.DataType:
+    """Column type for the kinds at a path: fractions are doubles, open questions and conflicts are text."""
+    kinds = found.get(path, set()) - {"VOID"}
+    steps = below.get(path, [])
+    if kinds == {"OBJECT"}:
+        fields = [T.StructField(s[1:], _settled((*path, s), found, below)) for s in steps]
+        # inside a list, names that differ in case only can not stand side by side
+        clash = _ELEMENT in path and len({f.name.lower() for f in fields}) < len(fields)
+        return T.StructType(fields) if fields and not clash else T.StringType()
+    if kinds == {"ARRAY"}:
+        return T.ArrayType(_settled((*path, _ELEMENT), found, below))
+    exact = {k for k in kinds if k in _WHOLE or k.startswith("DECIMAL")}
+    if kinds and kinds == exact:
+        sizes = [tuple(map(int, k[8:-1].split(","))) for k in kinds if k.startswith("DECIMAL")]
+        if any(scale for _, scale in sizes):
+            return T.DoubleType()
+        return T.DecimalType(38, 0) if any(digits > 18 for digits, _ in sizes) else T.LongType()
+    if kinds - exact in ({"DOUBLE"}, {"FLOAT"}, {"DOUBLE", "FLOAT"}):
+        return T.DoubleType()
+    if len(kinds) == 1 and not kinds & {"OBJECT", "ARRAY"}:
+        return T.DataType.fromDDL(next(iter(kinds)))
+    return T.StringType()
+
 
+def infer_item_schema(rows: DataFrame, item: str = "item", max_keys: int = MAX_KEYS) -> T.StructType:
+    """Union of the keys of all rows; only paths and kinds reach the driver, ``max_keys`` of them at most.
 
-def _step(name: str) -> str:
-    return f"['{name}']" if "'" not in name else f'["{name}"]'
+    Any text can be a key; keys that differ in case only are different keys.
+    """
+    found = _kinds(rows, item, max_keys)
+    below: dict[tuple[str, ...], list[str]] = {}
+    for path in sorted(found):
+        below.setdefault(path[:-1], []).append(path[-1])
+    fields = [T.StructField(s[1:], _settled((s,), found, below)) for s in below.get((), []) if s != _ELEMENT]
+    return T.StructType(fields)
+
+
+def _at(item: Column, path: tuple[str, ...]) -> Column:
+    """The VARIANT at a path of keys, each of which may be any text."""
+    steps = "$"
+    for key in path:
+        if "'" in key and '"' in key:  # no path can be written for it
+            inner = item if steps == "$" else F.try_variant_get(item, steps, "variant")
+            item, steps = F.try_element_at(inner.try_cast("map<string,variant>"), F.lit(key)), "$"
+        else:
+            steps += f"['{key}']" if "'" not in key else f'["{key}"]'
+    return item if steps == "$" else F.try_variant_get(item, steps, "variant")
 
 
 def _leaves(schema: T.StructType, names: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
@@ -122,7 +184,8 @@ def normalize_columns(
 ) -> DataFrame:
     """Nested objects as dotted columns, lists as arrays; other columns kept, last.
 
-    Columns are the union of keys in alphabetical order.  Streams must pass ``schema``.
+    Columns are the union of keys in alphabetical order.  Streams must pass ``schema``.  Without
+    it ``rows`` are read once for every level of keys, so they should be stored.
     Keys of ``rows`` itself (provenance) win over payload keys of the same name; payload keys
     whose names differ in case only, or are dotted alike, stay apart (``distinct_names``).
     """
@@ -132,8 +195,7 @@ def normalize_columns(
     leaves = [(path, kind) for path, kind in _leaves(schema) if ".".join(path) not in others]
     names = distinct_names([".".join(path) for path, _ in leaves], others)
     for name, (path, kind) in zip(names, leaves, strict=True):
-        where = "$" + "".join(_step(part) for part in path)
-        picked.append(F.try_variant_get(item, where, kind.simpleString()).alias(name))
+        picked.append(_at(F.col(f"`{item}`"), path).try_cast(kind).alias(name))
     return rows.select(*picked, *[F.col(f"`{c}`") for c in others])
 
 

@@ -529,7 +529,8 @@ def list_value_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def normalize_columns(spark: SparkSession, sf: str) -> DataFrame:
-    flat = flatten.normalize_columns(flatten.flatten_results(inputs.page_results(spark, sf)))
+    items = write_table(flatten.flatten_results(inputs.page_results(spark, sf)), new_folder(spark, "items"))
+    flat = flatten.normalize_columns(items)
     return flat.withColumn("a", F.array_join("a", ",")).withColumn("b", F.array_join("b", ","))
 
 
@@ -548,9 +549,31 @@ def normalize_mixed_case(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def normalize_odd_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys with both kinds of quotes, with type syntax, empty, dotted and with brackets; an empty object; lists of objects."""
+    key = F.col("o_orderkey").cast("string")
+    data = F.concat(
+        F.lit('{"g\\"h\'i":'), key, F.lit(',"OBJECT<>":"'), "o_orderstatus", F.lit('","":'), F.col("o_custkey").cast("string"),
+        F.lit(',"a.b":{"c\\"d\'e":{"f]":'), key, F.lit('}},"none":{},"STRUCT<x: INT>":['), key,
+        F.lit('],"rows":[{"it\'s":'), key, F.lit(',"q\\"":null},{"it\'s":0.5}],"mixed":'),
+        F.when(F.col("o_orderkey") % 2 == 0, key).otherwise('{"x":1}'), F.lit("}"),
+    )
+    rows = flatten.flatten_results(inputs.table(spark, sf, "orders").select(data.alias("data")), provenance=False)
+    out = flatten.normalize_columns(write_table(rows, new_folder(spark, "items")))
+    names = {
+        "": "empty", "OBJECT<>": "status", "STRUCT<x: INT>": "list", "a.b.c\"d'e.f]": "nested", "g\"h'i": "quoted",
+        "mixed": "mixed", "none": "none", "rows": "rows",
+    }
+    return out.toDF(*(names[c] for c in out.columns)).select(
+        "empty", "status", "nested", "quoted", "mixed", "none", F.array_join("list", ",").alias("list"),
+        F.aggregate("rows", F.lit(0.0), lambda s, r: s + r["it's"]).alias("total"),
+    )
+
+
 @query
 def key_discovery(spark: SparkSession, sf: str) -> DataFrame:
-    rows = flatten.flatten_results(inputs.page_results(spark, sf))
+    rows = write_table(flatten.flatten_results(inputs.page_results(spark, sf)), new_folder(spark, "items"))
     return spark.createDataFrame(flatten.discovered_keys(rows), "name string, type string")
 
 

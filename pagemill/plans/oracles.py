@@ -496,6 +496,11 @@ def _plain_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
             select o_orderkey as first, o_orderstatus as second, o_custkey as nested, o_orderkey as dotted,
                    '1' || lpad(o_orderkey::varchar, 19, '0') as big
             from orders""",
+        "normalize_odd_keys": """
+            select o_custkey as empty, o_orderstatus as status, o_orderkey as nested, o_orderkey as quoted,
+                   case when o_orderkey % 2 = 0 then o_orderkey::varchar else '{"x":1}' end as mixed, '{}' as none,
+                   o_orderkey::varchar as list, o_orderkey + 0.5::double as total
+            from orders""",
         "key_discovery": """
             select * from (values ('_source_url', 'string'), ('a', 'array<bigint>'), ('b', 'array<bigint>'),
                 ('order.flag', 'string'), ('order.key', 'bigint'), ('part', 'bigint'), ('price', 'double'),

@@ -282,3 +282,35 @@ def test_preview(spark):
     assert [r["id"] for r in shown.collect()] == list(range(8))
     assert shown.first()["c0"] == "0" * 50
     assert report.rows_not_shown(rows).first()[0] == 12
+
+
+def test_kinds_of_every_path_settle_on_one_type(spark):
+    texts = [
+        '{"a":1,"b":1.5,"c":null,"d":[],"e":{},"f":[{"x":1},{"y":"s"}],"g":[1,2.5],"h":true,"i":12345678901234567890}',
+        '{"a":2,"b":2,"c":null,"d":[[1],["s"]],"e":{},"f":[{"X":1}],"g":[null],"h":1,"i":1,"j":1e300,"k":{"l":{"m":[]}}}',
+        '{"j":1,"k":{"l":3}}', "[]", "7",
+    ]
+    rows = flatten.flatten_results(spark.createDataFrame([(t,) for t in texts], "data string"), provenance=False)
+    assert dict(flatten.discovered_keys(rows)) == {
+        "a": "bigint", "b": "double", "c": "string", "d": "array<array<string>>", "e": "string", "f": "array<string>",
+        "g": "array<double>", "h": "string", "i": "decimal(38,0)", "j": "double", "k.l": "string", "value": "bigint",
+    }
+    out = {r["a"]: r for r in flatten.normalize_columns(rows).collect()}
+    assert out[1]["f"] == ['{"x":1}', '{"y":"s"}'] and out[2]["h"] == "1" and out[1]["h"] == "true"
+    assert out[2]["k.l"] == '{"m":[]}' and out[1]["e"] == "{}" and out[1]["i"] == 12345678901234567890
+
+
+def test_too_many_keys_raise(spark):
+    wide = spark.range(50).select(F.concat(F.lit('{"k'), "id", F.lit('":1}')).alias("data"))
+    rows = flatten.flatten_results(wide, provenance=False)
+    assert len(flatten.infer_item_schema(rows, max_keys=50).fields) == 50
+    with pytest.raises(ValueError, match="more than 49 keys"):
+        flatten.infer_item_schema(rows, max_keys=49)
+
+
+def test_key_discovery_leaves_the_session_alone(spark):
+    before = spark.conf.get("spark.sql.caseSensitive")
+    rows = flatten.flatten_results(spark.createDataFrame([('{"A":1,"a":"x"}',)], "data string"), provenance=False)
+    seen = flatten.normalize_columns(rows)
+    assert [tuple(r) for r in seen.collect()] == [(1, "x")] and seen.columns == ["A", "a_2"]
+    assert spark.conf.get("spark.sql.caseSensitive") == before
