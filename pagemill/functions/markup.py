@@ -30,7 +30,7 @@ UNSEEN_RE = (
 ATTRS = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
 # Tags, runs of text and stray angle brackets.
 TOKEN_RE = rf"(?s)<[/!?A-Za-z]{ATTRS}>|<[/!?A-Za-z][^>]*>|[^<]++|<"
-TAG_NAME_RE = r"^<(/?[A-Za-z][^\s/>]*)"
+TAG_NAME_RE = r"^<(/?[A-Za-z][^\s/>\x06-\x08]*)"
 # Elements that begin and end a line.
 BLOCKS = (
     "p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr blockquote pre hr br article section "
@@ -111,10 +111,11 @@ def _visible(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, UNSEEN_RE, ""), SPACES_RE, " ")
 
 
-def _with_marks(markup: Column, marks: dict[str, str]) -> Column:
+def _with_marks(markup: Column, marks: dict[str, str], numbered: str | None = None) -> Column:
     """Text with every tag replaced by its mark, or by nothing.
 
-    The markup is read once into tokens; a pattern per element would read it once each.
+    The markup is read once into tokens; a pattern per element would read it once each.  An
+    ``ol`` becomes ``numbered``, its first number and a semicolon.
     """
     table = F.str_to_map(
         F.lit("\u001e".join(f"{name}\u001f{mark}" for name, mark in marks.items())),
@@ -124,7 +125,11 @@ def _with_marks(markup: Column, marks: dict[str, str]) -> Column:
     def mark(token: Column) -> Column:
         name = F.lower(F.regexp_extract(token, TAG_NAME_RE, 1))
         is_text = ~F.startswith(token, F.lit("<")) | (token == "<")
-        return F.when(is_text, token).otherwise(F.coalesce(F.element_at(table, name), F.lit("")))
+        other = F.coalesce(F.element_at(table, name), F.lit(""))
+        if numbered is not None:
+            first = F.coalesce(F.nullif(F.regexp_extract(token, START_RE, 1), F.lit("")), F.lit("1"))
+            other = F.when(name == "ol", F.concat(F.lit(numbered), first, F.lit(";"))).otherwise(other)
+        return F.when(is_text, token).otherwise(other)
 
     tokens = F.regexp_extract_all(markup, F.lit(TOKEN_RE), 0)
     return F.array_join(F.transform(tokens, mark), "")
@@ -167,10 +172,38 @@ _LINK_TEXT = r"([^<]*+(?:<(?!/?a\b)[^<]*+)*+)"
 LINK_RE = rf"(?i)<a{OTHER_ATTRIBUTES}{_HREF}{ATTRS}>{_LINK_TEXT}</a\s*>"
 
 
+# An element inside another decides what becomes of its text in these.
+STRUCTURED_RE = r"(?i)<(?:ol|pre|blockquote|th)[\s>]|<ul[\s>](?:[^<]++|<(?!/?ul[\s>]))*+<ul[\s>]"
+START_RE = r"""(?i)\sstart\s*=\s*["']?(-?[0-9]{1,8})"""
+# Begins a mark of structure; its letter follows.
+_STRUCTURE = "\u0005"
+# White space of preformatted text, which nothing folds: line end, blank, tab.
+_LINE, _BLANK, _TAB = "\u0006", "\u0007", "\u0008"
+# Begin and end of a quotation, begin of an item's text, sign of code, a line end if there is none.
+_QUOTE, _UNQUOTE, _LEAD, _CODE, _SOFT = "\u000e", "\u000f", "\u0010", "\u0011", "\u0012"
+_BULLET = -(1 << 31)
+
+
 def page_markdown(html: Column) -> Column:
-    """Markdown of the whole page: links kept, images dropped, lines never wrapped."""
-    linked = F.regexp_replace(_visible(html), LINK_RE, "[$4]($1$2$3)")
-    t = decode_entities(_with_marks(linked, _markdown_marks()))
+    """Markdown of the whole page: links kept, images dropped, lines never wrapped.
+
+    Lists are numbered or bulleted and indented by their depth, every line of a quotation has
+    its signs, preformatted text keeps its lines, and a table's first row of ``th`` is ruled.
+    """
+
+    def convert(page: Column) -> Column:
+        return F.when(page.rlike(STRUCTURED_RE), _structured_markdown(page)).otherwise(_flat_markdown(page))
+
+    return let(html, convert)
+
+
+def _linked(markup: Column) -> Column:
+    return F.regexp_replace(markup, LINK_RE, "[$4]($1$2$3)")
+
+
+def _flat_markdown(html: Column) -> Column:
+    """Markdown of a page whose elements can be looked at one by one."""
+    t = decode_entities(_with_marks(_linked(_visible(html)), _markdown_marks()))
     t = F.replace(t, F.lit("\u00a0"), F.lit(" "))
     t = F.regexp_replace(t, f" *({_BREAK}?\n)[ {_CELL}]*|{_TIGHT} *", "$1")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
@@ -178,6 +211,129 @@ def page_markdown(html: Column) -> Column:
     return F.trim(_cells(t), F.lit(" \n"))
 
 
+def _preformatted(html: Column) -> Column:
+    """Markup whose white space inside ``pre`` is written as marks, so that it is not folded."""
+
+    def kept(piece: Column) -> Column:
+        inside = F.regexp_extract(piece, r"(?is)^(?:(?!</pre[\s>]).)*+", 0)
+        after = F.substr(piece, F.length(inside) + 1)
+        plain = F.replace(inside, F.lit("\r\n"), F.lit("\n"))
+        marked = F.concat(F.translate(plain, "\n\r \t", _LINE + _LINE + _BLANK + _TAB), after)
+        return F.when(piece.rlike(r"(?i)^<pre[\s>]"), marked).otherwise(piece)
+
+    pieces = F.split(html, r"(?i)(?=<pre[\s>])")
+    joined = F.array_join(F.transform(pieces, kept), "")
+    return F.when(html.rlike(r"(?i)<pre[\s>]"), joined).otherwise(html)
+
+
+def _structure_marks() -> dict[str, str]:
+    """The marks of elements that matter to what is inside them or after them."""
+    letters = {
+        "ul": "u", "/ul": "U", "/ol": "U", "li": "i", "blockquote": "q", "/blockquote": "Q", "pre": "p", "/pre": "P",
+        "table": "t", "th": "h", "/tr": "r",
+    }
+    code = {prefix + name: _CODE for name in ("code", "kbd", "tt") for prefix in ("", "/")}
+    return _markdown_marks() | code | {name: _STRUCTURE + letter for name, letter in letters.items()}
+
+
+def _read_structure(state: Column, part: Column) -> Column:
+    """One mark of structure and the text after it: the open lists and the table's row follow, text is put out.
+
+    ``lists`` holds the last number of every open list, ``_BULLET`` for one without numbers.
+    """
+    op = F.substring(part, 1, 1)
+    number = F.regexp_extract(part, "^o(-?[0-9]+);", 1)
+    text = F.when(op == "o", F.substr(part, F.length(number) + 3)).otherwise(F.substr(part, F.lit(2)))
+    lists, size = state["lists"], F.size(state["lists"])
+    last = F.try_element_at(lists, F.lit(-1))
+    outer = F.slice(lists, 1, F.greatest(size - 1, F.lit(0)))
+    counted = (op == "i") & (last > _BULLET)
+    inside = (
+        F.when(op == "u", F.array_append(lists, F.lit(_BULLET)))
+        .when(op == "o", F.array_append(lists, number.try_cast("int") - 1))
+        .when(op == "U", outer)
+        .when(counted, F.array_append(outer, last + 1))
+        .otherwise(lists)
+    )
+    pre = (op == "p") | (state["pre"] & (op != "P"))
+    cells = F.length(text) - F.length(F.replace(text, F.lit(_CELL), F.lit(""))) + (op == "h").cast("int")
+    ends = (op == "r") | (op == "t")
+    heads = state["heads"] + (op == "h").cast("int")
+    rule = F.when(
+        (op == "r") & (state["heads"] > 0) & ~state["ruled"],
+        F.concat(F.substr(F.repeat(F.lit("|---"), state["cells"]), F.lit(2)), F.lit("\n")),
+    ).otherwise("")
+    sign = F.when(counted, F.concat((last + 1).cast("string"), F.lit("."))).otherwise("*")
+    item = F.concat(F.lit("\n"), F.repeat(F.lit(_BLANK), 2 * F.greatest(size, F.lit(1))), sign, F.lit(_BLANK + _LEAD))
+    before = (
+        F.when(op == "i", item)
+        .when(op.isin("u", "o"), F.when(size == 0, "\n\n").otherwise(_SOFT))
+        .when(op == "U", F.when(size <= 1, "\n\n").otherwise(_SOFT))
+        .when(op == "q", f"\n\n{_QUOTE}")
+        .when(op == "Q", F.when(state["quotes"] > 0, f"{_UNQUOTE}\n\n").otherwise("\n\n"))
+        .when(op == "p", "\n\n" + 4 * _BLANK).when(op.isin("P", "t"), "\n\n")
+        .when(op == "h", _CELL).when(op == "r", F.concat(F.lit("\n"), rule))
+        .otherwise("")
+    )
+    shown = F.when(op == "p", F.regexp_replace(text, f"^{_LINE}", "")).otherwise(text)
+    indented = F.replace(F.replace(shown, F.lit(_LINE), F.lit(_LINE + 4 * _BLANK)), F.lit(_CODE), F.lit(""))
+    return F.struct(
+        inside.alias("lists"), pre.alias("pre"),
+        F.when(op == "q", state["quotes"] + 1)
+        .when(op == "Q", F.greatest(state["quotes"] - 1, F.lit(0))).otherwise(state["quotes"]).alias("quotes"),
+        F.when(ends, F.lit(0)).otherwise(heads).alias("heads"),
+        F.when(ends, cells).otherwise(state["cells"] + cells).alias("cells"),
+        F.when(op == "t", F.lit(False)).otherwise(state["ruled"] | (op == "r")).alias("ruled"),
+        F.array_append(state["out"], F.concat(before, F.when(pre, indented).otherwise(shown))).alias("out"),
+    )
+
+
+def _structured_markdown(html: Column) -> Column:
+    """Markdown of a page with numbered, nested, quoted or preformatted parts, or header rows.
+
+    Only marks of structure are folded, one after the other; all other tags are looked at one by
+    one as in flat pages.
+    """
+    text = decode_entities(_with_marks(_linked(_visible(_preformatted(html))), _structure_marks(), f"{_STRUCTURE}o"))
+    parts = F.split(F.concat(F.lit("-"), F.replace(text, F.lit("\u00a0"), F.lit(" "))), _STRUCTURE)
+    start = F.struct(
+        F.array().cast("array<int>").alias("lists"), F.lit(False).alias("pre"), F.lit(0).alias("quotes"),
+        F.lit(0).alias("heads"), F.lit(0).alias("cells"), F.lit(False).alias("ruled"), F.array().cast("array<string>").alias("out"),
+    )
+    t = F.aggregate(parts, start, _read_structure, lambda state: F.array_join(state["out"], ""))
+    t = F.regexp_replace(t, f" *({_BREAK}?\n)[ {_CELL}]*|{_TIGHT} *", "$1")
+    t = F.regexp_replace(t, f" *{_SOFT}[{_SOFT} ]*\n?", "\n")
+    t = F.regexp_replace(t, rf"{_LEAD} *(?:\n++(?!{_BLANK}))?", "")
+    t = F.regexp_replace(t, rf"({_QUOTE})\s+|\s+({_UNQUOTE})", "$1$2")
+    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    t = F.regexp_replace(t, rf"[{_LINE}{_BLANK}{_TAB} ]+(?=[\n{_UNQUOTE}]|$)", "")
+    t = F.regexp_replace(F.trim(t, F.lit(" \n")), rf"^{_BLANK}+(?=\*{_BLANK}|-?[0-9]+\.{_BLANK})", "")
+    t = F.replace(F.replace(t, F.lit(_BREAK), F.lit("  ")), F.lit(_CODE), F.lit("`"))
+    return _quoted(F.translate(_cells(t), _LINE + _BLANK + _TAB, "\n \t"))
+
+
+def _quoted(text: Column) -> Column:
+    """Every line of a quotation with a sign for each quotation that it is in."""
+
+    def count(line: Column, mark: str) -> Column:
+        return F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))
+
+    def read_line(state: Column, line: Column) -> Column:
+        depth = state["depth"] + count(line, _QUOTE)
+        bare = F.translate(line, _QUOTE + _UNQUOTE, "")
+        shown = F.when(depth > 0, F.concat(F.repeat(F.lit(">"), depth), F.lit(" "), bare)).otherwise(bare)
+        return F.struct(
+            F.greatest(depth - count(line, _UNQUOTE), F.lit(0)).alias("depth"), F.array_append(state["out"], shown).alias("out")
+        )
+
+    def mark(t: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+        lines = F.aggregate(F.split(t, "\n"), start, read_line, lambda state: F.array_join(state["out"], "\n"))
+        return F.when(F.contains(t, F.lit(_QUOTE)), lines).otherwise(F.replace(t, F.lit(_UNQUOTE), F.lit("")))
+
+    return let(text, mark)
+
+
 def _cells(text: Column) -> Column:
     def separated(t: Column) -> Column:
         spaced = F.regexp_replace(t, f" *{_CELL} *", " | ")
@@ -196,7 +352,8 @@ def is_blank_page(html: Column) -> Column:
 
     def check(dom: Column) -> Column:
         certain = F.regexp_replace(dom, HEAD_RE, "").rlike(r"(?i)</?(?:p|div|h[1-6]|li|b|a|span)\b[^<>]*>[^<>&]*[^<>&\s\u00a0]")
-        return F.when(certain, F.lit(False)).otherwise(is_blank(page_markdown(dom)))
+        # whether there is text does not depend on how it is nested
+        return F.when(certain, F.lit(False)).otherwise(is_blank(_flat_markdown(dom)))
 
     return html.isNull() | let(strip_raw(html), check)
 

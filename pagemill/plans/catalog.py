@@ -165,6 +165,26 @@ def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.html_pages(spark, sf).select("page_id", markup.page_markdown(F.col("html")).alias("markdown"))
 
 
+@query
+def markdown_structures(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered, nested, quoted and preformatted parts and a header row around every address."""
+    address = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    shape = {
+        "numbered": "<p>{}</p><ol start='3'><li>{}<li><p>b</p></ol>end",
+        "nested": "t<ul><li>{}<ol><li>x</li><li>{}<ul><li>y</li></ul></li></ol></li><li>z</li></ul>",
+        "quoted": "<blockquote><p>{}</p><blockquote>in</blockquote><p>{}</p></blockquote>out",
+        "preformatted": "<p>a  b</p><pre>x  =  1\n    {}\n\ny</pre><p>{}</p>",
+        "table": "<table><tr><th>{}</th><th>k</th></tr><tr><td>1</td><td>{}</td></tr></table>",
+    }
+    forms = []
+    for name, html in shape.items():
+        parts = html.split("{}")
+        made = F.concat(F.lit(parts[0]), address, F.lit(parts[1]), address, F.lit(parts[2]))
+        forms.append(F.struct(F.lit(name).alias("form"), made.alias("html")))
+    rows = inputs.pages(spark, sf).select("page_id", F.inline(F.array(*forms)).alias("form", "html"))
+    return rows.select("page_id", "form", markup.page_markdown(F.col("html")).alias("markdown"))
+
+
 @query
 def blank_markdown(spark: SparkSession, sf: str) -> DataFrame:
     empty = F.concat(F.lit("<html><body><script>var x='"), F.col("url"), F.lit("'</script><p> &nbsp;</p></body></html>"))

@@ -383,6 +383,16 @@ def _plain_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
         # text
         "page_text": f"select page_id, {TEXT} as text from pages",
         "page_markdown": f"select page_id, {MARKDOWN} as markdown from pages",
+        "markdown_structures": """
+            select page_id, 'numbered' as form, url || chr(10) || chr(10) || '  3. ' || url || chr(10) || '  4. b'
+                   || chr(10) || chr(10) || 'end' as markdown from pages
+            union all select page_id, 'nested', concat_ws(chr(10), 't', '', '  * ' || url, '    1. x', '    2. ' || url,
+                   '      * y', '  * z') from pages
+            union all select page_id, 'quoted', concat_ws(chr(10), '> ' || url, '> ', '>> in', '> ', '> ' || url, '', 'out')
+            from pages
+            union all select page_id, 'preformatted', concat_ws(chr(10), 'a b', '', '    x  =  1', '        ' || url, '    ',
+                   '    y', '', url) from pages
+            union all select page_id, 'table', concat_ws(chr(10), url || ' | k', '---|---', '1 | ' || url) from pages""",
         "blank_markdown": f"""
             select page_id, form, form > 0 or {TEXT} = '' as blank, form > 0 or {TEXT} = '' as blank_page
             from pages, (values (0), (1), (2)) f(form)""",

@@ -71,6 +71,42 @@ MARKDOWN = [
 ]
 
 
+STRUCTURES = [
+    ("<ol><li>a</li><li>b</li></ol>c", "1. a\n  2. b\n\nc"),
+    ("x<ol start=7><li>a<li><p>b</p></ol>", "x\n\n  7. a\n  8. b"),
+    ("<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>d", "* a\n    * b\n  * c\n\nd"),
+    ("t<ul><li>a<ol><li>b</li><li>c<ul><li>d</li></ul></li></ol></li></ul>", "t\n\n  * a\n    1. b\n    2. c\n      * d"),
+    ("<p>t</p><ul><li><ul><li>in</li></ul></li></ul>", "t\n\n  *\n    * in"),
+    ("<p>t</p><pre>x = 1\n  y = 2\n\n\tz</pre><p>u  v</p>", "t\n\n    x = 1\n      y = 2\n    \n    \tz\n\nu v"),
+    ("<pre>\n<code class=\"py\">a  &lt; b\n</code>\n</pre>c <code>d</code>", "    a  < b\n\nc `d`"),
+    ("<pre>never\n closed", "    never\n     closed"),
+    ("<blockquote><p>a</p><p>b</p></blockquote>c", "> a\n> \n> b\n\nc"),
+    ("<blockquote>a<blockquote><p>b</p></blockquote>c</blockquote>", "> a\n> \n>> b\n> \n> c"),
+    ("<blockquote><ul><li>a</li><li>b</li></ul><pre>p\n q</pre></blockquote>", ">   * a\n>   * b\n> \n>     p\n>      q"),
+    ("<table><tr><th>a</th><th>b</th></tr><tr><td>c</td><td>d</td></tr></table>e", "a | b\n---|---\nc | d\n\ne"),
+    ("<table><tr><th>k</th><td>v</td></tr><tr><th>l</th><td>w</td></tr></table>", "k | v\n---|---\nl | w"),
+    ("<table><tr><td>c</td></tr><tr><th>a</th></tr></table>", "c\na"),
+    ("</ul></ol></li><ol></blockquote></pre><li>x", "1. x"),
+]
+
+
+def test_structures(apply):
+    assert apply(markup.page_markdown, [(h,) for h, _ in STRUCTURES]) == [m for _, m in STRUCTURES]
+
+
+def test_structured_and_flat_pages_read_alike(apply):
+    """Where nothing is nested both ways of reading give the same."""
+    rows = [(h,) for h, _ in MARKDOWN if "blockquote" not in h]
+    assert apply(markup._structured_markdown, rows) == apply(markup._flat_markdown, rows)
+
+
+def test_a_page_of_many_items(apply):
+    n = 3000
+    html = "<ol>" + "".join(f"<li>i{k}<ul><li>j</li></ul></li>" for k in range(n)) + "</ol>"
+    want = "\n".join(f"  {k + 1}. i{k}\n    * j" for k in range(n))[2:]
+    assert apply(markup.page_markdown, [(html,)]) == [want]
+
+
 def test_page_markdown(apply):
     assert apply(markup.page_markdown, [(h,) for h, _ in MARKDOWN]) == [m for _, m in MARKDOWN]
 
