@@ -235,30 +235,40 @@ def crawl(
         "retry_failed": retry_failed, "_buckets": int(spark.conf.get("spark.sql.shuffle.partitions")),
     }, {name: df for name, df in inputs.items() if df is not None}, "crawl")
     buckets = int(stored["_buckets"])
-    if index is None:
-        index = store_index(pages, f"{folder}/index", buckets)
-    rules = hot = None
-    if robots is not None:
-        by_domain = index.select(domain_key(F.col("norm")).alias("domain"))
-        rules = write_once(spark, f"{folder}/rules", lambda: compile_rules(robots, agent))
-        hot = write_once(spark, f"{folder}/hot-domains", lambda: hot_keys(by_domain, "domain"))
+
+    @cache
+    def pages_index() -> DataFrame:
+        return store_index(pages, f"{folder}/index", buckets) if index is None else index
+
+    def host_rules() -> tuple[DataFrame | None, DataFrame | None]:
+        if robots is None:
+            return None, None
+        by_domain = pages_index().select(domain_key(F.col("norm")).alias("domain"))
+        return (
+            write_once(spark, f"{folder}/rules", lambda: compile_rules(robots, agent)),
+            write_once(spark, f"{folder}/hot-domains", lambda: hot_keys(by_domain, "domain")),
+        )
+
     if visited is not None:
         done = visited.where(~F.col("status").isin(*FAILED)) if retry_failed else visited
         buckets_once(spark, f"{folder}/levels/earlier", "norm string", "norm", buckets, lambda: done.select("norm").distinct())
 
-    requests = seed_requests(seeds, sitemaps, sitemap_max_urls)
     expand = expander(scope)
     budget = max_pages
     depth = 0
 
     def visit_level() -> DataFrame:
+        if depth == 0:
+            requests = seed_requests(seeds, sitemaps, sitemap_max_urls)
+        else:
+            requests = expand(level, pages_index())
         frontier = first_visits(requests)
         if depth > 0 or visited is not None:
             seen = read_buckets(spark, f"{folder}/levels", "norm string", "norm", buckets, recursive=True)
             frontier = frontier.join(seen, "norm", "left_anti")
         if budget is not None:
             frontier = first_n(frontier, budget, F.col("rank"), F.col("norm"))
-        return _visit(frontier, index, rules, hot, depth)
+        return _visit(frontier, pages_index(), *host_rules(), depth)
 
     while True:
         path = _level_path(folder, depth)
@@ -277,7 +287,6 @@ def crawl(
             budget -= size
         if size == 0 or budget == 0:
             break
-        requests = expand(level, index)
     return CrawlRun(folder, _visited(spark, folder, depth), depth)
 
 

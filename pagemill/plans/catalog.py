@@ -17,6 +17,7 @@ from pagemill.operators.rows import explode_with_position
 from pagemill.operators.robots import domains_checked, with_verdict
 from pagemill.plans import inputs
 from pagemill.plans.doubles import heading_model, length_model
+from pagemill.plans.job import JobSpec, run_job
 from pagemill.sinks import export as sinks
 from pagemill.sources import cache, seeds, sitemaps
 from pagemill.sources import pages as page_source
@@ -103,8 +104,13 @@ def cache_write(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cache_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Of a stored cache, into which every address was put twice."""
     p = inputs.pages(spark, sf).select("url", F.col("url").alias("markdown"))
-    return cache.cache_size(cache.cache_rows(p).dropDuplicates(["url_key"]))
+    path = new_folder(spark, "cache")
+    for run in ("a", "b"):
+        cache.put(cache.cache_rows(p), path, run)
+    cache.compact(spark, path)
+    return cache.cache_size(cache.read_cache(spark, path))
 
 
 # ---- F.col("url") expressions -----------------------------------------------------------------
@@ -451,6 +457,36 @@ def resume_state(spark: SparkSession, sf: str) -> DataFrame:
     ).select("run", "norm", "status")
 
 
+# ---- jobs ----------------------------------------------------------------------------
+
+
+@query
+def job_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """A job over the pages with even ids, then one over all that keeps its results: every page is exported once."""
+    folder, p, asked = new_folder(spark, "job"), inputs.pages(spark, sf), inputs.page_seeds(spark, sf)
+    first = JobSpec(
+        "Get the title", start_urls=asked.where(F.col("seed_ord") % 2 == 0), output_dir=f"{folder}/1", run_dir=f"{folder}/first",
+    )
+    run_job(first, p, heading_model)
+    second = JobSpec("Get the title", start_urls=asked, output_dir=f"{folder}/2", resume_from=f"{folder}/first", shards=2)
+    done = run_job(second, p, heading_model)
+    back = spark.read.schema("title string, links bigint, _source_url string, _crawl_depth int").json(done.output_path)
+    return back.select("title", "links", F.col("_source_url").alias("url"), F.col("_crawl_depth").alias("depth"))
+
+
+@query
+def cache_rerun(spark: SparkSession, sf: str) -> DataFrame:
+    """A job run twice on its folder and once more on another: each address is in the cache once."""
+    folder, p = new_folder(spark, "job"), inputs.pages(spark, sf)
+    for run in ("a", "a", "b"):
+        spec = JobSpec(
+            "Get the title", start_urls=inputs.page_seeds(spark, sf), output_dir=f"{folder}/out-{run}",
+            run_dir=f"{folder}/run-{run}", cache_dir=f"{folder}/cache",
+        )
+        run_job(spec, p, heading_model)
+    return cache.read_cache(spark, f"{folder}/cache").select("url_key", "url", (F.length("markdown") > 0).alias("stored"))
+
+
 # ---- extraction ----------------------------------------------------------------------
 
 
@@ -755,14 +791,33 @@ def schedule_seconds(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.table(spark, sf, "orders").select("o_orderkey", streams.schedule_seconds(text).alias("seconds"))
 
 
+@query
+def stream_dedup_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages, their copies within the bound, two pages that move time on, and copies after the bound."""
+    folder = new_folder(spark, "stream")
+    landed = f"{folder}/landed"
+    p = inputs.pages(spark, sf)
+    day = F.lit("2024-01-01").cast("date").cast("timestamp")
+    first = p.orderBy("page_id").limit(1)
+    later = [first.withColumn("url", F.concat("url", F.lit(f"/{name}"))) for name in ("later", "last")]
+    # a batch for each; what is past its time at the begin of a batch is forgotten at its end
+    for pages, minutes in ((p, 0), (p, 30), (later[0], 300), (later[1], 301), (p, 302)):
+        at = (day + F.make_dt_interval(mins=F.lit(minutes))).alias("seen_at")
+        pages.select("page_id", "url", "html", at).coalesce(1).write.mode("append").parquet(landed)
+    stream = streams.read_page_stream(spark, landed, per_trigger=1, more="seen_at timestamp")
+    rows = streams.distinct_stream_within(stream, "seen_at", "1 hour")
+    rows = rows.select("norm", (F.hour("seen_at") * 60 + F.minute("seen_at")).alias("minute"))
+    return _run_stream(spark, rows, folder)
+
+
 @query
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages landed as twelve files, a batch for each; counts of all batches."""
     folder = new_folder(spark, "stream")
-    rows = streams.with_progress(_page_stream(spark, sf)).select("page_id")
-    q = streams.write_stream(rows, f"{folder}/out", f"{folder}/state")
-    q.awaitTermination()
-    seen = [b.observedMetrics["progress"] for b in q.recentProgress if "progress" in b.observedMetrics]
-    counted = [(int(s["pages"]), int(s["without_html"])) for s in seen]
-    return spark.createDataFrame(counted, "pages bigint, without_html bigint").agg(
-        F.sum("pages").alias("pages"), F.sum("without_html").alias("without_html")
+    landed = f"{folder}/landed"
+    inputs.pages(spark, sf).repartitionByRange(12, "page_id").write.parquet(landed)
+    rows = streams.read_page_stream(spark, landed, per_trigger=1)
+    streams.write_counted(rows, f"{folder}/out", f"{folder}/state", keep=["page_id"]).awaitTermination()
+    return streams.read_progress(spark, f"{folder}/state").agg(
+        F.sum("pages").alias("pages"), F.sum("without_html").alias("without_html"), F.count(F.lit(1)).alias("batches")
     )

@@ -476,6 +476,14 @@ def _plain_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
             select doc_id, (length(text) + 999) // 1000 as windows,
                    array_to_string(list_transform(range(1, length(text) + 1, 1000), lambda x: least(1000, length(text) - x + 1)), ',') as sizes
             from documents""",
+        "job_resume": f"""
+            with p as (select page_id, url, {norm('url')} as norm, {HEADING} as title, {LINKS} as links from pages)
+            select arg_min(title, page_id) as title, arg_min(links, page_id) as links,
+                   coalesce(arg_min(url, page_id) filter (page_id % 2 = 0), arg_min(url, page_id)) as url, 0 as depth
+            from p group by norm""",
+        "cache_rerun": f"""
+            select substr(sha256(u), 1, 16) as url_key, u as url, true as stored
+            from (select arg_min(url, page_id) as u from pages group by {norm('url')})""",
         "extract_pages": f"""
             select url, 0 as depth, 2 as attempts, {HEADING} as title, {LINKS} as links from pages""",
         "typed_output": f"""
@@ -547,5 +555,9 @@ def _plain_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
             select o_orderkey, (o_orderkey % 97 + case when o_orderkey % 8 < 4 then 0.5 else 0 end)::double
                    * case o_orderkey % 4 when 0 then 86400 when 1 then 3600 when 2 then 60 else 1 end as seconds
             from orders""",
-        "stream_progress": "select count(*) as pages, 0::bigint as without_html from pages",
+        "stream_dedup_bounded": f"""
+            select distinct {norm('url')} as norm, unnest([0, 302]) as minute from pages
+            union all select arg_min(url, page_id) || '/later', 300 from pages
+            union all select arg_min(url, page_id) || '/last', 301 from pages""",
+        "stream_progress": "select count(*) as pages, 0::bigint as without_html, 12::bigint as batches from pages",
     }

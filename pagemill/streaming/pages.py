@@ -1,15 +1,16 @@
 """Streams of landed page files: deduplication, extraction and progress.
 
-A page stream has no event time, so a visit key is remembered for the life of the stream.
-State lives in the RocksDB store that ``pagemill.session`` selects.
+Without an event time a visit key is remembered for the life of the stream; with one it is
+forgotten after a bound.  State lives in the RocksDB store that ``pagemill.session`` selects.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -51,9 +52,10 @@ def trigger(schedule: str | None = None) -> dict[str, Any]:
 
 
 def read_page_stream(
-    spark: SparkSession, path: str, files: str | None = None, per_trigger: int | None = None
+    spark: SparkSession, path: str, files: str | None = None, per_trigger: int | None = None, more: str = ""
 ) -> DataFrame:
-    reader = spark.readStream.schema(PAGE_SCHEMA)
+    """Pages from files as they land; ``more`` declares further columns, such as an event time."""
+    reader = spark.readStream.schema(f"{PAGE_SCHEMA}, {more}" if more else PAGE_SCHEMA)
     if files is not None:
         reader = reader.option("pathGlobFilter", files)
     if per_trigger is not None:
@@ -77,6 +79,33 @@ def distinct_stream(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     return keyed.dropDuplicates(["norm"])
 
 
+def distinct_stream_within(pages: DataFrame, event_time: str, bound: str) -> DataFrame:
+    """The first page of each visit key, copies being told for at least ``bound`` (as ``"2 days"``) after it.
+
+    One stateful step that forgets a key once the watermark, the latest event time less
+    ``bound``, has passed the key's own time plus ``bound``; so the state holds the keys of a
+    span of time, not of the whole stream.  Pages older than the watermark are late and dropped,
+    and a page that comes again after its key was forgotten is a new one.  Copies within a task
+    go before the shuffle, so a hot key sends one row a task and batch.
+    """
+    keyed = pages.withColumn("norm", normalize(F.col("url")))
+
+    def first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str | None] = set()
+        for batch in batches:
+            norms = batch.column("norm").to_pylist()
+            fresh = []
+            for norm in norms:
+                fresh.append(norm not in seen)
+                seen.add(norm)
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    return (
+        keyed.mapInArrow(first_of_task, keyed.schema)
+        .withWatermark(event_time, bound).dropDuplicatesWithinWatermark(["norm"])
+    )
+
+
 def extraction_stream(
     pages: DataFrame,
     model_factory: Callable[[], Model],
@@ -94,13 +123,49 @@ def extraction_stream(
     )
 
 
+def page_counts(rows: DataFrame) -> list[Column]:
+    """What is counted of every batch by default."""
+    counts = [F.count(F.lit(1)).alias("pages")]
+    if "html" in rows.columns:
+        counts.append(F.count_if(F.col("html").isNull()).alias("without_html"))
+    return counts
+
+
+def read_progress(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """A row of counts for every batch there was, with ``batch_id`` and ``finished_at``."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{checkpoint.rstrip('/')}/progress")
+
+
+def write_counted(
+    rows: DataFrame, output: str, checkpoint: str, counts: list[Column] | None = None,
+    schedule: str | None = None, keep: list[str] | None = None,
+) -> StreamingQuery:
+    """Run ``rows`` into ``output/batch-*``, and the counts of every batch into a table.
+
+    Counts are taken while a batch is written, so each batch is read once.  Rows and counts are
+    stored under the batch's number before the batch is committed: a repeated batch replaces
+    both, and no batch is lost however many there are.  ``keep`` names the columns to write.
+    """
+    counted = page_counts(rows) if counts is None else counts
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger(schedule))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        name = f"batch-{batch_id:06d}"
+        out = batch.observe(seen, *counted)
+        out.select(*(keep or batch.columns)).write.mode("overwrite").parquet(f"{output.rstrip('/')}/{name}")
+        row = [F.lit(v).cast("bigint" if isinstance(v, int) else "string").alias(k) for k, v in seen.get.items()]
+        progress = batch.sparkSession.range(1).select(
+            F.lit(batch_id).cast("bigint").alias("batch_id"), F.current_timestamp().alias("finished_at"), *row
+        )
+        progress.write.mode("overwrite").parquet(f"{checkpoint.rstrip('/')}/progress/{name}")
+
+    return writer.outputMode("append").foreachBatch(each).start()
+
+
 def with_progress(pages: DataFrame, name: str = "progress") -> DataFrame:
     """Counts per batch, delivered to ``StreamingQueryListener`` and ``lastProgress``."""
-    return pages.observe(
-        name,
-        F.count(F.lit(1)).alias("pages"),
-        F.count_if(F.col("html").isNull()).alias("without_html"),
-    )
+    return pages.observe(name, *page_counts(pages))
 
 
 def write_stream(

@@ -314,3 +314,61 @@ def test_key_discovery_leaves_the_session_alone(spark):
     seen = flatten.normalize_columns(rows)
     assert [tuple(r) for r in seen.collect()] == [(1, "x")] and seen.columns == ["A", "a_2"]
     assert spark.conf.get("spark.sql.caseSensitive") == before
+
+
+def test_calls_overlap_up_to_the_bound_and_keep_their_order(spark, tmp_path):
+    """Every call notes how many are in flight with it; four may be, and are."""
+    log = str(tmp_path / "calls")
+
+    def slow():
+        import threading
+        import time
+
+        lock, live = threading.Lock(), [0]
+
+        def run(source, url, prompt):
+            with lock:
+                live[0] += 1
+                with open(log, "a") as out:
+                    out.write(f"{live[0]}\n")
+            time.sleep(0.05 + 0.01 * (int(url) % 3))
+            with lock:
+                live[0] -= 1
+            return {"url": url, "text": source}
+
+        return run
+
+    pages = spark.range(12).select(
+        F.col("id").cast("string").alias("url"), F.lit(0).alias("depth"),
+        F.when(F.col("id") != 5, F.repeat(F.concat(F.lit("p"), "id"), 4)).alias("markdown"),
+    ).coalesce(1)
+    rows = extract(pages, slow, "p", max_chars=6, concurrency=4).collect()
+    seen = [int(x) for x in open(log)]
+    assert max(seen) == 4 and len(seen) == 22
+    assert [r["source_url"] for r in rows] == [str(i) for i in range(12)] and rows[5]["error"] == "blank page"
+    for r in rows:
+        if r["data"]:
+            assert "".join(x["text"] for x in json.loads(r["data"])) == f"p{r['source_url']}" * 4
+    alone = extract(pages, slow, "p", max_chars=6).collect()
+    assert [tuple(r) for r in alone] == [tuple(r) for r in rows]
+
+
+def test_batches_of_windows_and_their_failures(spark):
+    def batches():
+        def run(sources, urls, prompt):
+            if len(sources) > 1 and "bad" in sources:
+                raise RuntimeError("one is bad")
+            if sources == ["bad"]:
+                raise ValueError("bad alone")
+            return [{"n": len(sources), "s": s} for s in sources]
+
+        return run
+
+    texts = ["a", "b", "c", "bad", "d", "e", "f"]
+    pages = spark.createDataFrame([(str(i), 0, t) for i, t in enumerate(texts)], "url string, depth int, markdown string").coalesce(1)
+    rows = extract(pages, batches, "p", batch_size=3, concurrency=2).collect()
+    assert [json.loads(r["data"]) if r["data"] else r["error"] for r in rows] == [
+        {"n": 3, "s": "a"}, {"n": 3, "s": "b"}, {"n": 3, "s": "c"}, "ValueError: bad alone",
+        {"n": 1, "s": "d"}, {"n": 1, "s": "e"}, {"n": 1, "s": "f"},
+    ]
+    assert [r["attempts"] for r in rows] == [1, 1, 1, 2, 1, 1, 1]

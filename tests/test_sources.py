@@ -1,7 +1,10 @@
 """Seeds, pages, sitemaps and cache."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from pagemill.functions.urls import url_key
 from pagemill.sources import cache, pages, seeds, sitemaps
 
 NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
@@ -94,3 +97,40 @@ def test_cache_key_by_norm(spark):
     stored = cache.cache_rows(rows, use_norm=True)
     asked = spark.createDataFrame([("http://h/a#x",)], "url string")
     assert cache.look_up(asked, stored, use_norm=True).where(F.col("hit")).count() == 1
+
+
+def test_a_lookup_reads_only_the_partitions_it_asks_for(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    pages = spark.range(400).select(F.concat(F.lit("http://h/"), "id").alias("url"), F.concat(F.lit("t"), "id").alias("markdown"))
+    cache.put(cache.cache_rows(pages), path, "a")
+    asked = pages.where("url in ('http://h/7', 'http://h/8')").select("url")
+    narrow = cache.read_cache(spark, path, asked)
+    keys = {r["k"] for r in asked.select(url_key(F.col("url")).alias("k")).collect()}
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", narrow._jdf.queryExecution().toString())[1]
+    asked_for = set(re.findall(r"\b[0-9a-f]{2}\b", re.sub(r"#\d+", "", filters)))
+    assert asked_for == {k[:2] for k in keys} and len(asked_for) == 2
+    found = cache.look_up(asked, narrow).collect()
+    assert {(r["url"], r["cached"], r["hit"]) for r in found} == {("http://h/7", "t7", True), ("http://h/8", "t8", True)}
+
+
+def test_the_row_stored_last_counts_and_repeats_add_nothing(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    old = spark.createDataFrame([(f"http://h/{i}", "old") for i in range(30)], "url string, markdown string")
+    new = spark.createDataFrame([(f"http://h/{i}", "new") for i in range(10)], "url string, markdown string")
+    for _ in range(2):
+        cache.put(cache.cache_rows(old), path, "first")
+    cache.put(cache.cache_rows(new), path, "second")
+    for _ in range(2):
+        cache.put(cache.cache_rows(new), path, "third")
+    assert cache.read_cache(spark, path).count() == 50
+    asked = old.select("url")
+
+    def texts():
+        return {r["url"]: r["cached"] for r in cache.look_up(asked, cache.read_cache(spark, path, asked)).collect()}
+
+    want = {f"http://h/{i}": "new" if i < 10 else "old" for i in range(30)}
+    assert texts() == want
+    cache.compact(spark, path)
+    assert texts() == want and cache.read_cache(spark, path).count() == 30
+    cache.compact(spark, path)
+    assert cache.read_cache(spark, path).count() == 30

@@ -8,8 +8,9 @@ from pagemill.operators.flatten import flatten_results, normalize_columns
 from pagemill.plans.doubles import heading_model
 from pagemill.operators.extract import extract
 from pagemill.functions.markup import page_markdown
-from pagemill.sources.pages import distinct_pages
+from pagemill.sources.pages import PAGE_SCHEMA, distinct_pages
 from pagemill.streaming import pages as s
+from pagemill.streaming.pages import distinct_stream_within, read_page_stream, read_progress, write_counted, write_stream
 
 
 @pytest.mark.parametrize("text, seconds", [("6h", 21600), ("30m", 1800), (" 1D ", 86400), ("45", 45), ("1.5h", 5400)])
@@ -97,3 +98,35 @@ def test_progress(spark, sf_dir, tmp_path):
     q = run(rows, tmp_path)
     counts = [p.observedMetrics["seen"] for p in q.recentProgress if "seen" in p.observedMetrics]
     assert sum(c["pages"] for c in counts) == 50 and sum(c["without_html"] for c in counts) == 0
+
+
+def test_progress_of_more_batches_than_spark_remembers(spark, tmp_path):
+    rows = spark.range(105).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"),
+                                   F.when(F.col("id") % 5 != 0, "<p>x</p>").alias("html"))
+    rows.repartitionByRange(105, "page_id").write.parquet(str(tmp_path / "in"))
+    n = len(list((tmp_path / "in").glob("part-*.parquet")))
+    stream = read_page_stream(spark, str(tmp_path / "in"), per_trigger=1)
+    write_counted(stream, str(tmp_path / "out"), str(tmp_path / "state"), keep=["page_id"]).awaitTermination()
+    seen = read_progress(spark, str(tmp_path / "state"))
+    total = seen.agg(F.count("*"), F.sum("pages"), F.sum("without_html"), F.max("batch_id")).first()
+    assert n > 100 and tuple(total) == (n, 105, 21, n - 1)
+    assert spark.read.parquet(str(tmp_path / "out" / "batch-*")).count() == 105
+    # a restart goes on, and an old batch is not counted again
+    write_counted(stream, str(tmp_path / "out"), str(tmp_path / "state"), keep=["page_id"]).awaitTermination()
+    assert read_progress(spark, str(tmp_path / "state")).count() == n
+
+
+def test_bounded_dedup_has_one_stateful_step_and_forgets(spark, tmp_path):
+    pages = spark.createDataFrame([(i % 4, f"http://h/{i % 4}/", "x") for i in range(400)], PAGE_SCHEMA)
+    pages.withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    late = pages.limit(1).select(F.lit(9).cast("long").alias("page_id"), F.lit("http://h/9").alias("url"), "html")
+    for day in (2, 3, 4, 5):  # each is a batch: a key goes at the end of the batch that begins past its time
+        late.withColumn("at", F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = read_page_stream(spark, str(tmp_path / "in"), per_trigger=1, more="at timestamp")
+    rows = distinct_stream_within(stream, "at", "1 hour")
+    q = write_stream(rows.select("norm"), str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination()
+    out = sorted(r["norm"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert out == ["http://h/0", "http://h/1", "http://h/2", "http://h/3", "http://h/9", "http://h/9"]
+    last = q.lastProgress["stateOperators"]
+    assert len(last) == 1 and last[0]["numRowsTotal"] <= 1
