@@ -17,8 +17,12 @@ def build(keys: DataFrame, key: str, bits: int = BITS) -> np.ndarray:
     """The bitmap of a column of well-mixed longs; the driver gets at most 2**bits / 64 words."""
     word = F.shiftrightunsigned(F.col(key), 64 - bits + 6)
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{key}`, {64 - bits}) & 63 as int))")
-    words = keys.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    table = words.toArrow()
+    return collect(keys.select(word.alias("w"), bit.alias("b")), bits)
+
+
+def collect(words: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The bitmap of words ``w`` and the bits ``b`` to be set in them."""
+    table = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[table.column("w").to_numpy()] = table.column("b").to_numpy()
     return out.view(np.uint64)

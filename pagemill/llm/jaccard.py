@@ -2,9 +2,9 @@
 
 Every text becomes the set of hashes of its word shingles.  Texts with equal sets form a class
 that is handled once.  Classes are partitioned into groups of similar sets (around the same hub,
-cut into blocks of about ``GROUP``); a group stores the union of its members' tokens.  A query
-can only link into a group if the union holds ``threshold`` percent of its tokens, so a group
-is opened, and its members compared exactly, only when that bound is met.
+cut into blocks of about ``GROUP``); a group stores the union of its members' tokens, by bucket.
+A query can only link into a group if the union holds ``threshold`` percent of its tokens, so a
+group is opened, and its members compared exactly, only when that bound is met.
 
 Which (query, group) pairs are worth a look follows from counting, without loss: two sets of at
 most y tokens that link differ in at most ``d = 2 y (100 - t) / (100 + t)`` tokens, so of
@@ -15,18 +15,25 @@ that have nothing in common; at low thresholds, where they are many, there are `
 sets that link and agree in empty parts alone have more than ``m``, so a set of at most ``m``
 leaves its empty parts out.
 
+Tokens of a set move only where a link is possible.  Every candidate has a sketch, a byte for each
+of about half as many buckets as tokens, which counts the tokens of the bucket; two sets have at
+most the sum of the smaller counts in common.  A group stores, of every bucket, the largest count
+of any member: that bounds what it can share with a query, and the members' sketches bound each.
+
 Order of work, each step a Spark job over written tables:
 
-1. scan: set size, class, smallest token, part hashes of every document;
-2. part hashes shared by several classes, and the classes that have one;
-3. scan: token sets of just those classes;
-4. *home*: classes with the same smallest token are compared within blocks, and with the first
+1. scan: set size and class of every document;
+2. scan: part hashes that occur more than once, as a bitmap; the hashes travel packed, without
+   their classes, and sorted by range;
+3. scan: parts in that bitmap with their classes; those of several classes are kept;
+4. scan: token sets and sketches of just those classes;
+5. *home*: classes with the same smallest token are compared within blocks, and with the first
    class of all those blocks;
-5. *hubs*: of the classes that share a part, each is compared with the one whose parts are shared
+6. *hubs*: of the classes that share a part, each is compared with the one whose parts are shared
    most; a very large group of near copies becomes one component here, at linear cost;
-6. *matrix*: cells whose classes already are one component are dropped (no further link can
-   change the result), queries meet the remaining groups, the bound is tested, groups opened;
-7. components of all links.
+7. *matrix*: cells whose classes already are one component are dropped (no further link can
+   change the result), queries meet the remaining groups, the bounds are tested, groups opened;
+8. components of all links.
 
 Nothing is capped: blocks only bound what a task holds.  Shingles and classes are 64-bit hashes.
 
@@ -56,6 +63,10 @@ THRESHOLD = 90
 GROUP = 64
 QUERIES = 256
 HUB_ROUNDS = 1
+KEPT_BYTES = 5
+"""Bytes of a part hash that the first pass compares: chance equality lets a part through, none is lost."""
+PACKED = 1 << 21
+"""Parts of a record, and of a range, or about so many."""
 _U = np.uint64
 
 
@@ -172,46 +183,130 @@ class _Union:
 
 # --- passes -----------------------------------------------------------------------------------
 
-def _describe(threshold: int, shingle: int):
-    tops = size_bands(threshold)
-    counts = part_counts(tops, threshold)
-    spare = spare_parts(counts, threshold)
-    counts = counts + spare
-
+def _describe(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in A.slices(batch, "text"):
                 sets = token_sets(*A.view(part.column("text")), shingle)
-                parts, bounds = part_hashes(sets, tops, counts, spare if spare.any() else None)
                 empty = np.array([len(s) == 0 for s in sets])
-                least = np.array([s[0] if len(s) else 0 for s in sets], _U)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(A.signed(class_keys(sets)), mask=empty), pa.array(A.signed(least), mask=empty),
-                     A.list_column(A.signed(parts), bounds, pa.int64())],
-                    names=["id", "n", "class", "least", "parts"],
+                     pa.array(A.signed(class_keys(sets)), mask=empty)],
+                    names=["id", "n", "class"],
                 )
 
     return run
 
 
-def _in_bitmap(shared):
+def _parts_of(threshold: int, shingle: int):
+    """A function from a batch to the classes of its texts, each once a task if it can be told, and their parts."""
+    tops = size_bands(threshold)
+    counts = part_counts(tops, threshold)
+    spare = spare_parts(counts, threshold)
+    counts = counts + spare
+
+    def parts(batch: pa.RecordBatch, seen: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for some in A.slices(batch, "text"):
+            sets = token_sets(*A.view(some.column("text")), shingle)
+            keys = class_keys(sets)
+            rows = [r for r in range(len(sets)) if len(sets[r]) and not (int(keys[r]) in seen or seen.add(int(keys[r])))]
+            if len(seen) > 1 << 20:
+                seen.clear()  # it only spares work
+            if rows:
+                values, bounds = part_hashes([sets[r] for r in rows], tops, counts, spare if spare.any() else None)
+                yield values, np.repeat(keys[rows], np.diff(bounds))
+
+    return parts
+
+
+def _packed_parts(parts, ranges: int):
+    """The high ``KEPT_BYTES`` bytes of part hashes, without their classes, by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            values = np.sort(np.concatenate(held))
+            at = ((values >> _U(32)) * _U(ranges)) >> _U(32)
+            first = np.flatnonzero(np.diff(at.astype(np.int64), prepend=-1))
+            raw = values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
+            bounds = KEPT_BYTES * np.append(first, len(values))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(at[first].astype(np.int32)), A.binary_column(raw.ravel(), bounds)], names=["range", "kept"]
+            )
+
+        for batch in batches:
+            for values, _ in parts(batch, seen):
+                held.append(values)
+                size += len(values)
+                if size > PACKED:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """The bitmap words of part hashes that occur more than once in a range."""
+    raw = np.frombuffer(b"".join(table.column("kept").to_pylist()), np.uint8).reshape(-1, KEPT_BYTES)
+    whole = np.zeros((len(raw), 8), np.uint8)
+    whole[:, :KEPT_BYTES] = raw
+    values = np.sort(whole.view(">u8").ravel().astype(_U))
+    again = np.unique(values[1:][values[1:] == values[:-1]])
+    at = again >> _U(64 - bitmap.BITS)
+    words, first = np.unique(at >> _U(6), return_index=True)
+    bits = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), first) if len(first) else np.zeros(0, _U)
+    return pa.table({"w": A.signed(words), "b": A.signed(bits)})
+
+
+def _in_bitmap(shared, parts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
+        seen: set[int] = set()
         for batch in batches:
-            lists = batch.column("parts")
-            width = np.diff(lists.offsets.to_numpy())
-            values = lists.flatten().to_numpy()
-            hit = bitmap.test(bits, values.view(_U)) if len(values) else np.zeros(0, bool)
-            owner = np.repeat(batch.column("class").to_numpy(zero_copy_only=False), width)
-            if hit.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[hit]), pa.array(owner[hit].astype(np.int64))], names=["part", "class"]
-                )
+            for values, owner in parts(batch, seen):
+                hit = bitmap.test(bits, values)
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(A.signed(values[hit])), pa.array(A.signed(owner[hit]))], names=["part", "class"]
+                    )
 
     return run
 
 
+# --- sketches: how many tokens of a set fall into each bucket ---------------------------------
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """A byte for each of about half as many buckets as tokens; 255 stands for that many or more."""
+    buckets = max(16, 1 << max(0, int(len(tokens) - 1).bit_length() - 1))
+    return np.minimum(np.bincount((tokens & _U(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def _folded(counts: np.ndarray, buckets: int) -> np.ndarray:
+    """The sketch over fewer buckets, with 65535 for a count that is not known."""
+    wide = counts.astype(np.int64)
+    wide[wide == 255] = 65535
+    return np.minimum(wide.reshape(-1, buckets).sum(0), 65535)
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """At least as many tokens as the sets of two sketches have in common."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    buckets = min(len(x), len(y))
+    return int(np.minimum(_folded(x, buckets), _folded(y, buckets)).sum())
+
+
+def widest(sketches: list[bytes]) -> bytes:
+    """What a group stores of the union of its members' tokens: of every bucket the largest count."""
+    counts = [np.frombuffer(s, np.uint8) for s in sketches]
+    buckets = min(map(len, counts))
+    return np.minimum(np.max([_folded(c, buckets) for c in counts], axis=0), 255).astype(np.uint8).tobytes()
+
+
 def _sets_of(shared, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
@@ -230,8 +325,9 @@ def _sets_of(shared, shingle: int):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(A.signed(keys[rows])), pa.array([len(s) for s in chosen], pa.int64()),
                          pa.array(A.signed(np.array([s[0] for s in chosen], _U))),
+                         pa.array([sketch(s) for s in chosen], pa.binary()),
                          A.list_column(A.signed(np.concatenate(chosen)), np.cumsum([0, *map(len, chosen)]), pa.int64())],
-                        names=["class", "n", "least", "tokens"],
+                        names=["class", "n", "least", "sketch", "tokens"],
                     )
 
     return run
@@ -266,6 +362,65 @@ def _link_home(threshold: int):
     return run
 
 
+def _hub_bound(threshold: int):
+    """Rows of a block whose queries may link with its hub, going by the sketches, and the hub's own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_pylist()
+        of, sizes = table.column("sketch").to_pylist(), table.column("n").to_pylist()
+        at = asks.index(False)
+        keep = np.array([
+            a and (100 + threshold) * overlap_bound(s, of[at]) >= threshold * (n + sizes[at])
+            for a, s, n in zip(asks, of, sizes, strict=True)
+        ])
+        keep[at] = keep.any()
+        return table.filter(pa.array(keep)).drop_columns(["sketch", "n"])
+
+    return run
+
+
+def _group_bound(threshold: int):
+    """Queries of which a group may hold ``threshold`` percent, going by what it stores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [
+                100 * overlap_bound(s, u) >= threshold * n
+                for s, u, n in zip(*(batch.column(c).to_pylist() for c in ("sketch", "stored", "n")), strict=True)
+            ]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["group", "to_group", "class", "component"])
+
+    return run
+
+
+def _member_bound(threshold: int):
+    """Rows of opened groups with a query and a member that may link, going by the sketches of both."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = np.array(table.column("asks").to_pylist(), bool)
+        counts = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
+        size, component = table.column("n").to_numpy(), table.column("component").to_numpy()
+        buckets = min(map(len, counts))
+        folded = np.stack([_folded(c, buckets) for c in counts])
+        queries, members = np.flatnonzero(asks), np.flatnonzero(~asks)
+        keep = np.zeros(len(asks), bool)
+        for q in queries:
+            both = np.minimum(folded[q], folded[members]).sum(1)
+            near = ((100 + threshold) * both >= threshold * (size[q] + size[members])) & (component[members] != component[q])
+            near &= (threshold * size[q] <= 100 * size[members]) & (threshold * size[members] <= 100 * size[q])
+            keep[q] = near.any()
+            keep[members[near]] = True
+        return table.filter(pa.array(keep)).drop_columns(["sketch", "n"])
+
+    return run
+
+
+def _stored_union(table: pa.Table) -> pa.Table:
+    return pa.table({
+        "group": table.column("group").slice(0, 1), "stored": pa.array([widest(table.column("sketch").to_pylist())], pa.binary())
+    })
+
+
 def _open_groups(threshold: int):
     def run(table: pa.Table) -> pa.Table:
         members, queries = [], []
@@ -347,7 +502,15 @@ def _hub_links(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     members = asks.select(
         "hub", "block", F.col("hub").alias("class"), F.col("to").alias("component"), F.lit(False).alias("asks")
     ).distinct()
-    return _with_tokens(queries.unionByName(members), sets, ["hub", "block"], _open_groups(threshold))
+    rows = queries.unionByName(members)
+    # sketches move first, token sets only to where links are possible
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    near = write_table(
+        rows.join(sets.select("class", "n", "sketch"), "class").select(*rows.columns, "n", "sketch")
+        .groupBy("hub", "block").applyInArrow(_hub_bound(threshold), kinds),
+        new_folder(cells.sparkSession, "jaccard-near"),
+    )
+    return _with_tokens(near, sets, ["hub", "block"], _open_groups(threshold))
 
 
 def _matrix_links(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -383,11 +546,32 @@ def _matrix_links(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFram
         .select("group", "to_group").distinct(),
         new_folder(spark, "jaccard-pairs"),
     )
-    rows = ["group", "to_group", "class", "component"]
-    slim = grouped.drop("n")
-    queries = pairs.join(slim, "group").select(*rows, F.lit(True).alias("asks"))
-    members = pairs.join(slim.withColumnRenamed("group", "to_group"), "to_group").select(*rows, F.lit(False).alias("asks"))
-    return _with_tokens(queries.unionByName(members), sets, ["group", "to_group"], _open_groups(threshold))
+    sketches = sets.select("class", "sketch")
+    stored = write_table(
+        grouped.join(sketches, "class").select("group", "sketch")
+        .groupBy("group").applyInArrow(_stored_union, "group long, stored binary"),
+        new_folder(spark, "jaccard-unions"),
+    )
+    asks = pairs.join(grouped, "group").join(sketches, "class").join(
+        stored.withColumnRenamed("group", "to_group"), "to_group"
+    ).select("group", "to_group", "class", "component", "n", "sketch", "stored")
+    asks = write_table(
+        asks.mapInArrow(_group_bound(threshold), "group long, to_group long, class long, component long"),
+        new_folder(spark, "jaccard-opened"),
+    )
+    queries = asks.withColumn("asks", F.lit(True))
+    members = asks.select("group", "to_group").distinct().join(
+        grouped.select(F.col("group").alias("to_group"), "class", "component"), "to_group"
+    ).select("group", "to_group", "class", "component", F.lit(False).alias("asks"))
+    near = write_table(
+        queries.unionByName(members).join(sets.select("class", "n", "sketch"), "class")
+        .select("group", "to_group", "class", "component", "asks", "n", "sketch")
+        .groupBy("group", "to_group").applyInArrow(
+            _member_bound(threshold), "group long, to_group long, class long, component long, asks boolean"
+        ),
+        new_folder(spark, "jaccard-near"),
+    )
+    return _with_tokens(near, sets, ["group", "to_group"], _open_groups(threshold))
 
 
 def _all_links(sets: DataFrame, shared: DataFrame, threshold: int) -> DataFrame:
@@ -409,26 +593,26 @@ def _classes(docs: DataFrame, id_col: str, text: str, shingle: int, threshold: i
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     described = write_table(
-        texts.mapInArrow(
-            _describe(threshold, shingle), f"id {kind}, n long, class long, least long, parts array<long>"
-        ),
-        new_folder(spark, "jaccard-sets"),
+        texts.mapInArrow(_describe(shingle), f"id {kind}, n long, class long"), new_folder(spark, "jaccard-sets")
     )
-    known = described.filter(F.col("class").isNotNull()).select("class", "parts")
-    several = (
-        known.select(F.explode("parts").alias("part"), "class").groupBy("part")
-        .agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("part")
+    parts = _parts_of(threshold, shingle)
+    tokens = described.agg(F.sum("n")).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // PACKED + 1)
+    words = (
+        texts.select("text").mapInArrow(_packed_parts(parts, ranges), "range int, kept binary")
+        .groupBy("range").applyInArrow(_repeated, "w long, b long")
     )
-    several = write_table(several, new_folder(spark, "jaccard-parts"))
-    bits = context.broadcast(bitmap.build(several, "part"))
-    shared = write_table(
-        known.mapInArrow(_in_bitmap(bits), "part long, class long").distinct().join(several, "part"),
-        new_folder(spark, "jaccard-shared"),
+    bits = context.broadcast(bitmap.collect(words))
+    held = write_table(
+        texts.select("text").mapInArrow(_in_bitmap(bits, parts), "part long, class long").distinct(),
+        new_folder(spark, "jaccard-held"),
     )
+    several = held.groupBy("part").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("part")
+    shared = write_table(held.join(several, "part"), new_folder(spark, "jaccard-shared"))
     bits = context.broadcast(bitmap.build(shared.select("class").distinct(), "class"))
     sets = write_table(
-        texts.select("text").mapInArrow(_sets_of(bits, shingle), "class long, n long, least long, tokens array<long>")
-        .groupBy("class").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("tokens").alias("tokens")),
+        texts.select("text").mapInArrow(_sets_of(bits, shingle), "class long, n long, least long, sketch binary, tokens array<long>")
+        .groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "least", "sketch", "tokens"))),
         new_folder(spark, "jaccard-candidates"),
     )
     return described.select("id", "n", "class"), _all_links(sets, shared, threshold)

@@ -120,6 +120,25 @@ def test_empty_parts_are_left_out_without_loss():
     assert len(np.unique(before)) < 0.995 * len(before) and len(values) < 1.1 * len(before)
 
 
+def test_sketches_never_bound_too_low():
+    rng = np.random.default_rng(7)
+
+    def drawn(n):
+        return np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64))
+
+    alike = np.unique((rng.integers(1, 1 << 40, 4000, dtype=np.uint64) << np.uint64(20)) + np.uint64(3))  # one bucket
+    for _ in range(300):
+        a = drawn(rng.integers(1, 2000))
+        b = np.unique(np.concatenate([rng.permutation(a)[: rng.integers(1, len(a) + 1)], drawn(rng.integers(1, 900))]))
+        both = len(np.intersect1d(a, b))
+        assert jaccard.overlap_bound(jaccard.sketch(a), jaccard.sketch(b)) >= both
+        group = [jaccard.sketch(x) for x in (b, drawn(50), alike[: rng.integers(1, 4000)])]
+        assert jaccard.overlap_bound(jaccard.sketch(a), jaccard.widest(group)) >= both
+    assert jaccard.overlap_bound(jaccard.sketch(alike), jaccard.sketch(alike[:3000])) >= 3000
+    apart = [jaccard.overlap_bound(jaccard.sketch(drawn(400)), jaccard.sketch(drawn(400))) for _ in range(200)]
+    assert max(apart) * 180 < 80 * 800  # sets with nothing in common do not pass
+
+
 def test_one_of_each_stays(spark):
     rows = [*corpus(2, 80), (150, "b c d e f"), (150, "b c d e f"), (None, "b c d e f"), (None, "n n n m"), (None, "N n n m"), (200, None), (201, ""), (202, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit(1))
