@@ -2,7 +2,7 @@
 
 Every text becomes the set of hashes of its word shingles.  Texts with equal sets form a class
 that is handled once.  Classes are partitioned into groups of similar sets (around the same hub,
-cut into blocks of about ``GROUP``); a group stores the union of its members' tokens, by bucket.
+cut into blocks of about ``GROUP``); a group holds the union of its members' tokens, by bucket.
 A query can only link into a group if the union holds ``threshold`` percent of its tokens, so a
 group is opened, and its members compared exactly, only when that bound is met.
 
@@ -17,8 +17,9 @@ leaves its empty parts out.
 
 Tokens of a set move only where a link is possible.  Every candidate has a sketch, a byte for each
 of about half as many buckets as tokens, which counts the tokens of the bucket; two sets have at
-most the sum of the smaller counts in common.  A group stores, of every bucket, the largest count
-of any member: that bounds what it can share with a query, and the members' sketches bound each.
+most the sum of the smaller counts in common.  A group's union has, of every bucket, the largest
+count of any member: that bounds what it can share with a query, and the members' sketches bound
+each of them.
 
 Order of work, each step a Spark job over written tables:
 
@@ -300,13 +301,6 @@ def overlap_bound(a: bytes, b: bytes) -> int:
     return int(np.minimum(_folded(x, buckets), _folded(y, buckets)).sum())
 
 
-def widest(sketches: list[bytes]) -> bytes:
-    """What a group stores of the union of its members' tokens: of every bucket the largest count."""
-    counts = [np.frombuffer(s, np.uint8) for s in sketches]
-    buckets = min(map(len, counts))
-    return np.minimum(np.max([_folded(c, buckets) for c in counts], axis=0), 255).astype(np.uint8).tobytes()
-
-
 def _sets_of(shared, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
@@ -379,22 +373,12 @@ def _hub_bound(threshold: int):
     return run
 
 
-def _group_bound(threshold: int):
-    """Queries of which a group may hold ``threshold`` percent, going by what it stores."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [
-                100 * overlap_bound(s, u) >= threshold * n
-                for s, u, n in zip(*(batch.column(c).to_pylist() for c in ("sketch", "stored", "n")), strict=True)
-            ]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["group", "to_group", "class", "component"])
-
-    return run
-
-
 def _member_bound(threshold: int):
-    """Rows of opened groups with a query and a member that may link, going by the sketches of both."""
+    """Rows of groups that may hold ``threshold`` percent of a query, and of members that may link with it.
+
+    The group's bucketed union is the largest count of any member; what it lets through is bounded
+    by each member's own sketch.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         asks = np.array(table.column("asks").to_pylist(), bool)
@@ -404,7 +388,9 @@ def _member_bound(threshold: int):
         folded = np.stack([_folded(c, buckets) for c in counts])
         queries, members = np.flatnonzero(asks), np.flatnonzero(~asks)
         keep = np.zeros(len(asks), bool)
-        for q in queries:
+        union = folded[members].max(0) if len(members) else np.zeros(buckets, np.int64)
+        shared = np.minimum(folded[queries], union).sum(1)
+        for q in queries[100 * shared >= threshold * size[queries]]:
             both = np.minimum(folded[q], folded[members]).sum(1)
             near = ((100 + threshold) * both >= threshold * (size[q] + size[members])) & (component[members] != component[q])
             near &= (threshold * size[q] <= 100 * size[members]) & (threshold * size[members] <= 100 * size[q])
@@ -415,12 +401,6 @@ def _member_bound(threshold: int):
     return run
 
 
-def _stored_union(table: pa.Table) -> pa.Table:
-    return pa.table({
-        "group": table.column("group").slice(0, 1), "stored": pa.array([widest(table.column("sketch").to_pylist())], pa.binary())
-    })
-
-
 def _open_groups(threshold: int):
     def run(table: pa.Table) -> pa.Table:
         members, queries = [], []
@@ -546,25 +526,11 @@ def _matrix_links(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFram
         .select("group", "to_group").distinct(),
         new_folder(spark, "jaccard-pairs"),
     )
-    sketches = sets.select("class", "sketch")
-    stored = write_table(
-        grouped.join(sketches, "class").select("group", "sketch")
-        .groupBy("group").applyInArrow(_stored_union, "group long, stored binary"),
-        new_folder(spark, "jaccard-unions"),
-    )
-    asks = pairs.join(grouped, "group").join(sketches, "class").join(
-        stored.withColumnRenamed("group", "to_group"), "to_group"
-    ).select("group", "to_group", "class", "component", "n", "sketch", "stored")
-    asks = write_table(
-        asks.mapInArrow(_group_bound(threshold), "group long, to_group long, class long, component long"),
-        new_folder(spark, "jaccard-opened"),
-    )
-    queries = asks.withColumn("asks", F.lit(True))
-    members = asks.select("group", "to_group").distinct().join(
-        grouped.select(F.col("group").alias("to_group"), "class", "component"), "to_group"
-    ).select("group", "to_group", "class", "component", F.lit(False).alias("asks"))
+    rows = ["group", "to_group", "class", "component", "n"]
+    queries = pairs.join(grouped, "group").select(*rows, F.lit(True).alias("asks"))
+    members = pairs.join(grouped.withColumnRenamed("group", "to_group"), "to_group").select(*rows, F.lit(False).alias("asks"))
     near = write_table(
-        queries.unionByName(members).join(sets.select("class", "n", "sketch"), "class")
+        queries.unionByName(members).join(sets.select("class", "sketch"), "class")
         .select("group", "to_group", "class", "component", "asks", "n", "sketch")
         .groupBy("group", "to_group").applyInArrow(
             _member_bound(threshold), "group long, to_group long, class long, component long, asks boolean"
