@@ -1,21 +1,23 @@
 """Benchmark decontamination by greedy string tiling.
 
-1. *Seeds.*  Every ``tile`` consecutive words of a benchmark item are a seed.  One pass over the
+1. *Seeds.*  Every ``tile`` consecutive words of a benchmark item are a seed, and an item of fewer
+   words is one seed as a whole.  One pass over the
    documents keeps, of each text, the words inside windows whose hash is in the bitmap of all
    seeds (fixed size, so the benchmark may be of any size) and the hashes of those windows.
 2. *Pairs.*  Document windows and benchmark seeds are joined on the hash; pairs whose shared
    seeds could not cover enough of the item are dropped (an upper bound, nothing is lost).
 3. *Tiles.*  For each pair the longest common run of unmarked words is found by Karp-Rabin
    hashing of all windows of a length (the length by bisection), marked on both sides, and the
-   search goes on until no common run of ``tile`` words is left.  Order does not matter, so
+   search goes on until no common run of ``tile`` words (or of the item's, where it has fewer) is
+   left.  Order does not matter, so
    reordered passages are covered like others.
 4. Items whose tiles cover at least ``coverage`` of their words contaminate the document.
 
 Words are compared with A-Z in lower case.  Of equally long runs the first in the item, then the
 first in the document, is marked.  A task holds one pair's words at a time.
 
-Defined results: null and empty texts and items match nothing, nor do items of fewer than
-``tile`` words; repeated documents and items are answered row by row; an empty documents or
+Defined results: null and empty texts and items match nothing; an item of fewer than ``tile``
+words matches where all its words follow one another; repeated documents and items are answered row by row; an empty documents or
 benchmark table gives an empty result; further columns are ignored by :func:`leaks` and kept by
 :func:`clean`.
 """
@@ -103,23 +105,31 @@ def tiles(doc: np.ndarray, at: np.ndarray, item: np.ndarray, shortest: int) -> l
 
 # --- the passes -------------------------------------------------------------------------------
 
-def _kept_words(seeds, tile: int, names: list[str], schema: pa.Schema):
+def _kept_words(seeds, lengths: list[int], names: list[str], schema: pa.Schema):
+    """Words inside windows, of any of the lengths, that are in the bitmap of seeds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = seeds.value
         for batch in batches:
             for part in A.slices(batch, "text"):
                 data, offsets = A.view(part.column("text"))
                 w = A.words(data, offsets, lower=True)
-                grams = A.windows(w.hash, tile)
-                hit = np.zeros(len(w.hash), bool)
-                if len(grams):
-                    hit[: len(grams)] = bitmap.test(bits, grams) & (w.row[: len(grams)] == w.row[tile - 1 :])
-                if not hit.any():
+                inside = np.zeros(len(w.hash) + 1, np.int64)
+                starts, found = [], []
+                for length in lengths:
+                    grams = A.windows(w.hash, length)
+                    if not len(grams):
+                        continue
+                    start = np.flatnonzero(bitmap.test(bits, grams) & (w.row[: len(grams)] == w.row[length - 1 :]))
+                    inside[start] += 1
+                    inside[start + length] -= 1
+                    starts.append(start)
+                    found.append(grams[start])
+                if not inside.any():
                     continue
-                start = np.flatnonzero(hit)
-                inside = np.zeros(len(hit) + 1, np.int64)
-                inside[start] += 1
-                inside[start + tile] -= 1
+                start, seed = np.concatenate(starts), np.concatenate(found)
+                order = np.argsort(start, kind="stable")
+                start, seed = start[order], seed[order]
                 at = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
                 rows = np.unique(w.row[start])
                 cut = np.searchsorted(w.row[at], np.append(rows, len(offsets)))
@@ -130,7 +140,7 @@ def _kept_words(seeds, tile: int, names: list[str], schema: pa.Schema):
                     [*kept.columns,
                      A.list_column(A.signed(w.hash[at]), cut, pa.int64()),
                      A.list_column(place, cut, pa.int32()),
-                     A.list_column(A.signed(grams[start]), seed_cut, pa.int64())],
+                     A.list_column(A.signed(seed), seed_cut, pa.int64())],
                     schema=schema,
                 )
 
@@ -144,7 +154,7 @@ def _item_words(names: list[str], schema: pa.Schema, tile: int):
                 data, offsets = A.view(part.column("text"))
                 w = A.words(data, offsets, lower=True)
                 each = [w.hash[w.bounds[r] : w.bounds[r + 1]] for r in range(len(offsets) - 1)]
-                grams = [A.windows(h, tile) for h in each]
+                grams = [A.windows(h, max(1, min(tile, len(h)))) for h in each]
                 bounds = np.cumsum([0, *map(len, grams)])
                 yield pa.RecordBatch.from_arrays(
                     [*part.select(names).columns,
@@ -164,7 +174,7 @@ def _tiled(tile: int, names: list[str], schema: pa.Schema):
                 doc, at, item = (
                     batch.column(c)[i].values.to_numpy() for c in ("words", "at", "item_words")
                 )
-                runs = tiles(doc.view(np.uint64), at, item.view(np.uint64), tile)
+                runs = tiles(doc.view(np.uint64), at, item.view(np.uint64), min(tile, len(item)))
                 sums.append((sum(r[2] for r in runs), len(runs), len(item)))
             covered, n, size = (np.array(x, np.int64) for x in zip(*sums, strict=True)) if sums else ([], [], [])
             yield pa.RecordBatch.from_arrays(
@@ -202,21 +212,23 @@ def leaks(
         .withColumn("_item", F.monotonically_increasing_id()),
         new_folder(spark, "tiles-items"),
     )
-    # how often each seed occurs in an item: what it may cover
-    seeds = bench.select("_item", F.explode("grams").alias("seed")).groupBy("seed", "_item").agg(
-        F.count(F.lit(1)).alias("times")
+    # how many of an item's words a seed may cover, by how often it occurs in it
+    own = F.least(F.lit(tile), F.size("item_words"))
+    lengths = sorted(r[0] for r in bench.filter("size(grams) > 0").select(own).distinct().collect())  # at most tile rows
+    seeds = bench.select("_item", own.alias("own"), F.explode("grams").alias("seed")).groupBy("seed", "_item").agg(
+        F.sum("own").alias("reach")
     )
     bits = spark.sparkContext.broadcast(bitmap.build(seeds, "seed"))
     texts = docs.select(F.col(id_col), F.col(text).cast("string").alias("text"))
     kind = _schema(texts, [id_col], ("words", LONGS), ("at", INTS), ("seeds", LONGS))
     hits = write_table(
-        texts.mapInArrow(_kept_words(bits, tile, [id_col], _plain(_arrow(kind))), kind)
+        texts.mapInArrow(_kept_words(bits, lengths, [id_col], _plain(_arrow(kind))), kind)
         .withColumn("_doc", F.monotonically_increasing_id()),
         new_folder(spark, "tiles-hits"),
     )
     pairs = (
         hits.select("_doc", F.explode(F.array_distinct("seeds")).alias("seed"))
-        .join(seeds, "seed").groupBy("_doc", "_item").agg((F.sum("times") * tile).alias("most"))
+        .join(seeds, "seed").groupBy("_doc", "_item").agg(F.sum("reach").alias("most"))
     )
     both = (
         pairs.join(hits.select("_doc", id_col, "words", "at"), "_doc")
@@ -242,4 +254,6 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> D
     key = F.struct(F.md5(F.col(text)), F.octet_length(text))
     keyed = docs.select(key.alias("_key"), F.col(text).alias("text"))
     found = leaks(keyed, items, id_col="_key", text="text", **options).select("_key").distinct()
-    return docs.withColumn("_key", key).join(found, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.select(key.alias("_key"), row.alias("_row")).join(found, "_key", "left_anti")
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

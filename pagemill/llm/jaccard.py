@@ -633,6 +633,9 @@ def one_each(
     shuffled with their texts.
     """
     spark = docs.sparkSession
+    names = docs.columns
+    numbered = {name: f"c{i}" for i, name in enumerate(names)}  # no column of docs clashes with one of here
+    docs, id_col, text = docs.toDF(*numbered.values()), numbered[id_col], numbered[text]
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
     described, linked_classes = _classes(docs.select(key.alias("_key"), F.col(text).alias("text")), "_key", "text", shingle, threshold)
     classes = (
@@ -653,9 +656,6 @@ def one_each(
     alone = docs.mapInArrow(_by_class(bits, text, shingle, False), docs.schema)
     schema = T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())])
     together = docs.mapInArrow(_by_class(bits, text, shingle, True), schema).join(several, "_class", "left")
-    chosen = together.filter(
-        F.col("_stays").isNull() | (F.col("_stays") & F.col("_kept_id").eqNullSafe(F.col(f"`{id_col}`")))
-    )
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = chosen.groupBy("_class", F.col(f"`{id_col}`").alias("_id")).agg(F.first(row).alias("_row"))
-    return alone.unionByName(one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
+    chosen = together.filter(F.col("_stays").isNull() | (F.col("_stays") & F.col("_kept_id").eqNullSafe(F.col(id_col))))
+    one = chosen.groupBy("_class", F.col(id_col).alias("_id")).agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return alone.unionByName(one.select("_row.*")).toDF(*names)

@@ -12,11 +12,12 @@ row of code lengths (one for each language) for every string seen.  Scoring look
 distinct string of a slice once.
 
 The trees are fitted on a bounded sample of labelled texts, at most ``TEXTS`` whole texts and
-``BYTES`` bytes of each language, chosen by hash; their strings are counted in Spark.  Scoring
-covers every byte of every text.
+``BYTES`` bytes of each language, chosen by hash; their strings are counted in Spark.  A language
+whose labelled texts are all longer is learned from ``BLOCKS`` blocks dealt evenly over the
+shortest of them.  Scoring covers every byte of every text.
 
 Defined results: a null text, one without a letter, or no labelled text at all give ``und`` with
-score 0; a null id counts as the empty string when rows are dealt into learning and held-out
+score 0 (without any labelled text :func:`known_only` drops null and letterless texts only); a null id counts as the empty string when rows are dealt into learning and held-out
 ones; equal costs go to the first language in alphabetical order; repeated rows are scored row
 by row; an empty table gives an empty table; further columns are ignored by :func:`predict` and
 kept by :func:`known_only`.
@@ -37,6 +38,9 @@ from pagemill.llm import arrow_text as A
 ORDER = 4
 TEXTS = 400
 BYTES = 1 << 20
+BLOCKS = 16
+# Tasks among which the choice of a language's texts is split first
+SALTS = 16
 UNKNOWN = "und"
 _U = np.uint64
 
@@ -119,20 +123,32 @@ def is_held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, texts: int = TEXTS, size: int = BYTES) -> DataFrame:
     """``lang, text`` of the labelled texts to learn from.
 
-    The choice is made on slim rows; Spark keeps ``texts`` rows of a language in each task
-    before it shuffles them.
+    The choice is made on slim rows, first within salts of a language, then among what those
+    keep.  Every language with a labelled text is there.
     """
     able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select(
         "lang", "text", F.xxhash64(F.lit(5), "doc_id", "text").alias("chosen")
     )
-    slim = able.select("lang", "chosen", F.octet_length("text").alias("size")).filter(F.col("size") <= size)
+    slim = able.select("lang", "chosen", F.octet_length("text").alias("size"))
+    first = slim.filter(F.col("size") <= size).withColumn("salt", F.pmod("chosen", F.lit(SALTS)))
     order = Window.partitionBy("lang").orderBy("chosen", "size")
-    first = slim.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= texts)
+    for among in (Window.partitionBy("lang", "salt").orderBy("chosen", "size"), order):
+        first = first.withColumn("place", F.row_number().over(among)).filter(F.col("place") <= texts)
     few = (
         first.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .filter(F.col("upto") <= size).select("lang", "chosen").distinct()
     )
-    return able.join(F.broadcast(few), ["lang", "chosen"]).select("lang", "text")  # texts rows a language
+    shortest = slim.groupBy("lang").agg(F.min(F.struct("size", "chosen")).alias("least"))
+    few = few.unionByName(shortest.filter(F.col("least.size") > size).select("lang", "least.chosen"))
+    taken = F.when(F.octet_length("text") <= size, F.col("text")).otherwise(_blocks(F.col("text"), size))
+    return able.join(F.broadcast(few), ["lang", "chosen"]).select("lang", taken.alias("text"))  # texts rows a language
+
+
+def _blocks(text: Column, size: int) -> Column:
+    """Blocks dealt evenly over a text, at most ``size`` bytes together (a character has up to four)."""
+    each = max(1, size // (5 * BLOCKS))
+    starts = [F.floor(F.char_length(text) * i / BLOCKS).cast("int") + 1 for i in range(BLOCKS)]
+    return F.concat_ws(" ", *[F.substring(text, start, F.lit(each)) for start in starts])
 
 
 def _count_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +226,12 @@ def predict(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text:
 
 
 def known_only(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """``docs`` without rows whose language is not known; ``lang`` becomes the prediction."""
+    """``docs`` without rows whose language is not known; ``lang`` becomes the prediction.
+
+    Where nothing could be learned, only texts without a letter go and ``lang`` stays.
+    """
+    if trees is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     found = predict(docs.select(row, F.col("text")), trees, id_col="_row")
     cells = [F.col("lang_pred") if c == "lang" else F.col(f"_row.`{c}`") for c in docs.columns]

@@ -39,12 +39,11 @@ BASE = {
 }
 MAY_HOLD = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OTHER = r"A-Za-z._%+()\[\]-"
-FILLER = rf"(?<![0-9@{OTHER}])[{OTHER}]*+[0-9@][0-9@{OTHER}]*+"
+# A full stop that ends a sentence is no part of a filler
+FILLER = rf"(?<![0-9@{OTHER}])[{OTHER}]*+[0-9@](?:[0-9@{OTHER.replace('.', '')}]|\.(?=[0-9A-Za-z@(\[])|(?<=[(\[])\.)*+"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 AT = r"(?:@|\(at\)|\[at\])"
 DOT = r"(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))"
-# Characters beside a span in which its context words are looked for
-REACH = 128
 
 
 class Params(NamedTuple):
@@ -97,8 +96,9 @@ def shape(value: Column) -> Column:
     )
 
 
-def _context(beside: Column, pattern: str) -> Column:
-    return F.lower(F.regexp_extract(beside, pattern, 1))
+def _before(gap: Column, pattern: str) -> Column:
+    """The last words of a gap, looked for from its end so that its length does not matter."""
+    return F.lower(F.reverse(F.regexp_extract(F.reverse(gap), pattern, 1)))
 
 
 def _matches(text: Column, pattern: str, cue: str | None) -> Column:
@@ -112,9 +112,9 @@ def _matches(text: Column, pattern: str, cue: str | None) -> Column:
             lambda value, i: F.struct(
                 F.length(F.get(gaps, i)).alias("gap"),
                 value.alias("value"),
-                _context(F.substring(F.get(gaps, i), -REACH, REACH), r"(\S+\s++\S+)\s*+$").alias("left"),
-                _context(F.substring(F.get(gaps, i), -REACH, REACH), r"(\S+)\s*+$").alias("near"),
-                _context(F.substring(F.get(gaps, i + 1), 1, REACH), r"^\s*+(\S+)").alias("right"),
+                _before(F.get(gaps, i), r"^\s*+(\S++\s++\S++)").alias("left"),
+                _before(F.get(gaps, i), r"^\s*+(\S++)").alias("near"),
+                F.lower(F.regexp_extract(F.get(gaps, i + 1), r"^\s*+(\S++)", 1)).alias("right"),
             ),
         )
 

@@ -211,21 +211,27 @@ def _labelled_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for part in A.slices(batch, "text"):
             counts = statistics(part.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [part.column("label"), *[pa.array(counts[:, i]) for i in range(len(COUNTS))]],
-                names=["label", *COUNTS],
+                [part.column("doc_id"), part.column("label"), *[pa.array(counts[:, i]) for i in range(len(COUNTS))]],
+                names=["doc_id", "label", *COUNTS],
             )
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """Statistics and label of the sampled labelled documents: at most ``sample`` ids."""
+    """Statistics and label of the sampled labelled documents: at most ``sample`` rows.
+
+    Of several rows with one id the one of least statistics counts.
+    """
     chosen = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
         .orderBy(F.xxhash64(F.lit(4), "doc_id"), "doc_id").limit(sample)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(
-        _labelled_batches, "label int, " + ", ".join(f"{c} long" for c in COUNTS)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.select("doc_id", "label", "text").mapInArrow(
+        _labelled_batches, f"doc_id {kind}, label int, " + ", ".join(f"{c} long" for c in COUNTS)
     )
+    return rows.groupBy("doc_id").agg(F.min(F.struct("label", *COUNTS)).alias("row")).select("row.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Trees | None:

@@ -40,7 +40,7 @@ def test_tiles_match_brute_force():
 
 def covered(text, item):
     a, b = plain.words(text, True), plain.words(item, True)
-    return sum(n for _, _, n in brute(a, b, contamination.TILE)), len(b)
+    return sum(n for _, _, n in brute(a, b, max(1, min(contamination.TILE, len(b))))), len(b)
 
 
 def test_leaks_match_brute_force(spark):
@@ -67,7 +67,7 @@ def test_leaks_match_brute_force(spark):
     for i, t in enumerate(docs):
         for j, x in enumerate(texts):
             n, size = covered(t[:200] if t and t.startswith("a a") else t, x)
-            if size >= contamination.TILE and n >= contamination.COVERAGE * size:
+            if size and n >= contamination.COVERAGE * size:
                 want[i, j] = n
     assert got == want and len(want) >= 20
     kept = contamination.clean(d, b)
@@ -84,6 +84,25 @@ def test_query_finds_whole_items(spark, sf_dir):
     assert want <= got
 
 
+def test_short_items_match_as_a_whole(spark):
+    texts = ["One", "two words", "now three words", "four of these words", "five of all these words", "words now three"]
+    d = spark.createDataFrame(
+        [(0, "it is ONE x"), (1, "oneness"), (2, "x two  words now three\nwords y"), (3, "four of these other words"),
+         (4, "five of all these words"), (5, "two\twords"), (6, "words two")], "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["tiled_words"], r["item_words"]) for r in contamination.leaks(d, b).collect()}
+    assert got == {(0, 0, 1, 1), (2, 1, 2, 2), (2, 2, 3, 3), (2, 5, 3, 3), (4, 4, 5, 5), (5, 1, 2, 2)}
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    d = spark.createDataFrame(
+        [("r", 1, "a b c d e f", 5, "s"), ("k", 2, "other text", 6, "t")], "_key string, doc_id long, text string, _row long, `x.y` string"
+    )
+    b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    kept = contamination.clean(d, b)
+    assert kept.columns == d.columns and [tuple(r) for r in kept.collect()] == [("k", 2, "other text", 6, "t")]
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
     b = spark.createDataFrame([(None, "a b c d e f")], "item_id long, text string")

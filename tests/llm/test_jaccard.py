@@ -148,6 +148,18 @@ def test_one_of_each_stays(spark):
     assert kept.count(None) == 1 and {200, 201, 202} <= set(kept)
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["_class", "_stays", "_kept_id", "_row", "_id", "class", "x.y"]
+    texts = ["a b c d e f"] * 3 + ["g h i j k l", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id")))
+    out = jaccard.one_each(docs)
+    assert out.columns == docs.columns
+    rows = sorted(tuple(r) for r in out.select("doc_id", *[F.col(f"`{n}`") for n in names]).collect())
+    assert rows == [(i, *[f"{n}{i}" for n in names]) for i in (0, 3, 4)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_components(docs).count() == 0

@@ -88,6 +88,28 @@ def test_nothing_to_learn_from(spark, odd):
     assert language.known_only(odd.limit(0), trees()).count() == 0
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    rows = [(0, "xx", "aa bb " * 50), (1, "yy", "çé ou " * 400), (4, "yy", "çé ou " * 300), (6, "zz", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    took = {r["lang"]: r["text"] for r in language.sample(docs, size=1000).collect()}
+    assert set(took) == {"xx", "yy", "zz"} and took["xx"] == rows[0][2]
+    assert 0 < len(took["yy"].encode()) <= 1000 and set(took["yy"]) == set("çé ou ")
+    out = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, language.train(docs, size=1000)).collect()}
+    assert out == {0: "xx", 1: "yy", 4: "yy", 6: "und"}
+
+
+def test_no_known_language_loses_no_clean_text(spark, odd):
+    kept = language.known_only(odd, language.train(odd.withColumn("lang", F.lit(None).cast("string"))))
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 1, 4, 9]
+
+
+def test_sample_is_the_same_however_rows_are_dealt(spark):
+    docs = spark.range(900).selectExpr("id AS doc_id", "'xx' AS lang", "concat('word ', id) AS text")
+    first = sorted(r["text"] for r in language.sample(docs.repartition(5), texts=40).collect())
+    assert len(first) == 40 and first == sorted(r["text"] for r in language.sample(docs.coalesce(1), texts=40).collect())
+
+
 def test_held_out_rows_are_not_learned_from(spark):
     out = next(i for i in range(99) if crc32(str(i).encode()) % 4 == 2)
     docs = spark.createDataFrame([(out, "zz", "zz zz"), (0, "xx", "aa aa")], "doc_id long, lang string, text string")

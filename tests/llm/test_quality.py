@@ -68,6 +68,9 @@ def test_nulls_repeats_one_label_and_empty(spark):
     assert sorted((r["n_words"], r["kept"]) for r in out) == [(0, False), (11, True), (18, False)]
     assert quality.train(docs.limit(0), labels.limit(0)) is None
     assert quality.judge(docs.limit(0), None).count() == 0
+    copies = spark.createDataFrame([(1, "a b"), (1, "a")] * 50 + [(2, "c")], "doc_id long, text string")
+    few = quality.labelled(copies, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")).collect()
+    assert sorted(r["n_words"] for r in few) == [1, 1]  # one row an id
     both = spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id long, quality int")
     two = spark.createDataFrame([(1, "a b c"), (2, "$ $ $")], "doc_id long, text string")
     assert quality.judge(two, quality.train(two, both)).count() == 2
