@@ -59,9 +59,6 @@ def test_contexts_have_no_reach_and_fillers_no_full_stop(spark):
     texts = [f"the host {long}{' ' * 300}10.0.0.{i} is up" for i in range(9)]
     texts += [f"the host {long} 10[.]0[.]0[.]9. Is up", f"the host {other} 10[.]0[.]0[.]8 is up"]
     got = {r["doc_id"]: r["spans"] for r in private.find(rows(spark, texts)).collect()}
-    assert got[9] == []  # two words before: the spaces differ
-    texts = [t.replace(" " * 300, " ") for t in texts]
-    got = {r["doc_id"]: r["spans"] for r in private.find(rows(spark, texts)).collect()}
     start = texts[9].index("10[")
     assert [(s["kind"], s["start"], s["end"]) for s in got[9]] == [(1, start, start + len("10[.]0[.]0[.]9"))]
     assert got[10] == []
