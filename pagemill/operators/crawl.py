@@ -32,8 +32,8 @@ from pagemill.functions.urls import domain_key, in_scope, is_junk, normalize, re
 from pagemill.operators.limits import first_n
 from pagemill.operators.robots import with_verdict
 from pagemill.operators.rows import explode_with_position
-from pagemill.operators.skew import hot_keys
-from pagemill.sources.robots import compile_rules
+from pagemill.operators.skew import frequent_keys
+from pagemill.sources.robots import WALKED, compile_rules, prefix_rules, short_lists
 from pagemill.sources.sitemaps import sitemap_seeds
 from pagemill.storage import (
     buckets_once, delete_folder, is_complete, new_folder, read_buckets, same_manifest, write_buckets, write_once,
@@ -132,11 +132,11 @@ def first_visits(requests: DataFrame) -> DataFrame:
 
 
 def _visit(
-    frontier: DataFrame, index: DataFrame, rules: DataFrame | None, hot: DataFrame | None, depth: int,
+    frontier: DataFrame, index: DataFrame, rules: tuple[DataFrame | None, ...], depth: int,
 ) -> DataFrame:
     """The level of a frontier: the verdict on slim requests first, then their pages."""
     found = index.select("norm", "page_id", "blank")
-    joined = with_verdict(frontier, rules, hot).join(found, "norm", "left")
+    joined = with_verdict(frontier, *rules).join(found, "norm", "left")
     status = (
         F.when(~F.col("allowed"), ROBOTS_BLOCKED)
         .when(F.col("page_id").isNull(), FETCH_FAILED)
@@ -149,6 +149,16 @@ def _visit(
     )
 
 
+def asked_domains(index: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``domain`` of every address that a crawl can ask for: of links, also to hosts without a page, and of seeds.
+
+    A host outside the frequent ones has at most their share of all requests in any level.
+    """
+    found = F.when(F.size("targets") > 0, F.concat("hrefs", resolve_all(F.col("norm"), F.col("targets")))).otherwise(F.col("hrefs"))
+    links = index.select(F.explode(found).alias("url"))
+    return links.unionByName(seeds.select("url")).select(domain_key(F.col("url")).alias("domain"))
+
+
 @cache
 def expander(scope: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """A function from a level and the index to the requests below: links that are pages and in scope.
@@ -240,14 +250,20 @@ def crawl(
     def pages_index() -> DataFrame:
         return store_index(pages, f"{folder}/index", buckets) if index is None else index
 
-    def host_rules() -> tuple[DataFrame | None, DataFrame | None]:
+    @cache
+    def host_rules() -> tuple[DataFrame | None, ...]:
+        """Rules by host, hosts that many requests ask for, and rules by prefix where lists are long."""
         if robots is None:
-            return None, None
-        by_domain = pages_index().select(domain_key(F.col("norm")).alias("domain"))
-        return (
-            write_once(spark, f"{folder}/rules", lambda: compile_rules(robots, agent)),
-            write_once(spark, f"{folder}/hot-domains", lambda: hot_keys(by_domain, "domain")),
+            return (None,)
+        rules = write_once(spark, f"{folder}/rules", lambda: compile_rules(robots, agent))
+        hot = write_once(
+            spark, f"{folder}/hot-domains",
+            lambda: frequent_keys(asked_domains(pages_index(), seed_requests(seeds, sitemaps, sitemap_max_urls)), "domain"),
         )
+        if rules.where(F.size("rules") > WALKED).isEmpty():
+            return rules, hot
+        prefixes = write_once(spark, f"{folder}/rules-by-prefix", lambda: prefix_rules(rules))
+        return short_lists(rules), hot, prefixes
 
     if visited is not None:
         done = visited.where(~F.col("status").isin(*FAILED)) if retry_failed else visited
@@ -268,7 +284,7 @@ def crawl(
             frontier = frontier.join(seen, "norm", "left_anti")
         if budget is not None:
             frontier = first_n(frontier, budget, F.col("rank"), F.col("norm"))
-        return _visit(frontier, pages_index(), *host_rules(), depth)
+        return _visit(frontier, pages_index(), host_rules(), depth)
 
     while True:
         path = _level_path(folder, depth)

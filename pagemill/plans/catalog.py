@@ -346,6 +346,19 @@ def robots_allowed(spark: SparkSession, sf: str) -> DataFrame:
     return with_verdict(asked, rules).select("page_id", "form", "allowed")
 
 
+@query
+def robots_long_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of hosts with some 2,000 rules each, looked up by prefix."""
+    asked = inputs.pages(spark, sf).select(
+        "page_id", F.posexplode(F.array(F.col("url"), F.concat(urls.domain_key(F.col("url")), F.lit("/en/"), F.col("page_id")),
+                                        F.concat(F.col("url"), F.lit("/"), F.col("page_id")))).alias("form", "url")
+    )
+    rules = robots_source.compile_rules(inputs.long_robots_docs(spark, sf), inputs.AGENT)
+    return with_verdict(
+        asked, robots_source.short_lists(rules), prefixes=robots_source.prefix_rules(rules)
+    ).select("page_id", "form", "allowed")
+
+
 @query
 def robots_off(spark: SparkSession, sf: str) -> DataFrame:
     return with_verdict(inputs.pages(spark, sf).select("page_id", "url"), None).select("page_id", "allowed")

@@ -90,6 +90,18 @@ def robots_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_robots_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2,001 rules for all hosts but a third, whose list is short: prefixes of several lengths, some of them twice."""
+    rule = F.transform(
+        F.sequence(F.lit(0), F.lit(1999)),
+        lambda i: F.concat(F.when(i % 3 == 0, F.lit("Allow: /en/")).otherwise(F.lit("Disallow: /en/")), (i * 7 % 1500).cast("string")),
+    )
+    long = F.concat(F.lit("User-agent: *\n"), F.concat_ws("\n", rule), F.lit("\nDisallow: /en/1\n"))
+    return domains(spark, sf_dir).select(
+        "domain", F.when(F.length("domain") % 3 == 0, F.lit(ROBOTS_OPEN)).otherwise(long).alias("text")
+    )
+
+
 def _loc(address: Column) -> Column:
     return F.concat(F.lit("<loc> "), F.replace(address, F.lit("&"), F.lit("&amp;")), F.lit(" </loc>"))
 

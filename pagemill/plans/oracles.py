@@ -324,7 +324,7 @@ RUN_LOG = """select page_id, url, case page_id % 10 when 0 then 'robots_blocked'
 INT_COLUMNS = {
     "pos": "sitemap_urls sitemap_cap page_links links_resolved onclick_links link_union",
     "form": "url_normalize url_resolve seed_directory junk_filter scope_same_domain scope_same_directory "
-            "scope_external depth_filter follow_test robots_allowed",
+            "scope_external depth_filter follow_test robots_allowed robots_long_lists",
     "depth": "depth_filter follow_test",
     "n_chars": "page_scan cache_write",
     "cached_chars": "cache_lookup",
@@ -435,6 +435,16 @@ def _plain_sql(crawl_depth: int, crawl_cap: int) -> dict[str, str]:
         "robots_allowed": f"select page_id, form, {allowed('u')} as allowed from (" + exploded(
             ["url", "origin || '/The'", "origin || '/en/1x'", "origin"],
             BASE, "u") + ")",
+        "robots_long_lists": f"""
+            with asked as (select page_id, form, u, {domain('u')} as domain from ({exploded(
+                ["url", "origin || '/en/' || page_id", "url || '/' || page_id"], BASE, "u")})),
+            rules as (
+                select 0 as short, i as rule_no, i % 3 = 0 as allow, '/en/' || (i * 7 % 1500) as prefix from range(2000) r(i)
+                union all values (0, 2000, false, '/en/1'), (1, 0, true, '/en/1'), (1, 1, false, '/en/'), (1, 2, false, '/The'))
+            select page_id, form, coalesce(arg_min(allow, rule_no), true) as allowed
+            from asked left join rules
+              on short = (length(domain) % 3 = 0)::int and starts_with(substr(u, length(domain) + 1), prefix)
+            group by 1, 2""",
         "robots_off": "select page_id, true as allowed from pages",
         "domains_checked_count": f"select count(distinct {domain('url')}) as domains_checked from pages",
         "result_split": """

@@ -241,3 +241,15 @@ def test_first_n(spark, n):
     df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(100)).alias("k"), "id")
     wanted = sorted((r["k"], r["id"]) for r in df.collect())[:n]
     assert sorted((r["k"], r["id"]) for r in first_n(df, n, F.col("k"), F.col("id")).collect()) == wanted
+
+
+def test_long_robots_lists_give_the_same_crawl(spark):
+    """A list of thousands of rules is looked up by prefix; the crawl is that of the short list."""
+    few = "User-agent: *\nDisallow: /a\n"
+    many = "User-agent: *\n" + "".join(f"Disallow: /none/{i}\n" for i in range(3000)) + "Disallow: /a\n"
+    found = []
+    for text in (few, many):
+        robots = spark.createDataFrame([("http://h", text)], "domain string, text string")
+        run = c.crawl(page_table(spark), seed_table(spark, "http://h/"), robots=robots, max_depth=3)
+        found.append(sorted((r["url"], r["depth"], r["status"]) for r in run.visited.collect()))
+    assert found[0] == found[1] and "robots_blocked" in {s for _, _, s in found[0]}

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.robots import is_allowed, rules_for_agent
 from pagemill.operators.robots import with_verdict
-from pagemill.operators.skew import hot_keys, salted_left_join
-from pagemill.sources.robots import compile_rules, rule_rows
+from pagemill.operators.crawl import asked_domains, page_index, seed_requests
+from pagemill.operators.skew import frequent_keys, hot_keys, salted_left_join
+from pagemill.sources.robots import compile_rules, prefix_rules, rule_rows, short_lists
 
 AGENT = "PageMill/1.0"
 TEXTS = [
@@ -88,3 +89,46 @@ def test_hot_key_is_spread_and_nothing_is_lost(spark):
     plain = big.join(lookup, "key", "left")
     assert joined.exceptAll(plain.select(joined.columns)).count() == 0
     assert joined.count() == 9000
+
+
+def test_frequent_keys_misses_none(spark):
+    rows = spark.range(60000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, "warm")
+        .when(F.col("id") % 50 == 2, None).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key")
+    )
+    assert {r["key"] for r in frequent_keys(rows, "key").collect()} == {"hot", "warm"}
+    assert {r["key"] for r in frequent_keys(rows, "key", share=10).collect()} == {"hot"}
+    assert frequent_keys(rows.limit(0), "key").count() == 0
+
+
+def test_links_to_a_host_without_pages_are_spread(spark):
+    """The most asked host is outside of the page table: it is known from the links alone."""
+    html = "".join(f"<a href='http://out/{i}'>x</a>" for i in range(50))
+    pages = spark.createDataFrame([(i, f"http://h{i}/", html) for i in range(8)], "page_id long, url string, html string")
+    seeds = spark.createDataFrame([(i, f"http://h{i}/") for i in range(8)], "seed_ord long, seed string")
+    asked = asked_domains(page_index(pages), seed_requests(seeds, None, None))
+    assert asked.count() == 8 * 50 + 8
+    hot = frequent_keys(asked, "domain")
+    assert "http://out" in {r["domain"] for r in hot.collect()}
+    rules = compile_rules(spark.createDataFrame([("http://out", TEXTS[1])], "domain string, text string"), AGENT)
+    left = asked.withColumn("n", F.monotonically_increasing_id())
+    joined = salted_left_join(left, rules, "domain", F.col("n"), hot)
+    assert joined.count() == left.count()
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("_salt") >= 2
+
+
+@pytest.mark.parametrize("walked", [0, 2, 64])
+def test_prefix_lookup_equals_walking(spark, walked):
+    many = "User-agent: *\n" + "\n".join(
+        f"{'Allow' if i % 4 else 'Disallow'}: /{'p' * (i % 7)}{i * 37 % 9000}" for i in range(10000)
+    ) + "\nDisallow: /p\nAllow:\nDisallow: /\n"
+    texts = [*TEXTS, many]
+    docs = spark.createDataFrame([(f"http://h{i}", t) for i, t in enumerate(texts)], "domain string, text string")
+    tails = [u.removeprefix("http://h") for u in URLS] + [f"/{'p' * (i % 7)}{i * 7}" for i in range(40)]
+    urls = [(f"http://h{i}{t}", i) for i in range(len(texts) + 1) for t in tails] + [(None, 0), (f"http://h{len(TEXTS)}/p1", 9)] * 2
+    asked = spark.createDataFrame(urls, "url string, lengths int")
+    rules = compile_rules(docs, AGENT)
+    walk = with_verdict(asked, rules)
+    found = with_verdict(asked, short_lists(rules, walked), prefixes=prefix_rules(rules, walked))
+    assert found.columns == walk.columns and found.count() == len(urls)
+    assert found.exceptAll(walk).count() == 0 and walk.where("not allowed").count() > 50
