@@ -40,6 +40,12 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return system.exists(marker)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder at ``path``, and not a file or nothing."""
+    system, target = _hadoop_path(spark, path)
+    return system.exists(target) and system.getFileStatus(target).isDirectory()
+
+
 def write_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at ``path``, built only if no earlier attempt completed it."""
     if is_complete(spark, path):

@@ -21,7 +21,7 @@ from pagemill.operators.extract import Model, extract
 from pagemill.operators.flatten import flatten_results, normalize_columns
 from pagemill.sinks.export import export
 from pagemill.sources.pages import PAGE_SCHEMA
-from pagemill.storage import write_once
+from pagemill.storage import is_folder, write_once
 
 # Seconds per schedule unit.
 SCHEDULE_UNITS = {"d": 86400, "h": 3600, "m": 60}
@@ -54,9 +54,14 @@ def trigger(schedule: str | None = None) -> dict[str, Any]:
 def read_page_stream(
     spark: SparkSession, path: str, files: str | None = None, per_trigger: int | None = None, more: str = ""
 ) -> DataFrame:
-    """Pages from files as they land; ``more`` declares further columns, such as an event time."""
+    """Pages from files as they land; ``more`` declares further columns, such as an event time.
+
+    ``files`` names the files in ``path``, or a folder there that holds them.
+    """
     reader = spark.readStream.schema(f"{PAGE_SCHEMA}, {more}" if more else PAGE_SCHEMA)
-    if files is not None:
+    if files is not None and is_folder(spark, f"{path.rstrip('/')}/{files}"):
+        path = f"{path.rstrip('/')}/{files}"
+    elif files is not None:
         reader = reader.option("pathGlobFilter", files)
     if per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
@@ -163,6 +168,13 @@ def write_counted(
     return writer.outputMode("append").foreachBatch(each).start()
 
 
+def read_exported(spark: SparkSession, output: str, schema: T.StructType) -> DataFrame:
+    """The rows that ``write_stream`` exported as JSON; none where every batch was empty."""
+    if not is_folder(spark, output):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{output.rstrip('/')}/batch-*.json")
+
+
 def with_progress(pages: DataFrame, name: str = "progress") -> DataFrame:
     """Counts per batch, delivered to ``StreamingQueryListener`` and ``lastProgress``."""
     return pages.observe(name, *page_counts(pages))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.operators.flatten import flatten_results, normalize_columns
+from pagemill.plans import catalog
 from pagemill.plans.doubles import heading_model
 from pagemill.operators.extract import extract
 from pagemill.functions.markup import page_markdown
@@ -130,3 +131,18 @@ def test_bounded_dedup_has_one_stateful_step_and_forgets(spark, tmp_path):
     assert out == ["http://h/0", "http://h/1", "http://h/2", "http://h/3", "http://h/9", "http://h/9"]
     last = q.lastProgress["stateOperators"]
     assert len(last) == 1 and last[0]["numRowsTotal"] <= 1
+
+
+def test_pages_in_a_folder_of_files(spark, sf_dir, tmp_path):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    wanted = pages.select("url").orderBy("url").collect()
+    for name in ("stream_extract", "stream_export_json"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).select("url").orderBy("url").collect() == wanted, name
+    assert catalog.stream_dedup(spark, str(tmp_path)).count() == distinct_pages(pages).count() > 0
+
+
+def test_export_of_no_pages_has_no_rows(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/pages.parquet").limit(0).write.parquet(str(tmp_path / "pages.parquet"))
+    out = catalog.stream_export_json(spark, str(tmp_path))
+    assert out.columns == ["title", "links", "url", "depth"] and out.count() == 0
