@@ -57,7 +57,7 @@ from pyspark.sql import types as T
 from pagemill.llm import arrow_text as A
 from pagemill.llm import bitmap
 from pagemill.llm.components import components
-from pagemill.storage import new_folder, write_table
+from pagemill.storage import bounded_batches, buckets_once, new_folder, write_table
 
 SHINGLE = 3
 THRESHOLD = 90
@@ -498,7 +498,8 @@ def _matrix_links(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFram
 
     A group is a block of the classes that have the same most-shared hub.  Groups meet in the
     cells of a part if they have classes of different components and sizes that can link; each
-    class of the one is then a query against the other.
+    class of the one that shares a part with the other is then a query against it, and only such
+    classes of the other are compared.
     """
     spark = cells.sparkSession
     best = cells.join(_hubs(cells), "part").groupBy("class").agg(
@@ -514,23 +515,26 @@ def _matrix_links(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFram
     matrix = write_table(
         cells.select("part", "class").join(grouped, "class").groupBy("part", "group").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"),
-            F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
+            F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.collect_set("class").alias("classes"),  # of one block
         ),
         new_folder(spark, "jaccard-matrix"),
     )
     other = matrix.select("part", *[F.col(c).alias(f"to_{c}") for c in matrix.columns[1:]])
     differ = F.least("lo", "to_lo") != F.greatest("hi", "to_hi")
     near = (F.col("n_lo") * threshold <= F.col("to_n_hi") * 100) & (F.col("to_n_lo") * threshold <= F.col("n_hi") * 100)
-    pairs = write_table(
+    sides = F.array(
+        F.struct(F.col("classes").alias("of"), F.lit(True).alias("asks")),
+        F.struct(F.col("to_classes").alias("of"), F.lit(False).alias("asks")),
+    )
+    # classes that link share a part, so of two groups only those move that share one with the other
+    rows = write_table(
         matrix.join(other, "part").filter((F.col("group") <= F.col("to_group")) & differ & near)
-        .select("group", "to_group").distinct(),
+        .select("group", "to_group", F.explode(sides).alias("side"))
+        .select("group", "to_group", F.explode("side.of").alias("class"), F.col("side.asks").alias("asks")).distinct(),
         new_folder(spark, "jaccard-pairs"),
     )
-    rows = ["group", "to_group", "class", "component", "n"]
-    queries = pairs.join(grouped, "group").select(*rows, F.lit(True).alias("asks"))
-    members = pairs.join(grouped.withColumnRenamed("group", "to_group"), "to_group").select(*rows, F.lit(False).alias("asks"))
     near = write_table(
-        queries.unionByName(members).join(sets.select("class", "sketch"), "class")
+        rows.join(grouped.select("class", "component", "n"), "class").join(sets.select("class", "sketch"), "class")
         .select("group", "to_group", "class", "component", "asks", "n", "sketch")
         .groupBy("group", "to_group").applyInArrow(
             _member_bound(threshold), "group long, to_group long, class long, component long, asks boolean"
@@ -556,6 +560,7 @@ def _classes(docs: DataFrame, id_col: str, text: str, shingle: int, threshold: i
     """The described documents (id, n, class) and the components of linked classes."""
     spark = docs.sparkSession
     context = spark.sparkContext
+    bounded_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     described = write_table(
@@ -576,10 +581,12 @@ def _classes(docs: DataFrame, id_col: str, text: str, shingle: int, threshold: i
     several = held.groupBy("part").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("part")
     shared = write_table(held.join(several, "part"), new_folder(spark, "jaccard-shared"))
     bits = context.broadcast(bitmap.build(shared.select("class").distinct(), "class"))
-    sets = write_table(
-        texts.select("text").mapInArrow(_sets_of(bits, shingle), "class long, n long, least long, sketch binary, tokens array<long>")
+    kinds = "class long, n long, least long, sketch binary, tokens array<long>"
+    # in buckets by class: the joins that want sketches or tokens move the rows that ask, not the sets
+    sets = buckets_once(
+        spark, new_folder(spark, "jaccard-candidates"), kinds, "class", int(spark.conf.get("spark.sql.shuffle.partitions")),
+        lambda: texts.select("text").mapInArrow(_sets_of(bits, shingle), kinds)
         .groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "least", "sketch", "tokens"))),
-        new_folder(spark, "jaccard-candidates"),
     )
     return described.select("id", "n", "class"), _all_links(sets, shared, threshold)
 

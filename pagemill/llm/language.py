@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm import arrow_text as A
+from pagemill.storage import bounded_batches
 
 ORDER = 4
 TEXTS = 400
@@ -194,6 +195,7 @@ def costs(trees: Trees, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The id, ``lang_pred``, ``score`` (of the languages' posterior) and ``bits_per_byte`` of every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees and tuple(trees))
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), F.when(letters, F.col(text)).alias("text"))

@@ -8,6 +8,7 @@ the written files outlive any executor.  The folder is the one the cluster names
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -15,6 +16,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 1 << 20
+
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -34,6 +37,18 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From here on the session sends rows to Python in batches of about ``BATCH_BYTES``, or of less if it is set so.
+
+    Spark writes a batch into vectors and again into a buffer of the worker, each of which doubles
+    as it grows: ten thousand texts take some 100 MB outside the heap of every running task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([a-z]*)", spark.conf.get(key).strip().lower()).groups()
+    if int(number) << 10 * "bkmgtp".index(unit[:1] or "b") > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether the job that wrote the table at ``path`` was committed."""
     system, marker = _hadoop_path(spark, f"{path}/_SUCCESS")

@@ -7,6 +7,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill import storage
 from pagemill.llm import jaccard, queries
 from pagemill.llm.components import components
 
@@ -166,6 +167,48 @@ def test_empty_table(spark):
     assert jaccard.one_each(docs).count() == 0
 
 
+def test_python_gets_texts_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, held in (("1000", 1000), ("1g", storage.BATCH_BYTES), ("64m", storage.BATCH_BYTES)):
+            spark.conf.set(key, given)
+            if given == "64m":
+                jaccard.near_components(spark.createDataFrame([], "doc_id long, text string"))
+            else:
+                storage.bounded_batches(spark)
+            assert int(spark.conf.get(key).rstrip("b")) == held
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_classes_move_only_to_groups_that_share_a_part(spark, monkeypatch):
+    cells = [(1, 10), (1, 20), (2, 30), (2, 31), (3, 11), (3, 12)]  # (part, class); hubs have no say here
+    rows = [(p, c, c, 100, 2) for p, c in cells]
+    table = spark.createDataFrame(rows, "part long, class long, component long, n long, shared_by long")
+    tokens = list(range(1, 101))
+    sets = spark.createDataFrame([
+        (c, 100, 1, jaccard.sketch(np.arange(1, 101, dtype=np.uint64)), tokens) for c in sorted({c for _, c in cells})
+    ], "class long, n long, least long, sketch binary, tokens array<long>")
+    tables = {}
+
+    def kept(df, path):
+        name = path.rsplit("/", 1)[-1].rsplit("-", 1)[0]
+        tables[name] = storage.write_table(df, path)
+        return tables[name]
+
+    monkeypatch.setattr(jaccard, "write_table", kept)
+    found = {tuple(sorted(r)) for r in jaccard._matrix_links(table, sets, 90).collect()}
+    assert {(10, 20), (30, 31), (11, 12)} <= found
+    group = {r["class"]: r["group"] for r in tables["jaccard-groups"].collect()}
+    shares = {(c, group[d]) for p, c in cells for q, d in cells if p == q}
+    moved = tables["jaccard-pairs"].collect()
+    assert moved
+    for r in moved:
+        assert group[r["class"]] == r["group" if r["asks"] else "to_group"]
+        assert (r["class"], r["to_group" if r["asks"] else "group"]) in shares
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(100, 7), (101, 102)]])
 def test_components_of_chains_and_stars(spark, edges):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
