@@ -52,6 +52,7 @@ def list_value_counts(results: DataFrame) -> DataFrame:
 # The kinds of VARIANT numbers that are whole or exact.
 _WHOLE = ("TINYINT", "SMALLINT", "INT", "BIGINT")
 _ELEMENT, _KEY = "[]", "."
+_MERGED = "VARIANT|DECIMAL|DOUBLE|FLOAT|DATE|TIMESTAMP"
 MAX_KEYS = 10_000
 
 
@@ -72,6 +73,18 @@ def _entries(value: Column, kind: Column) -> Column:
     return F.when(kind == "OBJECT", of_object).otherwise(of_list)
 
 
+def _one_of_each_shape(rows: DataFrame, item: str) -> DataFrame:
+    """``value``: an item of every shape, which has all paths and kinds of the items of that shape.
+
+    Inside lists a shape is the union of the elements'; where numbers, times or unlike elements
+    were merged in one, it does not tell which kinds there are, and all such items stay.
+    """
+    shaped = rows.select(F.col(f"`{item}`").alias("value")).withColumn("shape", F.schema_of_variant("value"))
+    merged = F.coalesce(F.col("shape").contains("ARRAY<") & F.col("shape").rlike(_MERGED), F.lit(False))
+    one = shaped.where(~merged).groupBy("shape").agg(F.first("value").alias("value"))
+    return one.select("value").unionByName(shaped.where(merged).select("value"))
+
+
 def _kinds(rows: DataFrame, item: str, max_keys: int) -> dict[tuple[str, ...], set[str]]:
     """The kinds of value found at every path, looked for level by level.
 
@@ -79,25 +92,30 @@ def _kinds(rows: DataFrame, item: str, max_keys: int) -> dict[tuple[str, ...], s
     kind, however many items there are.  More than ``max_keys`` paths are an error: keys that
     are data belong into rows, not into columns.
     """
-    level = rows.select(F.array().cast("array<string>").alias("path"), F.col(f"`{item}`").alias("value"))
+    # kept by Spark, not in files: those may hold whole numbers beside decimals as decimals
+    few = _one_of_each_shape(rows, item).persist()
+    level = few.select(F.array().cast("array<string>").alias("path"), "value")
     level = level.withColumn("kind", _kind(F.col("value")))
     found: dict[tuple[str, ...], set[str]] = {}
-    while True:
-        inner = level.where(F.col("kind").isin("OBJECT", "ARRAY")).select(
-            "path", F.explode(_entries(F.col("value"), F.col("kind"))).alias("e")
-        )
-        level = inner.select(
-            F.array_append("path", F.col("e.step")).alias("path"), F.col("e.value").alias("value")
-        ).withColumn("kind", _kind(F.col("value")))
-        here = level.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")).select("path", "kind")
-        more = False
-        for r in here.limit(40 * max_keys).collect():  # a path has some forty kinds at most
-            found.setdefault(tuple(r["path"]), set()).add(r["kind"])
-            more |= r["kind"] in ("OBJECT", "ARRAY")
-        if len(found) > max_keys:
-            raise ValueError(f"more than {max_keys} keys in the items; raise max_keys or unwrap keys that are data")
-        if not more:
-            return found
+    try:
+        while True:
+            inner = level.where(F.col("kind").isin("OBJECT", "ARRAY")).select(
+                "path", F.explode(_entries(F.col("value"), F.col("kind"))).alias("e")
+            )
+            level = inner.select(
+                F.array_append("path", F.col("e.step")).alias("path"), F.col("e.value").alias("value")
+            ).withColumn("kind", _kind(F.col("value")))
+            here = level.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")).select("path", "kind")
+            more = False
+            for r in here.limit(40 * max_keys).collect():  # a path has some forty kinds at most
+                found.setdefault(tuple(r["path"]), set()).add(r["kind"])
+                more |= r["kind"] in ("OBJECT", "ARRAY")
+            if len(found) > max_keys:
+                raise ValueError(f"more than {max_keys} keys in the items; raise max_keys or unwrap keys that are data")
+            if not more:
+                return found
+    finally:
+        few.unpersist()
 
 
 def _settled(path: tuple[str, ...], found: dict[tuple[str, ...], set[str]], below: dict[tuple[str, ...], list[str]]) -> T.DataType:

@@ -372,3 +372,19 @@ def test_batches_of_windows_and_their_failures(spark):
         {"n": 1, "s": "d"}, {"n": 1, "s": "e"}, {"n": 1, "s": "f"},
     ]
     assert [r["attempts"] for r in rows] == [1, 1, 1, 2, 1, 1, 1]
+
+
+def test_keys_are_looked_for_in_one_item_of_each_shape(spark, monkeypatch):
+    plain = ['{"a":1,"o":{"b":"x"}}', '{"a":2,"o":{"b":"y","c":null}}', '{"l":[1,null]}', '{"l":[]}']
+    merged = [
+        '{"m":[1,"x"]}', '{"m":[0.5,{"k":1}]}', '{"m":[{"k":[true]},{"j":2}]}', '{"d":[1,12345678901234567890]}',
+        '{"d":[12345678901234567890]}', '{"e":[1,2.5e3]}', '{"e":[1e3]}', '{"ARRAY<":{"DOUBLE":true}}',
+    ]
+    texts = [(t,) for t in plain * 50 + merged]
+    rows = spark.createDataFrame(texts, "t string").select(F.parse_json("t").alias("item")).repartition(3)
+    few = flatten._one_of_each_shape(rows, "item")
+    assert len(plain) <= few.count() <= len(plain) + len(merged)
+    found = flatten._kinds(rows, "item", 100)
+    assert found[(".m", "[]", ".k")] == {"BIGINT", "ARRAY"} and (".ARRAY<", ".DOUBLE") in found
+    monkeypatch.setattr(flatten, "_one_of_each_shape", lambda rows, item: rows.select(F.col(item).alias("value")))
+    assert found == flatten._kinds(rows, "item", 100)
