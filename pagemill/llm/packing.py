@@ -46,6 +46,8 @@ GROUP = 1 << 14
 PASSES = 3
 KNOWN = 1 << 20
 """Text parts whose ids a task keeps."""
+JOINED = 64
+"""Text parts of a call of the tokenizer."""
 PIECES = 1 << 12
 """Pieces of a batch that is handed on."""
 TRIES = 4
@@ -75,8 +77,32 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return A.runs_before(cut, offsets)
 
 
+def joinable(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which text parts end where one that begins with white space may follow, and begin with it."""
+    last = np.maximum(bounds[1:] - 1, 0)
+    two, three = data[np.maximum(last - 1, 0)], data[np.maximum(last - 2, 0)]
+    size = np.diff(bounds)
+    wide = ((size > 1) & (two == 0xC2)) | ((size > 2) & (three >= 0xE1) & (three <= 0xE3))
+    return A.SPACE[data[bounds[:-1]]] & ~A.SPACE[data[last]] & ~wide
+
+
+def token_bytes(tokenizer) -> np.ndarray:
+    """How many bytes of text each id stands for, if the vocabulary is one of bytes."""
+    added = {i: token.content for i, token in tokenizer.get_added_tokens_decoder().items()}
+    out = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True) + 1, np.int64)
+    for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+        if i < len(out):
+            out[i] = len(added[i].encode()) if i in added else len(token)
+    return out
+
+
 class Encoder:
-    """Ids of text parts, kept by hash."""
+    """Ids of text parts, kept by hash.
+
+    Parts that are not known yet are given to the tokenizer joined, where its pattern cuts between
+    them, since a call costs more than a part; the ids' lengths in bytes tell them apart again.
+    Where these do not meet the parts' ends, each part is a call of its own.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,6 +111,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.bytes = token_bytes(self.tokenizer)
         self._forget()
 
     def _forget(self) -> None:
@@ -94,12 +121,37 @@ class Encoder:
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, key: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _calls(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that are a call each, and how many each has."""
+        texts = A.binary_column(data, bounds).cast(pa.string()).to_pylist()
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    def _joined(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of parts that may follow one another, several to a call."""
+        edge = np.append(bounds[:-1:JOINED], bounds[-1])
+        ids, _ = self._calls(data, edge)
+        ends = np.cumsum(self.bytes[np.minimum(ids, len(self.bytes) - 1)])
+        stop = np.searchsorted(ends, bounds[1:])
+        if len(ids) and ends[-1] == bounds[-1] and np.array_equal(ends[stop], bounds[1:]):
+            return ids, np.diff(stop + 1, prepend=0)
+        return self._calls(data, bounds)
+
+    def _learn(self, key: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        raw, bounds = A.gather(data, start, end)
+        may = joinable(raw, bounds)
+        order = np.concatenate([np.flatnonzero(may), np.flatnonzero(~may)])
+        key, start, end = key[order], start[order], end[order]
+        found = [
+            encode(*A.gather(data, start[some], end[some]))
+            for encode, some in ((self._joined, slice(0, may.sum())), (self._calls, slice(may.sum(), None))) if len(start[some])
+        ]
+        size = np.concatenate([s for _, s in found])
         at = len(self.ids) + np.cumsum(size) - size
-        new = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
-        self.ids = np.concatenate([self.ids, new])
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+        order = np.argsort(key)
+        key, at, size = key[order], at[order], size[order]
         place = np.searchsorted(self.key, key)
         self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, size)
         self.key = np.insert(self.key, place, key)
@@ -121,7 +173,7 @@ class Encoder:
             new[:] = True
         if new.any():
             at = first[new]
-            self._learn(key[new], A.binary_column(*A.gather(data, start[at], end[at])).cast(pa.string()).to_pylist())
+            self._learn(key[new], data, start[at], end[at])
         place = np.searchsorted(self.key, key)
         ids, bounds = A.gather(self.ids, self.at[place][which], (self.at[place] + self.size[place])[which])
         return ids, bounds[np.searchsorted(row, np.arange(len(offsets)))]

@@ -1,13 +1,16 @@
 """Packing against the tokenizer's own library and plain bounds."""
 
+import random
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from pagemill.llm import arrow_text as A
 from pagemill.llm import packing, queries
 
 FILE = queries.tokenizer("byte_bpe_50k.json")
@@ -129,3 +132,27 @@ def test_repeats_nulls_and_empty(spark):
     ) or len(rows) == 5
     check_places(rows)
     assert packing.pack(packing.cut_pieces(docs.limit(0), FILE)).count() == 0
+
+
+def test_unknown_parts_are_joined_to_few_calls():
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzéßñжщ漢字"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(300)) for _ in range(20)]
+    odd = ["", " ", "a  b", "tab\tone\n\n two ", "x  y", "x  y　 z", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>",
+           "it's, it's; (so) ...", " lead", "trail ", "é áb", "\U0001f600 \U0001f600x", "à\u0085 b", "12 345 6.7"]
+    encoder = packing.Encoder(queries.tokenizer("byte_bpe_50k.json"))
+    whole = encoder.tokenizer
+    given = []
+
+    class Counting:
+        def encode_batch_fast(self, some, **options):
+            given.extend(some)
+            return whole.encode_batch_fast(some, **options)
+
+    encoder.tokenizer = Counting()
+    for rows in (texts, odd, texts + odd):
+        ids, bounds = encoder.encode(*A.view(pa.array(rows)))
+        got = [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(rows))]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in rows]
+    words = len({w for t in texts for w in t.split()})
+    assert words > 3000 and len(given) < words / 10
