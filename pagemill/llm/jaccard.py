@@ -24,10 +24,12 @@ each of them.
 Order of work, each step a Spark job over written tables:
 
 1. scan: set size and class of every document;
-2. scan: part hashes that occur more than once, as a bitmap; the hashes travel packed, without
-   their classes, and sorted by range;
-3. scan: parts in that bitmap with their classes; those of several classes are kept;
-4. scan: token sets and sketches of just those classes;
+2. scan: tokens that occur more than once, as a bitmap; they travel packed, without their classes,
+   and sorted by range.  Two sets that link have ``threshold`` percent of the larger one in common,
+   so a set with fewer tokens in that bitmap links with nothing and is left out of all that follows;
+3. scan: parts of the sets that are left, with their classes; those of several classes are kept;
+4. scan: token sets and sketches of just those classes; of these the tokens are counted once more,
+   which tells for each class how large a set it may still link with (``most``);
 5. *home*: classes with the same smallest token are compared within blocks, and with the first
    class of all those blocks;
 6. *hubs*: of the classes that share a part, each is compared with the one whose parts are shared
@@ -50,6 +52,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,9 +68,11 @@ GROUP = 64
 QUERIES = 256
 HUB_ROUNDS = 1
 KEPT_BYTES = 5
-"""Bytes of a part hash that the first pass compares: chance equality lets a part through, none is lost."""
+"""Bytes of a token that the first pass compares: chance equality lets a token through, none is lost."""
+TOKEN_BITS = 29
+"""The bitmap of tokens has at most 2 to this many bits, 64 MB; a fuller one lets more classes through."""
 PACKED = 1 << 21
-"""Parts of a record, and of a range, or about so many."""
+"""Tokens of a record, and of a range, or about so many."""
 _U = np.uint64
 
 
@@ -199,14 +204,10 @@ def _describe(shingle: int):
     return run
 
 
-def _parts_of(threshold: int, shingle: int):
-    """A function from a batch to the classes of its texts, each once a task if it can be told, and their parts."""
-    tops = size_bands(threshold)
-    counts = part_counts(tops, threshold)
-    spare = spare_parts(counts, threshold)
-    counts = counts + spare
+def _classes_of(shingle: int):
+    """A function from a batch to its sets and their keys, each class once a task if it can be told."""
 
-    def parts(batch: pa.RecordBatch, seen: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def classes(batch: pa.RecordBatch, seen: set[int]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         for some in A.slices(batch, "text"):
             sets = token_sets(*A.view(some.column("text")), shingle)
             keys = class_keys(sets)
@@ -214,14 +215,23 @@ def _parts_of(threshold: int, shingle: int):
             if len(seen) > 1 << 20:
                 seen.clear()  # it only spares work
             if rows:
-                values, bounds = part_hashes([sets[r] for r in rows], tops, counts, spare if spare.any() else None)
-                yield values, np.repeat(keys[rows], np.diff(bounds))
+                yield [sets[r] for r in rows], keys[rows]
+
+    return classes
+
 
-    return parts
+def _stored(batch: pa.RecordBatch, seen: set[int]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The sets and keys of a batch of the table of sets."""
+    rows = list(_rows(pa.Table.from_batches([batch])))
+    if rows:
+        yield [s for _, s, _ in rows], np.array([c for c, _, _ in rows], np.int64).view(_U)
 
 
-def _packed_parts(parts, ranges: int):
-    """The high ``KEPT_BYTES`` bytes of part hashes, without their classes, by range."""
+def _packed_tokens(classes, ranges: int):
+    """The high ``KEPT_BYTES`` bytes of the tokens of sets, without their classes, by range.
+
+    Of a record's tokens two copies show that there are several, so no range grows with a common one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -230,6 +240,7 @@ def _packed_parts(parts, ranges: int):
 
         def flush() -> pa.RecordBatch:
             values = np.sort(np.concatenate(held))
+            values = np.concatenate([values[:2], values[2:][values[2:] != values[:-2]]])
             at = ((values >> _U(32)) * _U(ranges)) >> _U(32)
             first = np.flatnonzero(np.diff(at.astype(np.int64), prepend=-1))
             raw = values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
@@ -239,9 +250,9 @@ def _packed_parts(parts, ranges: int):
             )
 
         for batch in batches:
-            for values, _ in parts(batch, seen):
-                held.append(values)
-                size += len(values)
+            for sets, _ in classes(batch, seen):
+                held.extend(sets)
+                size += sum(map(len, sets))
                 if size > PACKED:
                     yield flush()
                     held, size = [], 0
@@ -251,34 +262,73 @@ def _packed_parts(parts, ranges: int):
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """The bitmap words of part hashes that occur more than once in a range."""
-    raw = np.frombuffer(b"".join(table.column("kept").to_pylist()), np.uint8).reshape(-1, KEPT_BYTES)
-    whole = np.zeros((len(raw), 8), np.uint8)
-    whole[:, :KEPT_BYTES] = raw
-    values = np.sort(whole.view(">u8").ravel().astype(_U))
-    again = np.unique(values[1:][values[1:] == values[:-1]])
-    at = again >> _U(64 - bitmap.BITS)
-    words, first = np.unique(at >> _U(6), return_index=True)
-    bits = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), first) if len(first) else np.zeros(0, _U)
-    return pa.table({"w": A.signed(words), "b": A.signed(bits)})
+def _repeated(bits: int):
+    """The bitmap words, from the first to the last, of tokens that occur more than once in a range."""
 
+    def run(table: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(table.column("kept").to_pylist()), np.uint8).reshape(-1, KEPT_BYTES)
+        whole = np.zeros((len(raw), 8), np.uint8)
+        whole[:, :KEPT_BYTES] = raw
+        values = np.sort(whole.view(">u8").ravel().astype(_U))
+        again = np.unique(values[1:][values[1:] == values[:-1]] >> _U(64 - bits))
+        if not len(again):
+            return pa.table({"first": pa.array([], pa.int64()), "words": pa.array([], pa.binary())})
+        words, at = np.unique((again >> _U(6)).astype(np.int64), return_index=True)
+        dense = np.zeros(words[-1] - words[0] + 1, "<u8")
+        dense[words - words[0]] = np.bitwise_or.reduceat(_U(1) << (again & _U(63)), at)
+        return pa.table({"first": pa.array([words[0]], pa.int64()), "words": pa.array([dense.tobytes()], pa.binary())})
+
+    return run
+
+
+def common_tokens(bits: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """At least as many tokens as each set (none is empty) has in common with any others."""
+    sizes = np.array([len(s) for s in sets])
+    return np.add.reduceat(bitmap.test(bits, np.concatenate(sets)).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def _candidate_parts(shared, classes, threshold: int):
+    """The parts of those sets that have ``threshold`` percent of their tokens in common with others."""
+    tops = size_bands(threshold)
+    counts = part_counts(tops, threshold)
+    spare = spare_parts(counts, threshold)
+    counts = counts + spare
 
-def _in_bitmap(shared, parts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         seen: set[int] = set()
         for batch in batches:
-            for values, owner in parts(batch, seen):
-                hit = bitmap.test(bits, values)
-                if hit.any():
+            for sets, keys in classes(batch, seen):
+                may = 100 * common_tokens(bits, sets) >= threshold * np.array([len(s) for s in sets])
+                if may.any():
+                    values, bounds = part_hashes(
+                        [sets[r] for r in np.flatnonzero(may)], tops, counts, spare if spare.any() else None
+                    )
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(A.signed(values[hit])), pa.array(A.signed(owner[hit]))], names=["part", "class"]
+                        [pa.array(A.signed(values)), pa.array(A.signed(np.repeat(keys[may], np.diff(bounds))))],
+                        names=["part", "class"],
                     )
 
     return run
 
 
+def _reach(shared, threshold: int):
+    """The sets that may still link, with the size of the largest set that they may link with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for sets, keys in _stored(batch, set()):
+                size, common = np.array([len(s) for s in sets]), common_tokens(bits, sets)
+                may = 100 * common >= threshold * size
+                most = (100 + threshold) * common // threshold - size
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(A.signed(keys[may])), pa.array(most[may].astype(np.int64))], names=["class", "most"]
+                )
+
+    return run
+
+
 # --- sketches: how many tokens of a set fall into each bucket ---------------------------------
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -464,13 +514,14 @@ def _hubs(cells: DataFrame) -> DataFrame:
     """The hub of every part: of the classes that have it, the one whose parts are shared most."""
     degree = cells.groupBy("class").agg(F.sum("shared_by").alias("degree"))
     return cells.join(degree, "class").groupBy("part").agg(
-        F.max(F.struct("degree", "class", "component", "n")).alias("hub")
+        F.max(F.struct("degree", "class", "component", "n", "most")).alias("hub")
     )
 
 
 def _hub_links(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links of classes with the hubs of their parts."""
     near = (F.col("hub.n") * threshold <= F.col("n") * 100) & (F.col("n") * threshold <= F.col("hub.n") * 100)
+    near &= (F.col("n") <= F.col("hub.most")) & (F.col("hub.n") <= F.col("most"))
     asks = write_table(
         cells.join(_hubs(cells), "part").filter((F.col("component") != F.col("hub.component")) & near)
         .select("class", "component", F.col("hub.class").alias("hub"), F.col("hub.component").alias("to")).distinct(),
@@ -502,35 +553,51 @@ def _matrix_links(cells: DataFrame, sets: DataFrame, threshold: int) -> DataFram
     classes of the other are compared.
     """
     spark = cells.sparkSession
+    if "most" not in cells.columns:  # nothing is known of tokens in common
+        cells = cells.withColumn("most", F.floor(F.col("n") * 100 / threshold))
     best = cells.join(_hubs(cells), "part").groupBy("class").agg(
-        F.max(F.struct("hub.degree", "hub.class")).alias("hub"), F.first("component").alias("component"), F.first("n").alias("n")
-    ).select("class", "component", "n", F.col("hub.class").alias("hub"))
+        F.max(F.struct("hub.degree", "hub.class")).alias("hub"), F.first("component").alias("component"), F.first("n").alias("n"),
+        F.first("most").alias("most"),
+    ).select("class", "component", "n", "most", F.col("hub.class").alias("hub"))
     sizes = best.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
     grouped = write_table(
         best.join(sizes, "hub").select(
-            "class", "component", "n", F.xxhash64("hub", _block(F.col("class"), F.col("size"), GROUP)).alias("group")
+            "class", "component", "n", "most", F.xxhash64("hub", _block(F.col("class"), F.col("size"), GROUP)).alias("group")
         ),
         new_folder(spark, "jaccard-groups"),
     )
     matrix = write_table(
         cells.select("part", "class").join(grouped, "class").groupBy("part", "group").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"),
-            F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.collect_set("class").alias("classes"),  # of one block
+            F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("most").alias("most"),
+            F.collect_set(F.struct("class", "n", "most")).alias("classes"),  # of one block
         ),
         new_folder(spark, "jaccard-matrix"),
     )
     other = matrix.select("part", *[F.col(c).alias(f"to_{c}") for c in matrix.columns[1:]])
     differ = F.least("lo", "to_lo") != F.greatest("hi", "to_hi")
     near = (F.col("n_lo") * threshold <= F.col("to_n_hi") * 100) & (F.col("to_n_lo") * threshold <= F.col("n_hi") * 100)
+    near &= (F.col("n_lo") <= F.col("to_most")) & (F.col("to_n_lo") <= F.col("most"))
+
+    def fitting(own: str, other: str) -> Column:
+        """Those classes of a group that may link with some class of the other, going by sizes."""
+        fits = F.filter(f"{own}classes", lambda c: (c["n"] <= F.col(f"{other}most")) & (F.col(f"{other}n_lo") <= c["most"]))
+        return F.transform(fits, lambda c: c["class"])
+
+    # classes that link share a part, so of two groups only those move that share one with the other;
+    # groups that meet in many parts are told once which classes these are
+    met = (
+        matrix.join(other, "part").filter((F.col("group") <= F.col("to_group")) & differ & near)
+        .select("group", "to_group", fitting("", "to_").alias("own"), fitting("to_", "").alias("others"))
+        .groupBy("group", "to_group").agg(*(F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("own", "others")))
+    )
     sides = F.array(
-        F.struct(F.col("classes").alias("of"), F.lit(True).alias("asks")),
-        F.struct(F.col("to_classes").alias("of"), F.lit(False).alias("asks")),
+        F.struct(F.col("own").alias("of"), F.lit(True).alias("asks")),
+        F.struct(F.col("others").alias("of"), F.lit(False).alias("asks")),
     )
-    # classes that link share a part, so of two groups only those move that share one with the other
     rows = write_table(
-        matrix.join(other, "part").filter((F.col("group") <= F.col("to_group")) & differ & near)
-        .select("group", "to_group", F.explode(sides).alias("side"))
-        .select("group", "to_group", F.explode("side.of").alias("class"), F.col("side.asks").alias("asks")).distinct(),
+        met.select("group", "to_group", F.explode(sides).alias("side"))
+        .select("group", "to_group", F.explode("side.of").alias("class"), F.col("side.asks").alias("asks")),
         new_folder(spark, "jaccard-pairs"),
     )
     near = write_table(
@@ -556,6 +623,21 @@ def _all_links(sets: DataFrame, shared: DataFrame, threshold: int) -> DataFrame:
     return found
 
 
+def _common(rows: DataFrame, classes, sized: DataFrame) -> Broadcast:
+    """A bitmap of the tokens that occur more than once in ``rows``; ``sized`` has their numbers ``n``."""
+    spark = rows.sparkSession
+    tokens = sized.agg(F.sum("n")).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // PACKED + 1)
+    bits = min(max(int(tokens).bit_length() - 1, bitmap.BITS), TOKEN_BITS)
+    packed = rows.mapInArrow(_packed_tokens(classes, ranges), "range int, kept binary")
+    found = packed.groupBy("range").applyInArrow(_repeated(bits), "first long, words binary").toArrow()
+    out = np.zeros(1 << (bits - 6), _U)
+    for first, words in zip(found.column("first").to_pylist(), found.column("words"), strict=True):
+        some = np.frombuffer(words.as_buffer(), "<u8")
+        out[first : first + len(some)] |= some
+    return spark.sparkContext.broadcast(out)
+
+
 def _classes(docs: DataFrame, id_col: str, text: str, shingle: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """The described documents (id, n, class) and the components of linked classes."""
     spark = docs.sparkSession
@@ -566,16 +648,10 @@ def _classes(docs: DataFrame, id_col: str, text: str, shingle: int, threshold: i
     described = write_table(
         texts.mapInArrow(_describe(shingle), f"id {kind}, n long, class long"), new_folder(spark, "jaccard-sets")
     )
-    parts = _parts_of(threshold, shingle)
-    tokens = described.agg(F.sum("n")).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // PACKED + 1)
-    words = (
-        texts.select("text").mapInArrow(_packed_parts(parts, ranges), "range int, kept binary")
-        .groupBy("range").applyInArrow(_repeated, "w long, b long")
-    )
-    bits = context.broadcast(bitmap.collect(words))
+    classes = _classes_of(shingle)
+    bits = _common(texts.select("text"), classes, described)
     held = write_table(
-        texts.select("text").mapInArrow(_in_bitmap(bits, parts), "part long, class long").distinct(),
+        texts.select("text").mapInArrow(_candidate_parts(bits, classes, threshold), "part long, class long").distinct(),
         new_folder(spark, "jaccard-held"),
     )
     several = held.groupBy("part").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("part")
@@ -588,7 +664,13 @@ def _classes(docs: DataFrame, id_col: str, text: str, shingle: int, threshold: i
         lambda: texts.select("text").mapInArrow(_sets_of(bits, shingle), kinds)
         .groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "least", "sketch", "tokens"))),
     )
-    return described.select("id", "n", "class"), _all_links(sets, shared, threshold)
+    # tokens of classes that are left: copies of a text no longer count as others
+    bits = _common(sets.select("class", "tokens"), _stored, sets)
+    reach = write_table(
+        sets.select("class", "tokens").mapInArrow(_reach(bits, threshold), "class long, most long"),
+        new_folder(spark, "jaccard-reach"),
+    )
+    return described.select("id", "n", "class"), _all_links(sets, shared.join(reach, "class"), threshold)
 
 
 def _labels(described: DataFrame, linked_classes: DataFrame) -> DataFrame:

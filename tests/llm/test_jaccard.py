@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,47 @@ def test_query_covers_all_documents(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in queries.table(spark, sf_dir, "documents").collect()]
     out = queries.near_copies(spark, sf_dir).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in out) == brute(docs)
+
+
+def test_only_texts_with_enough_in_common_are_paired(spark, monkeypatch):
+    """A family of texts, too far apart to link, whose pairs all share parts; some copies among them link."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(300)]
+    tables = {}
+
+    def kept(df, path):
+        tables.setdefault(path.rsplit("/", 1)[-1].rsplit("-", 1)[0], []).append(storage.write_table(df, path))
+        return tables[path.rsplit("/", 1)[-1].rsplit("-", 1)[0]][-1]
+
+    monkeypatch.setattr(jaccard, "write_table", kept)
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for at in rng.sample(range(300), 14):
+            text[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(text)))
+    rows += [(200 + i, t + " more") for i, t in rows[:5]] + [(300 + i, t) for i, t in rows[:3]]
+    assert result(spark, rows) == brute(rows)
+    assert max(t.count() for t in tables["jaccard-reach"]) <= 10  # the five that link, with their partners
+    pairs = tables["jaccard-pairs"][-1]
+    assert pairs.count() == pairs.distinct().count() <= 20
+
+
+def test_common_tokens_are_never_too_few():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(1, 1 << 62, 50, dtype=np.uint64) << np.uint64(2)) for _ in range(40)]
+    sets += [np.unique(np.concatenate([sets[i][:20], sets[i + 1][:7]])) for i in range(0, 40, 2)]
+    keys = jaccard.class_keys(sets)
+    from_tasks = [list(jaccard._packed_tokens(lambda batch, seen: iter(batch), 3)([[(some, None)]])) for some in (sets[:30], sets[30:])]
+    records = [r for found in from_tasks for b in found for r in b.to_pylist()]
+    bits = np.zeros(1 << 20, np.uint64)
+    for k in range(3):
+        of = [r for r in records if r["range"] == k]
+        for found in jaccard._repeated(26)(pa.Table.from_pylist(of)).to_pylist():
+            words = np.frombuffer(found["words"], "<u8")
+            bits[found["first"] : found["first"] + len(words)] |= words
+    found = jaccard.common_tokens(bits, sets)
+    every, times = np.unique(np.concatenate(sets), return_counts=True)
+    want = [int((times[np.searchsorted(every, s)] > 1).sum()) for s in sets]
+    assert len(keys) == len(found) and all(f >= w for f, w in zip(found, want, strict=True))
+    assert sum(found) <= sum(want) + 2
