@@ -114,6 +114,15 @@ def signatures(words: DataFrame, parts: int = PARTS) -> DataFrame:
     )
 
 
+def _merged(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)``, with neither side sent to the driver for a broadcast.
+
+    Spark takes a written table for as large as its compressed files, and exploded signatures for as many
+    rows as there are words, 21 times too few: it would broadcast tables that no driver holds.
+    """
+    return left.join(right.hint("merge"), key, how)
+
+
 def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
     """``a, n_a, b, n_b``: words that differ by one inserted, deleted or replaced letter, each pair once."""
     signed = signatures(words, parts)
@@ -122,8 +131,8 @@ def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
         return signed.select(F.explode(role).alias("s"), F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
 
     one_edit = F.levenshtein("a", "b", 1) == 1
-    replaced = exploded("same", "a").join(exploded("same", "b"), "s").filter((F.col("a") < F.col("b")) & one_edit)
-    inserted = exploded("shorter", "a").join(exploded("longer", "b"), "s").filter(one_edit)
+    replaced = _merged(exploded("same", "a"), exploded("same", "b"), "s").filter((F.col("a") < F.col("b")) & one_edit)
+    inserted = _merged(exploded("shorter", "a"), exploded("longer", "b"), "s").filter(one_edit)
     return replaced.unionByName(inserted).select("a", "n_a", "b", "n_b").distinct()
 
 
@@ -134,7 +143,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     while True:
         onward = at.select(F.col("word").alias("root"), F.col("root").alias("further"))
         at = write_table(
-            at.join(onward, "root", "left").select(
+            _merged(at, onward, "root", "left").select(
                 "word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")
             ),
             new_folder(spark, "roots"),
@@ -155,13 +164,13 @@ def variants(words: DataFrame, parts: int = PARTS, ratio: int = RATIO) -> DataFr
     )
     enough = -F.col("best.m") >= ratio * F.col("n")
     shaped = write_table(
-        words.join(found, "word", "left").select(
+        _merged(words, found, "word", "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
             F.when(enough, F.col("best.b")).alias("form"), F.when(enough, -F.col("best.m")).alias("form_n"),
         ),
         new_folder(spark, "forms"),
     )
     roots = _roots(shaped.filter("form IS NOT NULL"))
-    return shaped.join(roots, "word", "left").select(
+    return _merged(shaped, roots, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

@@ -102,6 +102,29 @@ def test_one_very_frequent_word_with_many_variants(spark):
     assert found == plain_variants(counts) and sum(r == "frequent" for _, r, *_ in found.values()) == len(counts)
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    counts = {a + b + c + "word": 3 + 4 * (a == b) for a in "abcd" for b in "abcd" for c in "efgh"}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    plans = []
+
+    def recorded(df, path, write=spelling.write_table):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, path)
+
+    monkeypatch.setattr(spelling, "write_table", recorded)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")  # far above these tables
+    try:
+        out = spelling.variants(words)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        rows = out.collect()
+        plans.append(out._jdf.queryExecution().executedPlan().toString())  # as it was run
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in rows} == plain_variants(counts)
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_noise_nulls_repeats_and_odd_letters(spark):
     rows = [(i, "Straße straße STRAßE Ähnlich ähnlich É×÷ÿabc tiny") for i in range(400)]
     rows += [(None, "Nameless words here"), (None, "Nameless words here"), (7, None), (8, ""), (9, "Nameless" + "x" * 3000)]
