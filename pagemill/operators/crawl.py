@@ -132,11 +132,12 @@ def first_visits(requests: DataFrame) -> DataFrame:
 
 
 def _visit(
-    frontier: DataFrame, index: DataFrame, rules: tuple[DataFrame | None, ...], depth: int,
+    frontier: DataFrame, index: DataFrame, rules: DataFrame | None, hot: DataFrame | None, depth: int,
+    prefixes: DataFrame | None = None,
 ) -> DataFrame:
     """The level of a frontier: the verdict on slim requests first, then their pages."""
     found = index.select("norm", "page_id", "blank")
-    joined = with_verdict(frontier, *rules).join(found, "norm", "left")
+    joined = with_verdict(frontier, rules, hot, prefixes).join(found, "norm", "left")
     status = (
         F.when(~F.col("allowed"), ROBOTS_BLOCKED)
         .when(F.col("page_id").isNull(), FETCH_FAILED)
@@ -254,14 +255,14 @@ def crawl(
     def host_rules() -> tuple[DataFrame | None, ...]:
         """Rules by host, hosts that many requests ask for, and rules by prefix where lists are long."""
         if robots is None:
-            return (None,)
+            return None, None, None
         rules = write_once(spark, f"{folder}/rules", lambda: compile_rules(robots, agent))
         hot = write_once(
             spark, f"{folder}/hot-domains",
             lambda: frequent_keys(asked_domains(pages_index(), seed_requests(seeds, sitemaps, sitemap_max_urls)), "domain"),
         )
         if rules.where(F.size("rules") > WALKED).isEmpty():
-            return rules, hot
+            return rules, hot, None
         prefixes = write_once(spark, f"{folder}/rules-by-prefix", lambda: prefix_rules(rules))
         return short_lists(rules), hot, prefixes
 
@@ -284,7 +285,8 @@ def crawl(
             frontier = frontier.join(seen, "norm", "left_anti")
         if budget is not None:
             frontier = first_n(frontier, budget, F.col("rank"), F.col("norm"))
-        return _visit(frontier, pages_index(), host_rules(), depth)
+        rules, hot, prefixes = host_rules()
+        return _visit(frontier, pages_index(), rules, hot, depth, prefixes)
 
     while True:
         path = _level_path(folder, depth)
